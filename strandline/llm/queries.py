@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import mixing, mpeg, packing, quality, quotes, warc
+from strandline.llm import mixing, mpeg, ngram_join, packing, quality, quotes, repeats, warc
 
 QUERIES = {
     "op1_differencing": packing.op1_differencing,
+    "op2_radix_repeats": repeats.op2_radix_repeats,
+    "op3_rtree_jaccard": ngram_join.op3_rtree_jaccard,
     "op4_line_quality": quality.op4_line_quality,
     "op5_mpeg_audio": mpeg.op5_mpeg_audio,
     "op6_quote_links": quotes.op6_quote_links,
