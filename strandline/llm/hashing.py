@@ -6,6 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -75,7 +76,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts_by_bytes(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+def parts_by_bytes(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
     """Slices of a batch whose texts take about limit bytes together; a longer text is a slice of its own."""
     sizes = np.diff(text_bytes(batch.column(column))[1])
     start, held = 0, 0
@@ -86,3 +87,17 @@ def parts_by_bytes(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def shrink(a: np.ndarray) -> bytes:
+    """An array's bytes, compressed; grown() gives them back."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def grown(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Differences of ascending keys, which compress better."""
+    return np.diff(sorted_keys, prepend=np.uint64(0))

@@ -4,10 +4,10 @@ A document's set holds its distinct n-word shingles; documents with equal sets f
 class. Two classes are linked when their sets' Jaccard similarity reaches the threshold.
 
 Finding families. Sets that reach the threshold differ in k shingles at most, k following
-from their sizes. Shingles are hashed into groups, more of them than k (see `groups_for`),
-so two such sets agree in one non-empty group at least: every set emits the hash of each
-group's content. Sets that share one form a family, by connected components over one edge
-a member and group. Sizes fall into ranges; a set emits for its own range and, if a
+from their sizes. Shingles are hashed into groups, more of them than k (see `group_keys`),
+so two such sets agree in one group at least: every set emits the hash of each group's
+content. Sets that share one form a family, by connected components over one edge a
+member and group. Sizes fall into ranges; a set emits for its own range and, if a
 partner may be larger, for the next.
 
 Joining a family. Each set is a point: how many of its shingles each of DIMENSIONS groups
@@ -40,22 +40,28 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stored, table
 from strandline.llm.components import components
-from strandline.llm.hashing import Prefixes, mix, parts_by_bytes, text_bytes
+from strandline.llm.hashing import Prefixes, grown, mix, parts_by_bytes, shrink, steps, text_bytes
 
-DIMENSIONS, FANOUT = 32, 16
+DIMENSIONS, FANOUT, BUCKET = 32, 16, 8 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; upper-case A-Z count as lower-case."""
-    data, offsets = text_bytes(column)
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of joined texts, A-Z in lower case, and each text's first among them."""
+    if not len(data):
+        return np.empty(0, "u8"), np.zeros(len(offsets), "i8")
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & _after_blank_or_start(blank, offsets))
     stops = np.flatnonzero(~blank & _before_blank_or_end(blank, offsets)) + 1
     word = Prefixes(data).of(starts, stops) if len(starts) else np.empty(0, "u8")
-    first = np.searchsorted(starts, offsets)
+    return word, np.searchsorted(starts, offsets)
+
+
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; upper-case A-Z count as lower-case."""
+    word, first = word_hashes(*text_bytes(column))
     if len(word) >= n:
         m = len(word) - n + 1
         with np.errstate(over="ignore"):
@@ -94,100 +100,143 @@ def range_ratio(percent: int) -> float:
 
 
 @functools.cache
-def groups_for(level: int, percent: int) -> int:
-    """How many groups sets of that range of sizes are dealt to.
+def groups_for(level: int, percent: int) -> tuple[int, int]:
+    """How many groups sets of that range of sizes are dealt to, and the most shingles k in which two may differ.
 
-    Two sets of at most `top` shingles that reach the threshold differ in k at most. There
-    are k + 1 + spare groups; with no more than `spare` groups empty in one of them, some
-    non-empty group agrees. `spare` covers five deviations of the expected number.
+    There are k + 1 groups and some more: enough that a set of the largest size uses more
+    than k, by three deviations.
     """
-    top, least = math.ceil(range_ratio(percent) ** (level + 1)), max(1.0, percent / 100 * range_ratio(percent) ** level)
-    k, spare = math.floor(2 * top * (100 - percent) / (100 + percent) + 1e-9), 2
-    for _ in range(20):
-        empty = (k + 1 + spare) * math.exp(-least / (k + 1 + spare))
-        spare = max(2, math.ceil(empty + 5 * math.sqrt(empty)))
-    return k + 1 + spare
-
-
-def spare_of(level: int, percent: int) -> int:
     top = math.ceil(range_ratio(percent) ** (level + 1))
-    return groups_for(level, percent) - 1 - math.floor(2 * top * (100 - percent) / (100 + percent) + 1e-9)
+    k = math.floor(2 * top * (100 - percent) / (100 + percent) + 1e-9)
+    groups = k + 1
+    while groups * -math.expm1(-top / groups) - 3 * math.sqrt(groups * math.exp(-top / groups)) < k + 0.5 and groups < 4 * (k + 1):
+        groups += 1
+    return groups, k
 
 
 def group_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """A key for the content of each non-empty group, for the ranges the set belongs to.
 
-    A set with more empty groups than are spare also emits the empty ones.
+    Sets that link differ in fewer shingles than there are groups, so some group is equal in
+    both. If that is never one with shingles, every group that either set uses differs, and
+    neither uses more groups than it may have differences: such sets emit empty groups too.
     """
     n, ratio = len(shingles), range_ratio(percent)
-    own = math.floor(math.log(n) / math.log(ratio) + 1e-12)
-    levels = [own] + ([own + 1] if n >= percent / 100 * (ratio ** (own + 1)) - 1 else [])
+    level = max(0, math.floor(math.log(n) / math.log(ratio)) - 1)
+    while math.ceil(ratio ** (level + 1)) < n:
+        level += 1
+    levels = [level]
+    while math.ceil(ratio ** (levels[-1] + 1)) < n * 100 // percent:
+        levels.append(levels[-1] + 1)
     out = []
     with np.errstate(over="ignore"):
         spread = mix(shingles + np.uint64(0x632BE59BD9B4E019))
         for level in levels:
-            p = groups_for(level, percent)
-            group = (spread >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
-            total = np.zeros(p, "u8")
-            np.add.at(total, group, mix(spread ^ np.uint64(0x85EBCA6B)))
-            count = np.bincount(group.astype("i8"), minlength=p)
-            used = np.arange(p) if np.count_nonzero(count == 0) > spare_of(level, percent) else np.flatnonzero(count)
+            p, k = groups_for(level, percent)
+            group = ((spread >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype("i8")
+            order = np.argsort(group, kind="stable")
+            count = np.bincount(group, minlength=p)
+            sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(mix(spread ^ np.uint64(0x85EBCA6B))[order])])
+            ends = np.cumsum(count)
+            total = sums[ends] - sums[ends - count]
+            used = np.flatnonzero(count)
+            if len(used) <= min(k, n * (100 - percent) // percent):
+                used = np.arange(p)
             out.append(mix(total[used] * np.uint64(3) + count[used].astype("u8") + mix(used.astype("u8") + np.uint64((level + 1) << 32))))
-    return np.concatenate(out).view("i8")
+    return np.concatenate(out)
 
 
-SETS = "n_shingles bigint, set_key binary, set_id bigint, text_md5 string, keys array<bigint>"
+SETS = "n_shingles bigint, set_key binary, set_id bigint, text_md5 string, bucket int, keys binary, ids binary"
+HELD_KEYS = 1 << 20
 
 
-def shingled(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size and key of each document's set; keys of its groups where a task meets a set for the first time."""
+def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """doc_id, size and key of each document's set; and rows of group keys with their set ids, packed by bucket.
+
+    The keys of a set are sent when a task meets it for the first time.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+    names = ["n_shingles", "set_key", "set_id", "text_md5", "bucket", "keys", "ids"]
+
+    def packed(keys: list[np.ndarray], ids: list[int], doc_type: pa.DataType) -> pa.RecordBatch:
+        every, owner = np.concatenate(keys), np.repeat(np.array(ids, "i8"), [len(k) for k in keys])
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        bucket = (every >> np.uint64(32)).astype("i8") * buckets >> 32
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = [(b, shrink(steps(every[x:y])), shrink(owner[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+        none = [[None] * len(rows)] * 4
+        columns = [*none, *zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), doc_type), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        held_keys, held_ids, held = [], [], 0
         for whole in batches:
+            doc_type = whole.schema.field(0).type
             for batch in parts_by_bytes(whole, 1):
-                sizes, digests, ids, keys = [], [], [], []
+                sizes, digests, ids = [], [], []
                 for s in shingle_sets(batch.column(1), n):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     sizes.append(len(s))
                     digests.append(digest)
                     ids.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
-                    new = digest is not None and digest not in seen
-                    if new:
+                    if digest is not None and digest not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(digest)
-                    keys.append(group_keys(s, percent) if new else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), batch.column(2), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "set_id", "text_md5", "keys"],
-                )
+                        held_keys.append(group_keys(s, percent))
+                        held_ids.append(ids[-1])
+                        held += len(held_keys[-1])
+                        if held > HELD_KEYS:
+                            yield packed(held_keys, held_ids, doc_type)
+                            held_keys, held_ids, held = [], [], 0
+                m = len(sizes)
+                columns = [sizes, digests, ids, batch.column(2), [None] * m, [None] * m, [None] * m]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
+        if held:
+            yield packed(held_keys, held_ids, doc_type)
 
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
     return rows.mapInArrow(run, f"doc_id {kind}, {SETS}")
 
 
-def shared_keys(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) from the first set with a key to the others, read in sorted order, a batch at a time."""
+def shared_keys(packed: DataFrame) -> DataFrame:
+    """Edges (a, b) from the first set with a key to the others.
+
+    A bucket's rows are merged as they come; what is kept is each key once, with its first set.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, centre = None, None
-        for batch in batches:
-            key, node = (c.to_numpy() for c in batch.columns)
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = key[0] != last_key
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            first = np.where(at >= 0, node[at], 0 if centre is None else centre)
-            last_key, centre = key[-1], first[-1]
-            pairs = np.unique(np.stack([first, node], 1)[first != node], axis=0)
+        bucket, keys, ids, size = None, [], [], 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, ids, size
+            every, owner = np.concatenate(keys), np.concatenate(ids)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            new = np.concatenate([[True], every[1:] != every[:-1]])
+            first = owner[np.maximum.accumulate(np.where(new, np.arange(len(every)), 0))]
+            pairs = np.unique(np.stack([first, owner], 1)[first != owner], axis=0)
+            keys, ids, size = [every[new]], [owner[new]], 0
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rows = sets.where("keys is not null").select(F.explode("keys").alias("key"), "set_id")
-    return rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(run, "a bigint, b bigint")
+        for batch in batches:
+            for b, k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket or size > 2 * HELD_KEYS:
+                    if keys:
+                        yield from merged()
+                    if b != bucket:
+                        bucket, keys, ids, size = b, [], [], 0
+                keys.append(np.cumsum(grown(k, "u8"), dtype="u8"))
+                ids.append(grown(i, "i8"))
+                size += len(ids[-1])
+        if keys:
+            yield from merged()
+
+    rows = packed.where("bucket is not null").select("bucket", "keys", "ids")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
 class CountTree:
@@ -289,8 +338,10 @@ def one_text_each(rows: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_md5) of every row of docs (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = stored(shingled(docs.select("doc_id", "text"), n, percent), "sets")
-    families = components(shared_keys(sets))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    every = stored(shingled(docs.select("doc_id", "text"), n, percent, -(-total // BUCKET)), "sets")
+    families = components(shared_keys(every))
+    sets = every.where("bucket is null")
     classes = sets.where("set_key is not null").groupBy("set_key", "set_id").agg(F.min("doc_id").alias("min_doc"), F.min("text_md5").alias("text_md5"))
     wanted = classes.join(families.withColumnRenamed("node", "set_id"), "set_id").select("root", "set_key", "min_doc", F.col("text_md5").alias("_md5"))
     texts = docs.select("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
@@ -309,6 +360,6 @@ def op3_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; documents without shingles all stay."""
     found = jaccard_components(docs, 5, 80)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__kept_id"), F.col("text_md5").alias("__kept_md5")).distinct()
     md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (md5 == F.col("_md5")), "left_semi")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (md5 == F.col("__kept_md5")), "left_semi")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from strandline.llm import mixing, mpeg, ngram_join, packing, quality, quotes, repeats, warc
+import corpus_pipeline
+from strandline.llm import cotraining, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_differencing": packing.op1_differencing,
     "op2_radix_repeats": repeats.op2_radix_repeats,
     "op3_rtree_jaccard": ngram_join.op3_rtree_jaccard,
     "op4_line_quality": quality.op4_line_quality,
     "op5_mpeg_audio": mpeg.op5_mpeg_audio,
     "op6_quote_links": quotes.op6_quote_links,
+    "op7_ppm_bytes": ppm.op7_ppm_bytes,
+    "op8_cotraining": cotraining.op8_cotraining,
     "op9_seekable_warc": warc.op9_seekable_warc,
     "op10_hash_mix": mixing.op10_hash_mix,
 }

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import stored, table
 from strandline.llm.hashing import Prefixes, mix, parts_by_bytes, text_bytes
 
-WIDTH, DIGIT, CHUNK = 400, 128, 6000
+WIDTH, DIGIT, CHUNK, SEGMENT = 400, 128, 2000, 2 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -74,6 +74,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, digit: int) -> tu
     return at, hashes[at]
 
 
+def long_anchors(data: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of one very long text, by overlapping segments."""
+    found = []
+    for a in range(0, max(1, len(data) - width + 1), SEGMENT):
+        piece = data[a : a + SEGMENT + width - 1]
+        at, hashes = anchors(piece, np.array([0, len(piece)]), width, digit)
+        found.append((at + a, hashes))
+    at, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+    return at, np.concatenate([f[1] for f in found])[first]
+
+
 def one_copy(rows: DataFrame, key: int) -> DataFrame:
     """Rows without those whose key a task has had already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +114,7 @@ def anchor_rows(texts: DataFrame, width: int, digit: int) -> DataFrame:
                     seen.clear()
             for batch in parts_by_bytes(whole.filter(pa.array(keep)), 1):
                 data, offsets = text_bytes(batch.column(1))
-                at, hashes = anchors(data, offsets, width, digit)
+                at, hashes = anchors(data, offsets, width, digit) if len(data) <= 2 * SEGMENT else long_anchors(data, width, digit)
                 if len(at):
                     owner = np.searchsorted(offsets, at, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), batch.column(0).take(pa.array(owner)), pa.array(at - offsets[owner])], names=["anchor", "text_id", "place"])
@@ -320,9 +331,8 @@ def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated strings; a character cut in two goes as a whole."""
-    cut = removals(docs.select("doc_id", "text"), keep_bytes=True)
-    kept = cut.select(F.col("text_id").alias("_id"), F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "").alias("_kept"))
-    joined = docs.withColumn("_key", text_key(F.col("text"))).join(kept, F.col("_key") == F.col("_id"), "left")
-    new = F.when(F.col("_id").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    changed = {"text": new, "n_chars": F.when(F.col("_id").isNotNull(), F.length("_kept").cast("bigint")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cut = removals(docs.select("doc_id", "text"), keep_bytes=True).select(F.col("text_id").alias("__cut_id"), F.col("kept").cast("string").alias("__cut_text"))
+    joined = docs.join(cut, text_key(F.col("text")) == F.col("__cut_id"), "left")
+    changed = F.col("__cut_id").isNotNull()
+    new = {"text": F.when(changed, F.col("__cut_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__cut_text").cast("bigint")).otherwise(F.col("n_chars"))}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
