@@ -34,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> list[Column]:
+    """All columns of docs under names that no operator uses."""
+    return [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+
+
+def restored(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns set aside under their own names, some of them with new values."""
+    return [new.get(c, F.col(f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def bind(value: Column, then) -> Column:
     """then(v) with v evaluated once."""
     return F.transform(F.array(value), then)[0]

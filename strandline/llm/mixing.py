@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import n_words, stored, table
+from strandline.llm.common import aside, n_words, restored, stored, table
 
 LEVELS, BITS, SALTS = 3, 12, 16
 
@@ -110,9 +110,9 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents taken twice or three times stand there as often."""
-    own = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
-    taken = mixed(own).select("_row", F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times").cast("int"))).otherwise(F.array())).alias("_i"))
-    return taken.select("_row.*")
+    taken = mixed(docs.select("doc_id", "text", "source", *aside(docs)))
+    again = F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times").cast("int"))).otherwise(F.array())
+    return taken.withColumn("_i", F.explode(again)).select(*restored(docs))
 
 
 _KEY = "coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))"

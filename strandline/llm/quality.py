@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, WORD, bind, n_words, table, words
+from strandline.llm.common import SPACE, WORD, aside, bind, n_words, restored, table, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Signs that prose uses sparingly.
@@ -108,11 +108,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A generator instead of a filter keeps the optimizer from judging each text twice.
     """
-    names = docs.columns
-    judged = quality_rules(docs.select("doc_id", "text", F.struct(*names).alias("_row")))
-    kept = judged.select("_row", F.explode(F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array())).alias("_clean"))
-    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("bigint")}
-    return kept.select(*[new.get(n, F.col(f"_row.{n}")).alias(n) for n in names])
+    judged = quality_rules(docs.select("text", *aside(docs)))
+    kept = judged.withColumn("_clean", F.explode(F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array())))
+    return kept.select(*restored(docs, text=F.col("_clean"), n_chars=F.length("_clean").cast("bigint")))
 
 
 _DUCK_ENDS = ENDS.replace("'", "''")

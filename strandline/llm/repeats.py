@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored, table
+from strandline.llm.common import table
 from strandline.llm.hashing import Prefixes, mix, parts_by_bytes, text_bytes
 
 WIDTH, DIGIT, CHUNK, SEGMENT = 400, 128, 2000, 2 << 20
@@ -172,8 +172,6 @@ def contexts(texts: DataFrame, width: int, digit: int) -> DataFrame:
                     if key in done:
                         continue
                     done.add(key)
-                    if len(done) > 1_000_000:
-                        done.clear()
                     text = batch.column(1)[i].as_py().encode()
                     places = batch.column(2)[i].values
                     for anchor, place in zip(places.field("anchor").to_pylist(), places.field("place").to_pylist(), strict=True):
@@ -283,8 +281,6 @@ def without_spans(texts: DataFrame, keep_bytes: bool) -> DataFrame:
                     if key in done:
                         continue
                     done.add(key)
-                    if len(done) > 1_000_000:
-                        done.clear()
                     data, kept, at, runs, removed = text.encode(), [], 0, 0, 0
                     for a, b in sorted((s["start"], s["end"]) for s in spans):
                         if not runs or a > at:
@@ -310,12 +306,13 @@ def removals(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, keep_bytes
     keyed = docs.select(text_key(F.col("text")).alias("text_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= width)
     shared = shared_anchors(anchor_rows(keyed, width, digit))
     places = shared.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    met = one_copy(keyed, 0).join(places, "text_id").select("text_id", "text", "places")
+    distinct = one_copy(keyed, 0).repartition("text_id")  # all copies of a text that are left come to one task
+    met = distinct.join(places, "text_id").select("text_id", "text", "places")
     spans = repeated_spans(contexts(met, width, digit), width).distinct()
     copies = keyed.groupBy("text_id", F.octet_length("text").cast("bigint").alias("end")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = copies.select("text_id", F.lit(0).cast("bigint").alias("start"), "end")
-    all_spans = stored(spans.unionByName(whole), "spans").groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return without_spans(one_copy(keyed, 0).join(all_spans, "text_id").select("text_id", "text", "spans"), keep_bytes)
+    all_spans = spans.unionByName(whole).groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return without_spans(distinct.join(all_spans, "text_id").select("text_id", "text", "spans"), keep_bytes)
 
 
 def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
