@@ -138,7 +138,7 @@ class Lookup:
     """Values by 64-bit key for many keys at once: open addressing, built and probed in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = np.uint64((1 << max(4, int(4 * len(keys) + 1).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys) + 1).bit_length())) - 1)
         self.keys, self.values = np.full(int(self.mask) + 1, np.iinfo("u8").max), np.zeros(int(self.mask) + 1, values.dtype)
         left, slot = np.arange(len(keys)), self.slot(keys)
         used = np.zeros(int(self.mask) + 1, bool)
@@ -169,7 +169,7 @@ class Lookup:
 
 
 ASKED = "bucket int, block int, pair_keys binary, pair_counts binary, word_keys binary, word_counts binary"
-ANSWER = "block int, bucket int, pair_values binary, word_values binary, tokens bigint, kinds bigint"
+ANSWER = "block int, bucket int, pair_keys binary, pair_values binary, word_keys binary, word_values binary, tokens bigint, kinds bigint"
 
 
 def asked(texts: DataFrame, buckets: int) -> DataFrame:
@@ -191,7 +191,7 @@ def asked(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def answers(rows: DataFrame) -> DataFrame:
-    """Code lengths and word counts in the order in which each block asked."""
+    """Code lengths and word counts beside the keys that each block asked for."""
     def run(key: tuple, bucket: pa.Table) -> pa.Table:
         columns = [bucket.column(n).to_pylist() for n in ("pair_keys", "pair_counts", "word_keys", "word_counts")]
         keys, words = ([np.cumsum(grown(b, "u8"), dtype="u8") for b in columns[i]] for i in (0, 2))
@@ -204,22 +204,22 @@ def answers(rows: DataFrame) -> DataFrame:
         n = bucket.num_rows
         tokens, kinds = np.zeros(n, "i8"), np.zeros(n, "i8")
         tokens[0], kinds[0] = number.sum(), np.count_nonzero(number)
-        return pa.table([bucket.column("block"), bucket.column("bucket"), pa.array(pair_values, pa.binary()), pa.array(word_values, pa.binary()), pa.array(tokens), pa.array(kinds)], names=["block", "bucket", "pair_values", "word_values", "tokens", "kinds"])
+        columns = [bucket.column("block"), bucket.column("bucket"), bucket.column("pair_keys"), pa.array(pair_values, pa.binary()), bucket.column("word_keys"), pa.array(word_values, pa.binary()), pa.array(tokens), pa.array(kinds)]
+        return pa.table(columns, names=["block", "bucket", "pair_keys", "pair_values", "word_keys", "word_values", "tokens", "kinds"])
 
     return rows.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def answered(keys: np.ndarray, to: np.ndarray, values: list[np.ndarray]) -> Lookup:
-    """A lookup of a block's keys from its answers in order of buckets."""
-    return Lookup(keys[np.argsort(to, kind="stable")], np.concatenate(values) if values else np.empty(0))
+def answered(reply: pa.Table, keys: str, values: str, kind: str) -> Lookup:
+    """A lookup of the keys of a block in its answers."""
+    given = [np.cumsum(grown(b, "u8"), dtype="u8") for b in reply.column(keys).to_pylist()]
+    return Lookup(np.concatenate(given), np.concatenate([grown(b, kind) for b in reply.column(values).to_pylist()]))
 
 
-def scored(texts: DataFrame, replies: DataFrame, buckets: int, n: int, v: int, kind: str) -> DataFrame:
+def scored(texts: DataFrame, replies: DataFrame, n: int, v: int, kind: str) -> DataFrame:
     def run(key: tuple, block: pa.Table, reply: pa.Table) -> pa.Table:
-        reply = reply.sort_by("bucket")
-        keys, _, words, _ = block_keys(block.select(["text", "trains"]))
-        lengths = answered(keys, bucket_of_pairs(keys, buckets), [grown(b, "f4") for b in reply.column("pair_values").to_pylist()])
-        known = answered(words, bucket_of_words(words, buckets), [grown(b, "i8") for b in reply.column("word_values").to_pylist()])
+        lengths = answered(reply, "pair_keys", "pair_values", "f4")
+        known = answered(reply, "word_keys", "word_values", "i8")
         end = float(np.log10((known(np.array([END_WORD]))[0] + 1) / (n + v + 1)))
         end_known = int(known(np.array([END_WORD]))[0] > 0)
         out: list[pa.Table] = []
@@ -249,7 +249,7 @@ def ppm_scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     dealt = docs.select("doc_id", text.alias("text"), trains.alias("trains"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     replies = stored(answers(asked(dealt.select("block", "text", "trains"), blocks)), "replies")
     n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return scored(dealt, replies.select("block", "bucket", "pair_values", "word_values"), blocks, n, v, docs.schema["doc_id"].dataType.simpleString())
+    return scored(dealt, replies.drop("bucket", "tokens", "kinds"), n, v, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op7_ppm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
