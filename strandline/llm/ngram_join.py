@@ -3,19 +3,20 @@
 A document's set holds its distinct n-word shingles; documents with equal sets form a
 class. Two classes are linked when their sets' Jaccard similarity reaches the threshold.
 
-Finding families. Sets that reach the threshold differ in k shingles at most, k following
-from their sizes. Shingles are hashed into groups, more of them than k (see `group_keys`),
-so two such sets agree in one group at least: every set emits the hash of each group's
-content. Sets that share one form a family, by connected components over one edge a
-member and group. Sizes fall into ranges; a set emits for its own range and, if a
-partner may be larger, for the next.
-
-Joining a family. Each set is a point: how many of its shingles each of DIMENSIONS groups
-has. The points go into a packed R-tree whose nodes keep their coordinates' maxima and the
-least size. The overlap with any set below a node is at most the sum of the smaller
-coordinates, so nodes and points whose sum is too small for the threshold are passed by;
-surviving pairs are verified on their sets unless they are connected already. So a
-family of thousands of near copies takes about one verification for each.
+Candidates. Sets that reach the threshold differ in k shingles at most, k following from
+their sizes. Shingles are hashed into groups, more of them than k (see `group_keys`), so
+two such sets agree in one group at least: every set emits the hash of each group's
+content, and pairs are looked for among the sets that share one. Sizes fall into ranges;
+a set emits for its own range and, if a partner may be larger, for the next.
+
+Joining. Each set is a point: how many of its shingles each of DIMENSIONS other groups has.
+The points that share a key go into a packed R-tree whose nodes keep their coordinates'
+maxima and the least size. The overlap with any set below a node is at most the sum of the
+smaller coordinates, so nodes and points whose sum is too small for the threshold are
+passed by. What is within reach is connected to families, by connected components over a
+spanning forest for each key; the sets of a family are then joined in the same way, each
+surviving pair being verified on the sets unless it is connected already. So thousands
+of near copies take about one verification each, and no key emits its pairs.
 
 Equal sets meet only in sums with map-side combining and in joins with one row a class,
 which AQE splits; a text is sent once for each task that has it, not once for each copy.
@@ -42,7 +43,7 @@ from strandline.llm.common import stored, table
 from strandline.llm.components import components
 from strandline.llm.hashing import Prefixes, grown, mix, parts_by_bytes, shrink, steps, text_bytes
 
-DIMENSIONS, FANOUT, BUCKET = 32, 16, 8 << 20
+DIMENSIONS, FANOUT, BUCKET = 128, 16, 8 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -146,18 +147,18 @@ def group_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-SETS = "n_shingles bigint, set_key binary, set_id bigint, text_md5 string, bucket int, keys binary, ids binary"
+SETS = "n_shingles bigint, set_key binary, set_id bigint, text_md5 string, vector binary, bucket int, keys binary, ids binary"
 HELD_KEYS = 1 << 20
 
 
 def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """doc_id, size and key of each document's set; and rows of group keys with their set ids, packed by bucket.
 
-    The keys of a set are sent when a task meets it for the first time.
+    Vector and keys of a set are sent when a task meets it for the first time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
-    names = ["n_shingles", "set_key", "set_id", "text_md5", "bucket", "keys", "ids"]
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    names = ["n_shingles", "set_key", "set_id", "text_md5", "vector", "bucket", "keys", "ids"]
 
     def packed(keys: list[np.ndarray], ids: list[int], doc_type: pa.DataType) -> pa.RecordBatch:
         every, owner = np.concatenate(keys), np.repeat(np.array(ids, "i8"), [len(k) for k in keys])
@@ -166,7 +167,7 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         bucket = (every >> np.uint64(32)).astype("i8") * buckets >> 32
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = [(b, shrink(steps(every[x:y])), shrink(owner[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-        none = [[None] * len(rows)] * 4
+        none = [[None] * len(rows)] * 5
         columns = [*none, *zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([pa.nulls(len(rows), doc_type), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
@@ -176,13 +177,15 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         for whole in batches:
             doc_type = whole.schema.field(0).type
             for batch in parts_by_bytes(whole, 1):
-                sizes, digests, ids = [], [], []
+                sizes, digests, ids, vectors = [], [], [], []
                 for s in shingle_sets(batch.column(1), n):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     sizes.append(len(s))
                     digests.append(digest)
                     ids.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
+                    vectors.append(None)
                     if digest is not None and digest not in seen:
+                        vectors[-1] = count_vector(s).tobytes()
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(digest)
@@ -193,7 +196,7 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                             yield packed(held_keys, held_ids, doc_type)
                             held_keys, held_ids, held = [], [], 0
                 m = len(sizes)
-                columns = [sizes, digests, ids, batch.column(2), [None] * m, [None] * m, [None] * m]
+                columns = [sizes, digests, ids, batch.column(2), vectors, [None] * m, [None] * m, [None] * m]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
         if held:
             yield packed(held_keys, held_ids, doc_type)
@@ -203,7 +206,7 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
-    """Edges (a, b) from the first set with a key to the others.
+    """(key, set_id) of all keys that several sets have; a pair may come more than once.
 
     A bucket's rows are merged as they come; what is kept is each key once, with its first set.
     """
@@ -217,10 +220,10 @@ def shared_keys(packed: DataFrame) -> DataFrame:
             every, owner = every[order], owner[order]
             new = np.concatenate([[True], every[1:] != every[:-1]])
             first = owner[np.maximum.accumulate(np.where(new, np.arange(len(every)), 0))]
-            pairs = np.unique(np.stack([first, owner], 1)[first != owner], axis=0)
+            other = first != owner
             keys, ids, size = [every[new]], [owner[new]], 0
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([every[other]] * 2).view("i8")), pa.array(np.concatenate([first[other], owner[other]]))], names=["key", "set_id"])
 
         for batch in batches:
             for b, k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -236,7 +239,51 @@ def shared_keys(packed: DataFrame) -> DataFrame:
             yield from merged()
 
     rows = packed.where("bucket is not null").select("bucket", "keys", "ids")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, set_id bigint")
+
+
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles each of DIMENSIONS groups has."""
+    counts = np.bincount((shingles % np.uint64(DIMENSIONS)).astype("i8"), minlength=DIMENSIONS)
+    return counts.astype("<u2" if len(shingles) < 1 << 16 else "<u4")
+
+
+def vector_of(stored_bytes: bytes) -> np.ndarray:
+    return np.frombuffer(stored_bytes, "<u2" if len(stored_bytes) == 2 * DIMENSIONS else "<u4").astype("i4")
+
+
+def near_points(points: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of one key whose vectors' bound reaches the threshold; a spanning forest for each key.
+
+    points (key, set_id, vector) are sorted by key.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        edges: list[tuple[int, int]] = []
+
+        def join() -> None:
+            if len(held) > 1:
+                ids, vectors = list(held), np.stack([vector_of(v) for v in held.values()])
+                edges.extend((ids[i], ids[j]) for i, j in forest(vectors, vectors.sum(1), percent, None))
+
+        for batch in batches:
+            for k, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    join()
+                    key, held = k, {}
+                held[i] = v
+            if len(edges) > 100_000:
+                yield edge_rows(edges)
+                edges.clear()
+        join()
+        if edges:
+            yield edge_rows(edges)
+
+    def edge_rows(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        pairs = np.unique(np.array(edges, "i8"), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return points.mapInArrow(run, "a bigint, b bigint")
 
 
 class CountTree:
@@ -264,29 +311,47 @@ class CountTree:
         return self.order[at]
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[int]:
-    """A label for each set: equal labels if and only if links connect them."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    vectors = np.zeros((n, DIMENSIONS), "i4")
-    for i, s in enumerate(sets):
-        vectors[i] = np.bincount((s % np.uint64(DIMENSIONS)).astype("i8"), minlength=DIMENSIONS)
-    tree, label, members = CountTree(vectors, sizes), np.arange(n), {i: [i] for i in range(n)}
+def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, linked) -> list[tuple[int, int]]:
+    """Edges that connect just what pairs within reach connect: the bound must reach the threshold, and linked(i, j) hold if given."""
+    n = len(sizes)
+    if n == 2:
+        within = (100 + percent) * np.minimum(vectors[0], vectors[1]).sum() >= percent * sizes.sum()
+        return [(0, 1)] if within and (linked is None or linked(0, 1)) else []
+    tree, label, members, out = CountTree(vectors, sizes), np.arange(n), {i: [i] for i in range(n)}, []
     for i in tree.order.tolist():
+        if len(members) == 1:
+            break
         near = tree.query(vectors[i], int(sizes[i]), percent)
-        near = near[label[near] != label[i]]
-        for j in near.tolist():
-            if label[j] == label[i]:
-                continue
-            a, b = (sets[i], sets[j]) if sizes[i] < sizes[j] else (sets[j], sets[i])
-            at = np.searchsorted(b, a)
-            both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-            if 100 * both >= percent * (len(a) + len(b) - both):
+        for j in near[label[near] != label[i]].tolist():
+            if label[j] != label[i] and (linked is None or linked(i, j)):
+                out.append((i, j))
                 small, large = sorted((label[i], label[j]), key=lambda x: len(members[x]))
                 moved = members.pop(small)
                 label[moved] = large
                 members[large] += moved
-    return label.tolist()
+    return out
+
+
+def links(sets: list[np.ndarray], percent: int) -> list[int]:
+    """A label for each set: equal labels if and only if links connect them."""
+    def linked(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+        at = np.searchsorted(b, a)
+        both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    vectors = np.stack([count_vector(s).astype("i4") for s in sets])
+    label = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i, j in forest(vectors, np.array([len(s) for s in sets]), percent, linked):
+        label[top(i)] = top(j)
+    return [top(i) for i in range(len(sets))]
 
 
 def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
@@ -340,8 +405,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     every = stored(shingled(docs.select("doc_id", "text"), n, percent, -(-total // BUCKET)), "sets")
-    families = components(shared_keys(every))
     sets = every.where("bucket is null")
+    vectors = sets.where("vector is not null").groupBy("set_id").agg(F.max("vector").alias("vector"))
+    points = shared_keys(every).join(vectors, "set_id").select("key", "set_id", "vector")
+    families = components(near_points(points.repartition("key").sortWithinPartitions("key", "set_id"), percent))
     classes = sets.where("set_key is not null").groupBy("set_key", "set_id").agg(F.min("doc_id").alias("min_doc"), F.min("text_md5").alias("text_md5"))
     wanted = classes.join(families.withColumnRenamed("node", "set_id"), "set_id").select("root", "set_key", "min_doc", F.col("text_md5").alias("_md5"))
     texts = docs.select("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
