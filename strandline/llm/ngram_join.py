@@ -9,7 +9,8 @@ two such sets agree in one group at least: every set emits the hash of each grou
 content, and pairs are looked for among the sets that share one. Sizes fall into ranges;
 a set emits for its own range and, if a partner may be larger, for the next.
 
-Joining. Each set is a point: how many of its shingles each of DIMENSIONS other groups has.
+Joining. Each set is a point: how many of its shingles each of DIMENSIONS other groups has
+(or more for long sets: their vectors fold to fewer by adding up).
 The points that share a key go into a packed R-tree whose nodes keep their coordinates'
 maxima and the least size. The overlap with any set below a node is at most the sum of the
 smaller coordinates, so nodes and points whose sum is too small for the threshold are
@@ -185,7 +186,7 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     ids.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
                     vectors.append(None)
                     if digest is not None and digest not in seen:
-                        vectors[-1] = count_vector(s).tobytes()
+                        vectors[-1] = count_vector(s, dimensions_for(len(s))).tobytes()
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(digest)
@@ -242,14 +243,22 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, set_id bigint")
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles each of DIMENSIONS groups has."""
-    counts = np.bincount((shingles % np.uint64(DIMENSIONS)).astype("i8"), minlength=DIMENSIONS)
-    return counts.astype("<u2" if len(shingles) < 1 << 16 else "<u4")
+def dimensions_for(size: int) -> int:
+    """A power of two that leaves about ten shingles to a dimension: fewer dimensions tell long sets apart too badly."""
+    return min(max(DIMENSIONS, 1 << (max(size, 1) // 10).bit_length()), 1 << 15)
 
 
-def vector_of(stored_bytes: bytes) -> np.ndarray:
-    return np.frombuffer(stored_bytes, "<u2" if len(stored_bytes) == 2 * DIMENSIONS else "<u4").astype("i4")
+def count_vector(shingles: np.ndarray, dimensions: int) -> np.ndarray:
+    """How many of a set's shingles each of the dimensions has."""
+    counts = np.bincount((shingles & np.uint64(dimensions - 1)).astype("i8"), minlength=dimensions)
+    return counts.astype("<u4")
+
+
+def vectors_of(stored_bytes: list[bytes]) -> np.ndarray:
+    """Stored vectors as rows, the longer ones folded to the shortest's dimensions."""
+    each = [np.frombuffer(b, "<u4") for b in stored_bytes]
+    dimensions = min(map(len, each))
+    return np.stack([v.reshape(-1, dimensions).sum(0) for v in each]).astype("i4")
 
 
 def near_points(points: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +272,7 @@ def near_points(points: DataFrame, percent: int) -> DataFrame:
 
         def join() -> None:
             if len(held) > 1:
-                ids, vectors = list(held), np.stack([vector_of(v) for v in held.values()])
+                ids, vectors = list(held), vectors_of(list(held.values()))
                 edges.extend((ids[i], ids[j]) for i, j in forest(vectors, vectors.sum(1), percent, None))
 
         for batch in batches:
@@ -340,7 +349,10 @@ def links(sets: list[np.ndarray], percent: int) -> list[int]:
         both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    vectors = np.stack([count_vector(s).astype("i4") for s in sets])
+    dimensions = dimensions_for(max(map(len, sets)))
+    while dimensions > DIMENSIONS and dimensions * len(sets) > 1 << 23:
+        dimensions //= 2
+    vectors = np.stack([count_vector(s, dimensions).astype("i4") for s in sets])
     label = list(range(len(sets)))
 
     def top(i: int) -> int:
