@@ -16,9 +16,9 @@ digit passes; equal ones are the repeated strings. A pass keeps what can still b
 
 Copies of a text are counted first and counted with map-side combining: a text of `width`
 bytes or more that occurs twice goes as a whole. In the passes it is one text, sent once
-per task that has it. Rows of one anchor are read in sorted order and compared by chunks of
-contexts; the places of an anchor are never gathered beyond CHUNK contexts at a time:
-then window hashes are kept, not bytes.
+per task that has it. Rows of one anchor are read in sorted
+order: places that share a context are settled as they are read, and only one row for
+each context of the anchor is gathered.
 
 Texts are compared as UTF-8 bytes; matches never cross texts. A null text is empty. Rows
 with equal ids are rows of their own. Texts shorter than `width` lose nothing. An empty
@@ -207,8 +207,14 @@ def window_hashes(group: np.ndarray, left: np.ndarray, pieces: list[bytes], widt
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """(text_id, start, end): bytes of texts covered by repeated suffixes; rows are sorted by anchor and context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # contexts: [anchor, context, left, length, bytes, members]
+        # contexts: [anchor, context, left, length, bytes, latest member, whether there are several]
         held: list[list] = []
+        settled: list[tuple] = []  # spans of contexts with several members, which need no comparison
+
+        def given_out() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*settled, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            settled.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["text_id", "start", "end"])
 
         def spans(flush_all: bool) -> Iterator[pa.RecordBatch]:
             """Decides the held contexts, but for the last anchor's unless it has ended; what is too large stays as hashes."""
@@ -221,7 +227,7 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
                 return
             ids, starts, ends = [], [], []
             several = [i for i, c in enumerate(now) if (i and now[i - 1][0] == c[0]) or (i + 1 < len(now) and now[i + 1][0] == c[0])]
-            compare = [i for i in several if len(now[i][5]) == 1 and now[i][3] >= width]
+            compare = [i for i in several if not now[i][6] and now[i][3] >= width]
             marks: dict[int, np.ndarray] = {}
             if several:
                 group = np.array([now[i][0] for i in several], "i8")
@@ -232,22 +238,14 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
                 for j, i in enumerate(several):
                     marks[i] = twice[bounds[j] : bounds[j + 1]]
             wanted = set(compare)
-            for i, (_, _, left, length, _, members) in enumerate(now):
-                if length < width:
-                    continue
-                if len(members) > 1:
-                    runs = [(0, length)]
-                elif i in wanted and marks[i].any():
-                    m = np.concatenate([[0], marks[i].astype("i1"), [0]])
-                    d = np.diff(m)
-                    runs = list(zip(np.flatnonzero(d == 1).tolist(), (np.flatnonzero(d == -1) - 1 + width).tolist(), strict=True))
-                else:
-                    continue
-                for text, place in members:
-                    for a, b in runs:
+            for i in wanted:
+                if marks[i].any():
+                    d = np.diff(np.concatenate([[0], marks[i].astype("i1"), [0]]))
+                    text, place = now[i][5]
+                    for a, b in zip(np.flatnonzero(d == 1).tolist(), (np.flatnonzero(d == -1) - 1 + width).tolist(), strict=True):
                         ids.append(text)
-                        starts.append(place - left + a)
-                        ends.append(place - left + b)
+                        starts.append(place - now[i][2] + a)
+                        ends.append(place - now[i][2] + b)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["text_id", "start", "end"])
 
@@ -255,14 +253,20 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
             for anchor, context, text, place, left, length, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 last = held[-1] if held else None
                 if last is not None and last[0] == anchor and last[1] == context and last[2] == left:
-                    if last[5][-1] != (text, place):
-                        last[5].append((text, place))
                     last[4] = last[4] or piece
+                    if last[5] != (text, place) and length >= width:
+                        members = [(text, place)] if last[6] else [last[5], (text, place)]
+                        settled.extend((t, p - left, p - left + length) for t, p in members)
+                        last[5], last[6] = (text, place), True
                 else:
-                    held.append([anchor, context, left, length, piece, [(text, place)]])
+                    held.append([anchor, context, left, length, piece, (text, place), False])
+            if len(settled) > 50_000:
+                yield given_out()
             if len(held) > CHUNK:
                 yield from spans(False)
         yield from spans(True)
+        if settled:
+            yield given_out()
 
     return rows.repartition("anchor").sortWithinPartitions("anchor", "context", "left", "text_id", "place").mapInArrow(run, "text_id binary, start bigint, end bigint")
 
