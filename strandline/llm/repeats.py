@@ -39,6 +39,8 @@ from strandline.llm.common import table
 from strandline.llm.hashing import Prefixes, mix, parts_by_bytes, text_bytes
 
 WIDTH, DIGIT, CHUNK, SEGMENT = 400, 128, 2000, 2 << 20
+#: The stage's threshold: strings of 240 bytes lead to all passages of over 50 words but those of very short words.
+STAGE_WIDTH, STAGE_DIGIT, STAGE_WORDS = 240, 64, 51
 
 
 def text_key(text: Column) -> Column:
@@ -274,8 +276,11 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
 CUT = "text_id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
-def without_spans(texts: DataFrame, keep_bytes: bool) -> DataFrame:
-    """Of texts (text_id, text, spans array<struct<start, end>>): what is removed, and what stays."""
+def without_spans(texts: DataFrame, keep_bytes: bool, least_words: int = 0) -> DataFrame:
+    """Of texts (text_id, text, spans array<struct<start, end>>) that lose bytes: what is removed, and what stays.
+
+    Runs of joined spans stay if they have fewer words than least_words.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
         for whole in batches:
@@ -285,19 +290,19 @@ def without_spans(texts: DataFrame, keep_bytes: bool) -> DataFrame:
                     if key in done:
                         continue
                     done.add(key)
-                    data, kept, at, runs, removed = text.encode(), [], 0, 0, 0
+                    data, runs = text.encode(), []
                     for a, b in sorted((s["start"], s["end"]) for s in spans):
-                        if not runs or a > at:
-                            kept.append(data[at:a])
-                            runs += 1
-                            removed += b - a
-                            at = b
-                        elif b > at:
-                            removed += b - at
-                            at = b
-                    kept.append(data[at:])
+                        if runs and a <= runs[-1][1]:
+                            runs[-1][1] = max(b, runs[-1][1])
+                        else:
+                            runs.append([a, b])
+                    if least_words:
+                        runs = [r for r in runs if len(data[r[0] : r[1]].split()) >= least_words]
+                    if not runs:
+                        continue
+                    kept = [data[a:b] for a, b in zip([0, *[r[1] for r in runs]], [*[r[0] for r in runs], len(data)], strict=True)]
                     left = b"".join(kept)
-                    rows.append((key, removed, runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore").encode() if keep_bytes else None))
+                    rows.append((key, sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore").encode() if keep_bytes else None))
                 if rows:
                     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["text_id", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -305,7 +310,7 @@ def without_spans(texts: DataFrame, keep_bytes: bool) -> DataFrame:
     return texts.mapInArrow(run, CUT)
 
 
-def removals(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, keep_bytes: bool = False) -> DataFrame:
+def removals(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, keep_bytes: bool = False, least_words: int = 0) -> DataFrame:
     """(text_id, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes."""
     keyed = docs.select(text_key(F.col("text")).alias("text_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= width)
     shared = shared_anchors(anchor_rows(keyed, width, digit))
@@ -316,7 +321,7 @@ def removals(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, keep_bytes
     copies = keyed.groupBy("text_id", F.octet_length("text").cast("bigint").alias("end")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = copies.select("text_id", F.lit(0).cast("bigint").alias("start"), "end")
     all_spans = spans.unionByName(whole).groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return without_spans(distinct.join(all_spans, "text_id").select("text_id", "text", "spans"), keep_bytes)
+    return without_spans(distinct.join(all_spans, "text_id").select("text_id", "text", "spans"), keep_bytes, least_words)
 
 
 def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,8 +336,8 @@ def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated strings; a character cut in two goes as a whole."""
-    cut = removals(docs.select("doc_id", "text"), keep_bytes=True).select(F.col("text_id").alias("__cut_id"), F.col("kept").cast("string").alias("__cut_text"))
+    """Texts lose their repeated passages of over 50 words, wherever these stand; a character cut in two goes as a whole."""
+    cut = removals(docs.select("doc_id", "text"), STAGE_WIDTH, STAGE_DIGIT, True, STAGE_WORDS).select(F.col("text_id").alias("__cut_id"), F.col("kept").cast("string").alias("__cut_text"))
     joined = docs.join(cut, text_key(F.col("text")) == F.col("__cut_id"), "left")
     changed = F.col("__cut_id").isNotNull()
     new = {"text": F.when(changed, F.col("__cut_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__cut_text").cast("bigint")).otherwise(F.col("n_chars"))}

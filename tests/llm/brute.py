@@ -41,7 +41,7 @@ def component_ids(docs, n, percent):
     return out
 
 
-def without_repeats(docs, width=400):
+def without_repeats(docs, width=400, least_words=0):
     texts = [(t or "").encode() for _, t in docs]
     seen = Counter(b[s : s + width] for b in texts for s in range(len(b) - width + 1))
     out = []
@@ -50,7 +50,14 @@ def without_repeats(docs, width=400):
         for s in range(len(b) - width + 1):
             if seen[b[s : s + width]] > 1:
                 gone[s : s + width] = [True] * width
-        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        starts = [i for i, g in enumerate(gone) if g and not (i and gone[i - 1])]
+        runs = 0
+        for s in starts:
+            e = next((i for i in range(s, len(b)) if not gone[i]), len(b))
+            if len(b[s:e].split()) < least_words:
+                gone[s:e] = [False] * (e - s)
+            else:
+                runs += 1
         out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
 

@@ -116,6 +116,18 @@ def test_repeats(request, spark, which, tmp_path):
     assert sorted(got, key=key) == sorted(brute.without_repeats(pairs_of(df)), key=key)
 
 
+def test_repeated_passages_of_over_50_words_go(spark):
+    word = lambda kind, n: " ".join(f"{kind}{i:04d}" for i in range(n))
+    passage, shorter = word("p", 55), word("q", 50)
+    texts = [f"{word('a', 60)}\n{passage}\n{word('b', 60)}", f"{word('c', 30)} {passage} {word('d', 30)}", f"{word('e', 40)}_{shorter}_{word('f', 9)}", f"{shorter}|", word("g", 200), None]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.text for r in repeats.stage(spark, docs, "").collect()}
+    assert "p0030" not in got[0] + got[1] and got[0].startswith(word("a", 60)) and got[1].endswith(word("d", 30))
+    assert [got[i] for i in range(2, 6)] == texts[2:]
+    wanted = brute.without_repeats(list(enumerate(texts)), repeats.STAGE_WIDTH, repeats.STAGE_WORDS)
+    assert [len((got[d] or "").encode()) for d, *_ in wanted] == [n - gone for _, n, gone, _, _ in wanted]
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 103, 9000).astype("u1")
@@ -326,7 +338,7 @@ def test_pipeline(spark, real):
     docs2 = ngram_join.stage(spark, docs1, SF)
     assert sorted(r.doc_id for r in docs2.collect()) == sorted({c for _, n, c in brute.component_ids(pairs_of(docs1), 5, 80)})
     docs3 = repeats.stage(spark, docs2, SF)
-    want = {d: r for d, _, r, _, _ in brute.without_repeats(pairs_of(docs2))}
+    want = {d: r for d, _, r, _, _ in brute.without_repeats(pairs_of(docs2), repeats.STAGE_WIDTH, repeats.STAGE_WORDS)}
     before = dict(pairs_of(docs2))
     for d, t in pairs_of(docs3):
         assert 0 <= len(before[d].encode()) - want[d] - len(t.encode()) < 8 * (want[d] > 0) + 1
