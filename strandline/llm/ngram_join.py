@@ -207,15 +207,42 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
-    """(key, set_id) of all keys that several sets have; a pair may come more than once.
+    """(key, set_id) of all keys that several sets have, each distinct group of sets once.
 
-    A bucket's rows are merged as they come; what is kept is each key once, with its first set.
+    A bucket's rows are merged as they come; what is kept is each key once, with its first set,
+    and what is shared. Near copies share many keys: a key is renamed after its sets, so that all
+    keys of the same sets become one. A bucket that shares too much to wait for its end keeps
+    its keys' own names.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, keys, ids, size = None, [], [], 0
+        shared: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting, renames = 0, True
+
+        def given_out() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            waiting = 0
+            if not shared:
+                return
+            key, member = (np.concatenate(x) for x in zip(*shared, strict=True))
+            shared.clear()
+            order = np.lexsort([member, key])
+            key, member = key[order], member[order]
+            one = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])])
+            key, member = key[one], member[one]
+            if renames:
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                counts = np.diff(np.append(starts, len(key)))
+                with np.errstate(over="ignore"):
+                    names = mix(np.add.reduceat(mix(member.view("u8") + np.uint64(0x2545F4914F6CDD1D)), starts) + counts.astype("u8"))
+                new = np.zeros(len(names), bool)
+                new[np.unique(names, return_index=True)[1]] = True
+                pick = np.repeat(new, counts)
+                key, member = np.repeat(names, counts)[pick], member[pick]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(member)], names=["key", "set_id"])
 
         def merged() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, ids, size
+            nonlocal keys, ids, size, waiting, renames
             every, owner = np.concatenate(keys), np.concatenate(ids)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
@@ -224,7 +251,11 @@ def shared_keys(packed: DataFrame) -> DataFrame:
             other = first != owner
             keys, ids, size = [every[new]], [owner[new]], 0
             if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([every[other]] * 2).view("i8")), pa.array(np.concatenate([first[other], owner[other]]))], names=["key", "set_id"])
+                shared.append((np.concatenate([every[other]] * 2), np.concatenate([first[other], owner[other]])))
+                waiting += len(shared[-1][0])
+                if waiting > 2 * HELD_KEYS:
+                    renames = False
+                    yield from given_out()
 
         for batch in batches:
             for b, k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -232,15 +263,17 @@ def shared_keys(packed: DataFrame) -> DataFrame:
                     if keys:
                         yield from merged()
                     if b != bucket:
-                        bucket, keys, ids, size = b, [], [], 0
+                        yield from given_out()
+                        bucket, keys, ids, size, renames = b, [], [], 0, True
                 keys.append(np.cumsum(grown(k, "u8"), dtype="u8"))
                 ids.append(grown(i, "i8"))
                 size += len(ids[-1])
         if keys:
             yield from merged()
+        yield from given_out()
 
     rows = packed.where("bucket is not null").select("bucket", "keys", "ids")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, set_id bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, set_id bigint").distinct()
 
 
 def dimensions_for(size: int) -> int:
