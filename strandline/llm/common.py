@@ -34,6 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that `stored` returned; nothing read from now on may need it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def aside(docs: DataFrame) -> list[Column]:
     """All columns of docs under names that no operator uses."""
     return [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored, table
+from strandline.llm.common import dropped, stored, table
 from strandline.llm.components import components
 from strandline.llm.hashing import Prefixes, grown, mix, parts_by_bytes, shrink, steps, text_bytes
 
@@ -454,6 +454,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     vectors = sets.where("vector is not null").groupBy("set_id").agg(F.max("vector").alias("vector"))
     points = shared_keys(every).join(vectors, "set_id").select("key", "set_id", "vector")
     families = components(near_points(points.repartition("key").sortWithinPartitions("key", "set_id"), percent))
+    sets = stored(sets.select("doc_id", "n_shingles", "set_key", "set_id", "text_md5"), "classes")
+    dropped(every)  # keys and vectors have done their part; families are stored
     classes = sets.where("set_key is not null").groupBy("set_key", "set_id").agg(F.min("doc_id").alias("min_doc"), F.min("text_md5").alias("text_md5"))
     wanted = classes.join(families.withColumnRenamed("node", "set_id"), "set_id").select("root", "set_key", "min_doc", F.col("text_md5").alias("_md5"))
     texts = docs.select("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
