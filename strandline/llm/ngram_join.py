@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import dropped, stored, table
+from strandline.llm.common import aside, dropped, restored, stored, table
 from strandline.llm.components import components
 from strandline.llm.hashing import Prefixes, grown, mix, parts_by_bytes, shrink, steps, text_bytes
 
@@ -400,7 +400,7 @@ def links(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
-    """(set_key, component): of each family's sets (root, set_key, min_doc, text), sorted by root."""
+    """(set_key, component, group_key): of each family's sets (root, set_key, min_doc, text), sorted by root; group_key is the group's least set_key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, held = None, {}
 
@@ -408,10 +408,13 @@ def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFr
             keys, docs, sets = zip(*[(k, d, s) for k, (d, s) in held.items()], strict=True)
             label = links(list(sets), percent)
             least: dict[int, object] = {}
-            for g, d in zip(label, docs, strict=True):
+            first: dict[int, bytes] = {}
+            for g, d, k in zip(label, docs, keys, strict=True):
                 if d is not None and (least.get(g) is None or d < least[g]):
                     least[g] = d
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([least.get(g) for g in label], doc_type)], names=["set_key", "component"])
+                first[g] = min(k, first.get(g, k))
+            columns = [pa.array(keys, pa.binary()), pa.array([least.get(g) for g in label], doc_type), pa.array([first[g] for g in label], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["set_key", "component", "group_key"])
 
         for whole in batches:
             doc_type = whole.schema.field(2).type
@@ -426,7 +429,7 @@ def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFr
         if held:
             yield joined()
 
-    return family_texts.mapInArrow(run, f"set_key binary, component {kind}")
+    return family_texts.mapInArrow(run, f"set_key binary, component {kind}, group_key binary")
 
 
 def one_text_each(rows: DataFrame) -> DataFrame:
@@ -445,8 +448,11 @@ def one_text_each(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_md5) of every row of docs (doc_id, text)."""
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_md5, group_key) of every row of docs (doc_id, text).
+
+    Rows are of one group if and only if their group_key is equal, ids or not; without shingles it is null.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     every = stored(shingled(docs.select("doc_id", "text"), n, percent, -(-total // BUCKET)), "sets")
@@ -461,10 +467,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     texts = docs.select("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
     met = one_text_each(texts.join(wanted, "_md5").select("root", "set_key", "min_doc", "text"))
     linked = verified(met.repartition("root").sortWithinPartitions("root", "set_key"), n, percent, kind)
-    named = classes.join(linked, "set_key", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "min_doc").alias("component_id"))
+    named = classes.join(linked, "set_key", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "min_doc").alias("component_id"), F.coalesce("group_key", "set_key").alias("group_key"))
     rows = sets.select("doc_id", "n_shingles", "set_key", "text_md5")
     out = rows.join(named, F.col("set_key") == F.col("_key"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_md5")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_md5", "group_key")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_md5) of every row of docs (doc_id, text)."""
+    return jaccard_groups(docs, n, percent).drop("group_key")
 
 
 def op3_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,8 +483,20 @@ def op3_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; documents without shingles all stay."""
-    found = jaccard_components(docs, 5, 80)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__kept_id"), F.col("text_md5").alias("__kept_md5")).distinct()
+    """One row of each group stays; documents without shingles all stay.
+
+    It is that with the smallest id (null ids last), of several texts with that id the one with
+    the least MD5, of several rows with both equal the one whose columns are least.
+    """
+    found = jaccard_groups(docs, 5, 80)
+    counted = found.groupBy("group_key", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.col("group_key").isNull()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5", (~alone & (F.col("n") > 1)).alias("several"))).alias("least")
+    chosen = counted.groupBy("group_key", F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("text_md5")).alias("md5")).agg(least)
+    keep = stored(chosen.select(F.col("least.doc_id").alias("__kept_id"), F.col("least.text_md5").alias("__kept_md5"), F.col("least.several").alias("__several")), "keep")
     md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (md5 == F.col("__kept_md5")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (md5 == F.col("__kept_md5"))
+    single = docs.join(keep.where("not __several"), same, "left_semi")
+    several = docs.join(keep.where("__several"), same, "left_semi")
+    one = several.groupBy(F.col("doc_id").alias("__kept_id"), md5.alias("__kept_md5")).agg(F.min(F.struct(*aside(docs))).alias("__row"))
+    return single.unionByName(one.select("__row.*").select(*restored(docs)))

@@ -345,3 +345,17 @@ def test_pipeline(spark, real):
     docs4 = mixing.stage(spark, docs3, SF)
     rows = packing.packed(docs4, packing.tokenizer_path()).collect()
     check_packing(pairs_of(docs4), rows, packing.tokenizer_path())
+
+
+def test_pipeline_keeps_one_row_of_repeated_rows_and_copies_without_id(spark):
+    prose = lambda kind, end="end": " ".join([*(f"{kind}{i:04d}" for i in range(60)), end])
+    rows = [(1, prose("a"), "s"), (1, prose("a"), "s"), (2, prose("b"), "s"), (2, prose("b"), "r"), (5, prose("e"), "s"), (5, prose("e", "other"), "s"), (6, prose("f"), "s"), (None, prose("f"), "s")]
+    rows += [(None, prose("c"), "s")] * 3 + [(None, prose("d"), "s"), (None, prose("d", "other"), "s"), (7, None, "s"), (7, None, "s"), (None, " ", "s"), (None, " ", "s")]
+    docs = spark.createDataFrame([(d, t, "en", s, None if t is None else len(t)) for d, t, s in rows], DOCS).repartition(3)
+    joined = ngram_join.stage(spark, docs, "")
+    assert joined.columns == docs.columns
+    got = sorted(((r.doc_id, r.text[:1], r.source) for r in joined.collect() if (r.text or " ").strip()), key=key)
+    assert got == sorted([(1, "a", "s"), (2, "b", "r"), (5, "e", "s"), (6, "f", "s"), (None, "c", "s"), (None, "d", "s")], key=key)
+    assert joined.count() == 6 + 4
+    after = repeats.stage(spark, joined, "")
+    assert sorted((r.text or "" for r in after.collect()), key=key) == sorted((r.text or "" for r in joined.collect()), key=key)
