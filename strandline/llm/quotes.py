@@ -4,7 +4,8 @@ A line's quote level is the number of > before it. Neighbouring lines of one lev
 passage. Passages and their single lines are normalised (lower case, white space as single
 spaces) and hashed; what a message says itself (level 0) is hashed in the same way, as a
 whole, by passage and by line. A quote's origin is the first message of its own
-conversation to say it, if that came before, or else the first message of all. A message
+conversation to say it, if that came before, or else the first message of all other
+conversations, in order of conv_id and turn. A message
 replies to the origin of its lowest-level linked quote (whole passages before lines), or
 without one to the turn before it. As replies point back, the order of turns is a reply
 order of each conversation.
@@ -78,13 +79,17 @@ def linked(messages: DataFrame) -> DataFrame:
     body_key = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("rank"), F.md5(normalised(F.col("body")).cast("binary")).alias("hash")))
     own = known.select("conv_id", "turn", F.explode(F.concat(body_key, F.filter(keys(F.col("_runs")), lambda k: k["level"] == 0))["hash"]).alias("_hash"))
     here = own.groupBy("conv_id", "_hash").agg(F.min("turn").alias("_turn"))
-    first = own.groupBy("_hash").agg(F.min(F.struct("conv_id", "turn")).alias("_first"))
+    first = own.groupBy("_hash").agg(F.min(F.struct("conv_id", "turn")).alias("_first"), F.max("conv_id").alias("_last_conv"))
+    # first messages of the two least conversations: one of them is always another than the quoting one
+    several = first.where(F.col("_first.conv_id") < F.col("_last_conv")).select(F.col("_hash").alias("_h"), F.col("_first.conv_id").alias("_c"))
+    second = here.join(several, (F.col("_hash") == F.col("_h")) & (F.col("conv_id") > F.col("_c"))).groupBy("_hash").agg(F.min(F.struct("conv_id", F.col("_turn").alias("turn"))).alias("_second"))
+    first = first.drop("_last_conv")
 
     quoted = known.where(F.col("n_quotes") > 0).select("conv_id", "turn", "_id", F.explode(F.filter(keys(F.col("_runs")), lambda k: k["level"] > 0)).alias("_k"))
     quoted = quoted.select("conv_id", "turn", "_id", "_k.level", "_k.rank", F.col("_k.hash").alias("_hash")).distinct()
-    found = quoted.join(here, ["conv_id", "_hash"], "left").join(first, "_hash", "left")
+    found = quoted.join(here, ["conv_id", "_hash"], "left").join(first, "_hash", "left").join(second, "_hash", "left")
     inside = F.when(F.col("_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("_turn").alias("turn")))
-    outside = F.when(F.col("_first.conv_id") != F.col("conv_id"), F.col("_first"))
+    outside = F.when(F.col("_first.conv_id") != F.col("conv_id"), F.col("_first")).otherwise(F.col("_second"))
     links = found.withColumn("_to", F.coalesce(inside, outside)).where(F.col("_to").isNotNull())
     best = links.groupBy("conv_id", "turn", "_id").agg(F.min(F.struct("level", "rank", "_to")).alias("_best"), F.sum((F.col("rank") == 0).cast("bigint")).alias("n_linked"))
 

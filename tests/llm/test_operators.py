@@ -359,3 +359,9 @@ def test_pipeline_keeps_one_row_of_repeated_rows_and_copies_without_id(spark):
     assert joined.count() == 6 + 4
     after = repeats.stage(spark, joined, "")
     assert sorted((r.text or "" for r in after.collect()), key=key) == sorted((r.text or "" for r in joined.collect()), key=key)
+
+
+def test_quote_of_another_conversation_said_here_later(spark):
+    rows = [(1, 0, "> The tide came in.\nx"), (1, 1, "The tide came in."), (2, 0, "The tide came in."), (2, 3, "The tide came in."), (3, 1, "> The tide came in.\ny"), (4, 0, "> only here\nz"), (4, 1, "only here")]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in quotes.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")).collect()}
+    assert got[(1, 0)] == (1, 2, 0) and got[(3, 1)] == (1, 1, 1) and got[(4, 0)] == (0, None, None)
