@@ -1,4 +1,10 @@
-"""Hashes of many byte strings at once: prefix sums of a polynomial modulo 2**64."""
+"""Hashes of many byte strings at once.
+
+`range_hashes` mixes eight bytes at a time; strings that share none of them by chance alone get
+equal hashes with a probability of 2**-64. `Prefixes` gives every substring of a text its
+hash in constant time by a polynomial modulo 2**64, which structured strings can make
+collide: it may only propose what is then compared.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -22,6 +29,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Longer strings are hashed one by one.
+LONG, SEED = 64, 0x5851F42D4C957F2D
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings data[start:stop]; none of them may be empty."""
+    padded = np.append(data, np.zeros(8, "u1"))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # at every byte, that and the seven after it
+    length = stops - starts
+    h = mix(length.astype("u8") + np.uint64(SEED))
+    for k in range(0, min(LONG, int(length.max(initial=0))), 8):
+        now = np.flatnonzero(length > k) if k else slice(None)
+        left = np.minimum(length[now] - k, 8).astype("u8")
+        part = eight[starts[now] + k] & (np.uint64(2**64 - 1) >> ((np.uint64(8) - left) * np.uint64(8)))
+        h[now] = mix(h[now] ^ part)
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes(), SEED)
+    return h
+
+
 @functools.cache
 def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype="u8"))

@@ -16,8 +16,9 @@ maxima and the least size. The overlap with any set below a node is at most the
 smaller coordinates, so nodes and points whose sum is too small for the threshold are
 passed by. What is within reach is connected to families, by connected components over a
 spanning forest for each key; the sets of a family are then joined in the same way, each
-surviving pair being verified on the sets unless it is connected already. So thousands
-of near copies take about one verification each, and no key emits its pairs.
+surviving pair being verified on the sets and then on the words themselves, unless it is
+connected already. So thousands of near copies take about one verification each, and no
+key emits its pairs.
 
 Equal sets meet only in sums with map-side combining and in joins with one row a class,
 which AQE splits; a text is sent once for each task that has it, not once for each copy.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import aside, dropped, restored, stored, table
 from strandline.llm.components import components
-from strandline.llm.hashing import Prefixes, grown, mix, parts_by_bytes, shrink, steps, text_bytes
+from strandline.llm.hashing import grown, mix, parts_by_bytes, range_hashes, shrink, steps, text_bytes
 
 DIMENSIONS, FANOUT, BUCKET = 128, 16, 8 << 20
 _BLANK = np.zeros(256, bool)
@@ -57,7 +58,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & _after_blank_or_start(blank, offsets))
     stops = np.flatnonzero(~blank & _before_blank_or_end(blank, offsets)) + 1
-    word = Prefixes(data).of(starts, stops) if len(starts) else np.empty(0, "u8")
+    word = range_hashes(data, starts, stops)
     return word, np.searchsorted(starts, offsets)
 
 
@@ -374,12 +375,36 @@ def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, linked) -> list
     return out
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[int]:
-    """A label for each set: equal labels if and only if links connect them."""
+def word_shingles(text: bytes, n: int) -> set[tuple]:
+    """The shingles of a text as words, for the last check of a pair."""
+    words = text.lower().split()  # bytes: A-Z and ASCII white space only
+    return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)}  # noqa: B905
+
+
+def links(sets: list[np.ndarray], percent: int, texts: list[bytes] | None = None, n: int = 0) -> list[int]:
+    """A label for each set: equal labels if and only if links connect them.
+
+    Where texts are given, a pair whose hashes reach the threshold is linked only if its words do.
+    """
+    held: dict[int, set[tuple]] = {}
+
+    def words_of(i: int) -> set[tuple]:
+        if i not in held:
+            if len(held) > 2:
+                held.pop(next(iter(held)))
+            held[i] = word_shingles(texts[i], n)
+        return held[i]
+
     def linked(i: int, j: int) -> bool:
         a, b = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
         at = np.searchsorted(b, a)
         both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            return False
+        if texts is None:
+            return True
+        a, b = words_of(i), words_of(j)
+        both = len(a & b)
         return 100 * both >= percent * (len(a) + len(b) - both)
 
     dimensions = dimensions_for(max(map(len, sets)))
@@ -405,8 +430,8 @@ def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFr
         root, held = None, {}
 
         def joined() -> pa.RecordBatch:
-            keys, docs, sets = zip(*[(k, d, s) for k, (d, s) in held.items()], strict=True)
-            label = links(list(sets), percent)
+            keys, docs, sets, texts = zip(*[(k, *v) for k, v in held.items()], strict=True)
+            label = links(list(sets), percent, texts, n)
             least: dict[int, object] = {}
             first: dict[int, bytes] = {}
             for g, d, k in zip(label, docs, keys, strict=True):
@@ -419,13 +444,14 @@ def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFr
         for whole in batches:
             doc_type = whole.schema.field(2).type
             for batch in parts_by_bytes(whole, 3):
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3), n), strict=True)
-                for r, key, doc, s in rows:
+                texts = batch.column(3).cast(pa.binary()).to_pylist()
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3), n), texts, strict=True)
+                for r, key, doc, s, text in rows:
                     if r != root and held:
                         yield joined()
                         held = {}
                     root = r
-                    held[key] = (doc, s.copy())
+                    held[key] = (doc, s.copy(), text)
         if held:
             yield joined()
 

@@ -365,3 +365,22 @@ def test_quote_of_another_conversation_said_here_later(spark):
     rows = [(1, 0, "> The tide came in.\nx"), (1, 1, "The tide came in."), (2, 0, "The tide came in."), (2, 3, "The tide came in."), (3, 1, "> The tide came in.\ny"), (4, 0, "> only here\nz"), (4, 1, "only here")]
     got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in quotes.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")).collect()}
     assert got[(1, 0)] == (1, 2, 0) and got[(3, 1)] == (1, 1, 1) and got[(4, 0)] == (0, None, None)
+
+
+def thue_morse(n):
+    """A word and its complement, which collide under any polynomial modulo a power of two."""
+    signs = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_structured_words_stay_apart(spark, tmp_path):
+    one, other = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(0, one), (1, other), (2, f"{rest} {one} {rest}"), (3, f"{rest} {other} {rest}"), (16, f"{one} x"), (20, thue_morse(64)[0]), (21, thue_morse(64)[1])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(docs.select("doc_id", "text"), 3, 90).collect()}
+    assert [got[d].component_id for d, _ in rows] == [c for *_, c in brute.component_ids(rows, 3, 90)] == [d for d, _ in rows]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in repeats.op2_radix_repeats(spark, str(tmp_path)).collect()) == sorted(brute.without_repeats(rows))
+    scored = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in ppm.ppm_scores(docs.select("doc_id", "text")).collect()}
+    assert scored == {d: b[:4] for (d, _), b in zip(rows, brute.base_scores(rows), strict=True)}
