@@ -5,16 +5,18 @@ what is left of each is packed in blocks of BLOCK remainders. In a block, every
 starts as a partial partition: one item and k - 1 empty windows. The two partitions with
 the largest spread are merged, the fullest windows of one with the emptiest of the other,
 until one is left, whose k windows are near equal. k starts at the least that could hold
-the block. Where windows exceed the capacity by no more than `slack` together, the
-overhang is cut off and goes to windows with room; otherwise k rises and the
-block is packed anew.
+the block. If no window exceeds the capacity, the block is done. Otherwise the windows that
+are nearly full and fit are done, and the remainders of all others are differenced anew over
+the least number that could hold these; where no window is done, that number rises by one.
+So the count rises with what exceeds the capacity (padding is 2 % on the test tables), and
+a document is cut only where it fills a window of its own.
 
 Blocks are made inside the tasks that read the documents: nothing is shuffled, no sequence
 crosses tasks, and what a task holds is one block whatever the size of the table or of
 its sources. A task has one sequence at most for each block that isn't filled.
 
-A null text is empty: its one id is the end id. Very long texts are cut like others.
-Repeated rows are packed as often as they come. doc_id may be null. An empty table gives
+A null text is empty: its one id is the end id. A very long text is one run of ids in its
+task, cut like others. Columns other than id and text are not read. Repeated rows are packed as often as they come. doc_id may be null. An empty table gives
 no rows. Sequence ids hold the task's partition in their upper bits.
 """
 
@@ -103,43 +105,24 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return found + [[] for _ in range(k - len(found))]
 
 
-def pack(sizes: list[int], capacity: int, slack: float = 0.02) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, length): every item whole but for cut-off overhangs.
+def pack(sizes: list[int], capacity: int, full: float = 0.9) -> list[list[int]]:
+    """Windows of whole items; no size may exceed the capacity.
 
-    slack: the part of the block's tokens that may be cut off; 0 packs items whole (each
-    must then fit the capacity).
+    full: the part of the capacity from which a window is done once it fits.
     """
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
-    while True:
-        windows = differencing(sizes, k)
+    items, out = list(range(len(sizes))), []
+    k = -(-sum(sizes) // capacity)
+    while items:
+        windows = [[items[i] for i in w] for w in differencing([sizes[i] for i in items], k)]
         sums = [sum(sizes[i] for i in w) for w in windows]
-        over = sum(max(0, s - capacity) for s in sums)
-        if over <= slack * total:
-            break
-        k += max(1, k // 200)
-    out, tails = [], []
-    for w, s in zip(windows, sums, strict=True):
-        pieces, surplus = [(i, 0, sizes[i]) for i in sorted(w, key=lambda i: sizes[i])], s - capacity
-        while surplus > 0:
-            i, at, n = pieces.pop()
-            cut = min(surplus, n)
-            if cut < n:
-                pieces.append((i, at, n - cut))
-            tails.append((i, at + n - cut, cut))
-            surplus -= cut
-        out.append(pieces)
-    room = sorted(((capacity - s, j) for j, s in enumerate(sums) if s < capacity))
-    for i, at, n in sorted(tails, key=lambda t: -t[2]):
-        while n:
-            free, j = room.pop()
-            put = min(free, n)
-            out[j].append((i, at, put))
-            at, n = at + put, n - put
-            if free > put:
-                room.append((free - put, j))
-                room.sort()
-    return [w for w in out if w]
+        if max(sums) <= capacity:
+            return out + [w for w in windows if w]
+        done = [w for w, s in zip(windows, sums, strict=True) if full * capacity <= s <= capacity]
+        out += done
+        gone = {i for w in done for i in w}
+        items = [i for i in items if i not in gone]
+        k = -(-sum(sizes[i] for i in items) // capacity) if done else k + 1
+    return out
 
 
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -172,7 +155,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
         def flush() -> Iterator[pa.RecordBatch]:
             windows = pack([len(h[1]) for h in held], capacity)
-            yield rows_of([[(held[i][0], held[i][1][at : at + n], held[i][2] + at, n, held[i][3]) for i, at, n in w] for w in windows])
+            yield rows_of([[(held[i][0], held[i][1], held[i][2], len(held[i][1]), held[i][3]) for i in w] for w in windows])
             held.clear()
 
         for batch in batches:
@@ -204,4 +187,5 @@ def op1_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs, tokenizer_path(), with_ids=False)
+    """The pieces of all sequences with their ids."""
+    return packed(docs, tokenizer_path())
