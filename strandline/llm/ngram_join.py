@@ -50,16 +50,21 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of joined texts, A-Z in lower case, and each text's first among them."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of all words of joined texts, and each text's first among them."""
     if not len(data):
-        return np.empty(0, "u8"), np.zeros(len(offsets), "i8")
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.zeros(len(offsets), "i8")
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & _after_blank_or_start(blank, offsets))
     stops = np.flatnonzero(~blank & _before_blank_or_end(blank, offsets)) + 1
-    word = range_hashes(data, starts, stops)
-    return word, np.searchsorted(starts, offsets)
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of joined texts, A-Z in lower case, and each text's first among them."""
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    starts, stops, first = word_spans(data, offsets)
+    return range_hashes(data, starts, stops), first
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:

@@ -101,3 +101,53 @@ def ppm_scores(docs, order):
                 total -= math.log10(257 - len(ruled_out))
         out.append(total)
     return out
+
+
+def cotrained(rows, prior, rounds, share, bins=1 << 16, steps=256, per_unit=2):
+    """What each view learned from by round (bad, good), and both views' calibrated log odds of rows ((text bins, meta bins), y, held)."""
+    centre = math.log(prior / (1 - prior))
+    views, taught = None, []
+
+    def step(bag, v, weights):
+        total = 0.0
+        for b in bag[v]:
+            total += weights.get(b, 0.0)
+        odds = total / math.sqrt(max(len(bag[v]), 1)) if v == 0 else total
+        return min(max(math.floor(odds * per_unit) + steps // 2, 0), steps - 1)
+
+    def says(bag, v):
+        weights, _, good_from, bad_to = views[v]
+        s = step(bag, v, weights)
+        return 1 if s >= good_from else 0 if s <= bad_to else None
+
+    for turn in range(rounds):
+        models, counts = [], []
+        for v in range(2):
+            label = [(None if held else y) if y is not None else says(bag, 1 - v) if views else None for bag, y, held in rows]
+            n = [sum(c == k for c in label) for k in (0, 1)]
+            seen = [Counter(b for (bag, _, _), c in zip(rows, label, strict=True) if c == k for b in bag[v]) for k in (0, 1)]
+            weights = {b: math.log((seen[1][b] + 0.5) / (n[1] + 1)) - math.log((seen[0][b] + 0.5) / (n[0] + 1)) for b in seen[0] | seen[1]}
+            counts.append(tuple(n))
+            at = [step(bag, v, weights) for bag, _, _ in rows]
+            pools = []
+            for s in range(steps):
+                ys = [y for a, (_, y, held) in zip(at, rows, strict=True) if a == s and held and y is not None]
+                pools.append([sum(ys) + 0.05 * prior, len(ys) + 0.05, [s]])
+                while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+                    good, n_, own = pools.pop()
+                    pools[-1] = [pools[-1][0] + good, pools[-1][1] + n_, pools[-1][2] + own]
+            calibrated = {s: math.log(p / (1 - p)) for good, n_, own in pools for p in [min(max(good / n_, 1e-4), 1 - 1e-4)] for s in own}
+            open_ = Counter(a for a, (_, y, _) in zip(at, rows, strict=True) if y is None)
+            budget = share * (turn + 1) * sum(open_.values())
+            good_from, bad_to, left = steps, -1, budget * prior
+            while left > 0 and good_from > 0 and calibrated[good_from - 1] > centre:
+                good_from -= 1
+                left -= open_[good_from]
+            left = budget * (1 - prior)
+            while left > 0 and bad_to + 1 < good_from and calibrated[bad_to + 1] < 0:
+                bad_to += 1
+                left -= open_[bad_to]
+            models.append((weights, calibrated, good_from, bad_to))
+        views = models
+        taught.append(counts)
+    return taught, [tuple(views[v][1][step(bag, v, views[v][0])] for v in range(2)) for bag, _, _ in rows]

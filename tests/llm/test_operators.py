@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from strandline.llm import components, cotraining, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
+from strandline.llm import common, components, cotraining, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
 from tests.compare import connect, spark_rows, sql_rows
 from tests.llm import brute
 
@@ -270,6 +270,47 @@ def test_ppm(request, which):
         assert g[:6] == w[:6] and g[6] == pytest.approx(w[6], abs=0.01) and g[7] == pytest.approx(w[7], rel=1e-4, abs=0.05)
 
 
+def two_views(n, labelled):
+    """Documents whose words and whose source both say something of their quality, with the truth, few labels and messy rows."""
+    rng = random.Random(3)
+    rows, truth = [], []
+    for i in range(n):
+        good = rng.random() < 0.5
+        known = rng.random() < 0.86
+        words = [f"{'fine' if good == (rng.random() < 0.68) else 'poor'}{rng.randrange(400)}" for _ in range(14)] + [f"w{rng.randrange(300)}" for _ in range(10)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", f"s{rng.randrange(150) + 150 * (good == known)}", 200))
+        truth.append((i, int(good)))
+    labels = [(d, q, 0) for d, q in truth if d % (n // labelled) == 0]
+    return rows, dict(truth), labels
+
+
+def test_cotraining_teaches_both_ways(spark):
+    rows, truth, labels = two_views(5000, 500)
+    docs, given = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    every = common.stored(cotraining.labelled(docs, given), "t")
+    prior = cotraining.prior_of(every)
+    known = {d for d, *_ in labels}
+
+    def right(views, odds):
+        got = cotraining.scored(every, views, prior).collect()
+        return sum((odds(r) >= 0) == bool(truth[r.doc_id]) for r in got if r.doc_id not in known) / (len(got) - len(known))
+
+    alone, _ = cotraining.trained(every, prior, 1)
+    views, taught = cotraining.trained(every, prior, 3)
+    for turn in (1, 2):
+        assert all(min(taught[turn][v][c] - taught[0][v][c] for c in range(2)) > 0 for v in range(2)), taught  # each view was given labels of both kinds
+    both = right(views, lambda r: r.text_odds + r.meta_odds)
+    assert both > max(right(alone, lambda r: r.text_odds), right(alone, lambda r: r.meta_odds))
+    assert both > max(right(views, lambda r: r.text_odds), right(views, lambda r: r.meta_odds))
+    assert both > right(alone, lambda r: r.text_odds + r.meta_odds) + 0.01
+    plain = [((np.frombuffer(r.text_bins, "<u2").tolist(), np.frombuffer(r.meta_bins, "<u2").tolist()), r.y, r.held) for r in every.collect()]
+    want_taught, want = brute.cotrained(plain, prior, 3, cotraining.SHARE)
+    assert taught == want_taught
+    got = sorted((round(r.text_odds, 6), round(r.meta_odds, 6)) for r in cotraining.scored(every, views, prior).collect())
+    assert got == sorted((round(a, 6), round(b, 6)) for a, b in want)
+
+
 def test_cotraining(spark, messy, empty):
     at = SF.replace("0.001", "0.01")
     labels, many = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("labels", "documents"))
@@ -278,7 +319,9 @@ def test_cotraining(spark, messy, empty):
     right = [got[d].kept == bool(q) for d, q in truth.items() if d in got and zlib.crc32(str(d).encode()) % 5 == 0]
     assert len(got) == many.count() and sum(right) >= 0.9 * len(right)
     none = spark.createDataFrame([], labels.schema)
-    assert {round(r.score, 6) for r in cotraining.cotrain(messy, none).collect()} == {0.5}
+    clash = messy.withColumns({"y": F.lit("c"), "held": F.lit(1), "text_bins": F.lit(2)})
+    assert {round(r.score, 6) for r in cotraining.cotrain(clash, none).collect()} == {0.5}
+    assert cotraining.cotrain(messy, labels.withColumn("lang", F.lit("x"))).count() == messy.count()
     assert cotraining.cotrain(empty, labels).count() == 0
 
 
