@@ -1,29 +1,44 @@
 """Scoring by prediction by partial matching over byte contexts.
 
-The model is a trie of contexts of 5 to 2 bytes with the counts of what followed them in all
+The model is a trie of contexts of 5 to 0 bytes with the counts of what followed them in all
 training texts. A byte is coded in its longest context that training has seen: with the
 escape estimate of method D (a context with q distinct followers in T occurrences gives
 (2 count - 1) / 2T to each and q / 2T to an escape), each escape going to the next
-shorter context without the followers already ruled out, and below two bytes to an even
-choice among what is left of 257 symbols (bytes and the text's end). A text's score is the
-log10 probability of its bytes and its end, its first bytes having a start mark as context.
-
-The trie grows with the corpus and is never in one place. Texts are dealt to blocks of
-about BLOCK bytes. A block sends its distinct (context, symbol) pairs with their training
-counts to buckets by the context's last two bytes, in which all longer contexts lie with
-the shorter ones they escape to; a bucket sums the counts, computes the code length of
-each pair that any block asked for, and answers each block. The same way goes for the
-words of the unigram baseline, by their hash. Pairs and answers travel as packed arrays.
-Blocks and buckets are sized by the number of bytes, so none depends on sources or copies.
-
-Null texts are empty: one end. Rows with equal ids are scored as often as they come, rows
-without an id count as training rows. An empty table gives no rows.
+shorter context without the followers already ruled out, and below the empty context to an
+even choice among what is left of 257 symbols (bytes and the text's end). A text's score is
+the log10 probability of its bytes and its end, its first bytes having a start mark as
+context.
+
+The trie grows with the corpus and is never in one place.
+
+1. Tasks read the documents once. Each gathers blocks of texts and stores, beside the packed
+   texts, a block's distinct (context, symbol) pairs with their training counts, dealt to
+   buckets by the pairs' last two bytes (GROUPS) and, so that common ones split, by the
+   third last (SPLITS).
+2. A bucket's counts are summed as they stream by; it holds its distinct pairs only. Those
+   of a bucket have all contexts of three bytes and more that they escape to. The pairs of
+   two-byte contexts (257**3 at most) are summed by group, those of shorter ones
+   (257**2 + 257 at most) for all, which is small enough to be broadcast.
+3. A bucket's model and then the blocks' questions come sorted to one task, which answers
+   each with the code lengths of its pairs. A block's answers and its packed texts meet in
+   the same way. Words of the unigram baseline go along, by their hash.
+
+Blocks grow with the fourth root of the corpus and buckets with the root of the number of
+blocks, so the rows of step 1 (blocks times buckets) hold hundreds of pairs each at any size.
+Neither depends on sources or copies.
+
+Null texts are empty: one end. A very long text is a block of its own. Rows with equal ids
+are scored as often as they come, rows without an id count as training rows. An empty
+table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +46,15 @@ from strandline.llm.common import stored, table
 from strandline.llm.hashing import grown, mix, parts_by_bytes, shrink, steps, text_bytes
 from strandline.llm.ngram_join import word_hashes
 
-ORDER, BITS, MARK, ALPHABET, BLOCK = 5, 9, 256, 257, 8 << 20
+ORDER, BITS, MARK, ALPHABET, BLOCK, SPLITS = 5, 9, 256, 257, 16 << 20, 8
 END_WORD = np.uint64(0x1CEB00DA5EED)
+Counts = tuple[np.ndarray, np.ndarray]
+NONE: Counts = (np.empty(0, "u8"), np.empty(0, "i8"))
+
+
+def low(keys: np.ndarray, symbols: int) -> np.ndarray:
+    """The last `symbols` symbols of codes."""
+    return keys & np.uint64((1 << symbols * BITS) - 1)
 
 
 def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,15 +77,15 @@ def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[pick], np.concatenate([[0], ends])
 
 
-def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> Counts:
     """Distinct keys, ascending, and the sums of their counts."""
     if not keys:
-        return np.empty(0, "u8"), np.empty(0, "i8")
+        return NONE
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype("i8")
 
 
-def with_training(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def with_training(keys: np.ndarray, trains: np.ndarray) -> Counts:
     """Distinct keys, and how often each comes where trains is true."""
     every = np.unique(keys)
     seen, number = np.unique(keys[trains], return_counts=True)
@@ -72,184 +94,291 @@ def with_training(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.
     return every, count
 
 
-def block_keys(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs and words of a block (text, trains), each with training counts."""
-    found: tuple[list, ...] = ([], [], [], [])
-    for batch in texts.combine_chunks().to_batches():
-        for part in parts_by_bytes(batch, 0):
-            trains = part.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = text_bytes(part.column(0))
-            code, ends = pairs(data, offsets)
-            a, b = with_training(code, np.repeat(trains, np.diff(ends)))
-            word, first = word_hashes(data, offsets)
-            word = np.concatenate([word, np.full(len(trains), END_WORD)])
-            c, d = with_training(word, np.concatenate([np.repeat(trains, np.diff(first)), trains]))
-            for held, x in zip(found, (a, b, c, d), strict=True):
-                held.append(x)
-    return *counted(found[0], found[1]), *counted(found[2], found[3])
-
-
-def bucket_of_pairs(keys: np.ndarray, buckets: int) -> np.ndarray:
-    last_two = (keys >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)
-    with np.errstate(over="ignore"):
-        return (mix(last_two + np.uint64(1)) % np.uint64(buckets)).astype("i8")
-
-
-def bucket_of_words(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(buckets)).astype("i8")
-
-
-def code_lengths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each pair, keys being all pairs of their two-byte contexts."""
-    if not len(keys):
-        return np.empty(0)
-    bits = np.uint64(BITS)
-    tables = []
-    for order in range(ORDER, 1, -1):
-        pair = keys & np.uint64((1 << (order + 1) * BITS) - 1)
-        pair_at = np.unique(pair, return_inverse=True)[1]
-        n = np.bincount(pair_at, counts)[pair_at]
-        context = np.unique(pair >> bits, return_inverse=True)[1]
-        first = np.zeros(len(keys), bool)
-        first[np.unique(pair, return_index=True)[1]] = True
-        new = first & (n > 0)
-        size = int(context.max()) + 1
-        tables.append((n, np.bincount(context[new], n[new], size)[context], np.bincount(context[new], minlength=size)[context].astype("f8"), context, new))
-    out = np.zeros(len(keys))
-    open_ = np.ones(len(keys), bool)
-    ruled_out, ruled_n = np.zeros(len(keys)), np.zeros(len(keys))
-    for i, (n, total, distinct, context, new) in enumerate(tables):
-        t, q = total - ruled_n, distinct - ruled_out
-        here = open_ & (n > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[here] += np.log10((2 * n[here] - 1) / (2 * t[here]))
-            open_ &= ~here
-            away = open_ & (q > 0)
-            out[away] += np.log10(q[away] / (2 * t[away]))
-        if i + 1 < len(tables):
-            lower = tables[i + 1][0]
-            ruled_n = np.bincount(context[new], lower[new], int(context.max()) + 1)[context]
-            ruled_out = distinct
-    out[open_] -= np.log10(ALPHABET - tables[-1][2][open_])
-    return out
-
-
-class Lookup:
-    """Values by 64-bit key for many keys at once: open addressing, built and probed in whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = np.uint64((1 << max(4, int(2 * len(keys) + 1).bit_length())) - 1)
-        self.keys, self.values = np.full(int(self.mask) + 1, np.iinfo("u8").max), np.zeros(int(self.mask) + 1, values.dtype)
-        left, slot = np.arange(len(keys)), self.slot(keys)
-        used = np.zeros(int(self.mask) + 1, bool)
-        while len(left):
-            free = ~used[slot]
-            first = np.unique(slot[free], return_index=True)[1]
-            put = np.flatnonzero(free)[first]
-            used[slot[put]], self.keys[slot[put]], self.values[slot[put]] = True, keys[left[put]], values[left[put]]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, slot = left[rest], (slot[rest] + np.uint64(1)) & self.mask
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) & self.mask
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self.slot(keys)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        slot = slot[miss]
-        while len(miss):
-            slot = (slot + np.uint64(1)) & self.mask
-            out[miss] = self.values[slot]
-            wrong = self.keys[slot] != keys[miss]
-            miss, slot = miss[wrong], slot[wrong]
+def of(keys: np.ndarray, table_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of keys in a sorted table, 0 where it lacks them."""
+    if not len(table_keys):
+        return np.zeros(len(keys), values.dtype)
+    at = np.minimum(np.searchsorted(table_keys, keys), len(table_keys) - 1)
+    return np.where(table_keys[at] == keys, values[at], values.dtype.type(0))
+
+
+def bucket_of_pairs(keys: np.ndarray, groups: int) -> np.ndarray:
+    last_two, third = low(keys >> np.uint64(BITS), 2), low(keys >> np.uint64(3 * BITS), 1)
+    return (mix(last_two + np.uint64(1)) % np.uint64(groups) * np.uint64(SPLITS) + mix(third + np.uint64(1 << 20)) % np.uint64(SPLITS)).astype("i4")
+
+
+def bucket_of_words(keys: np.ndarray, groups: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(groups * SPLITS)).astype("i4")
+
+
+class Trie:
+    """Contexts of ORDER to 0 symbols with their followers' counts, each order's pairs sorted."""
+
+    def __init__(self, long: Counts, two: Counts, short: Counts):
+        """long: pairs of full contexts; two: of two symbols, short: of one, both of the whole corpus for what is in long."""
+        self.pairs = [long, *[counted([low(long[0], k + 1)], [long[1]]) for k in range(ORDER - 1, 2, -1)], two, short, counted([low(short[0], 1)], [short[1]])]
+        self.contexts = []
+        for i, (keys, counts) in enumerate(self.pairs):
+            context = keys >> np.uint64(BITS)
+            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, "i8")
+            sums = lambda x, at=starts: np.add.reduceat(x, at) if len(at) else np.empty(0, "i8")
+            lower = of(low(keys, ORDER - i), *self.pairs[i + 1]) if i < ORDER else np.zeros(len(keys), "i8")
+            self.contexts.append((context[starts], sums(counts), np.diff(np.append(starts, len(keys))), sums(lower)))
+
+    def code_lengths(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each (context, symbol)."""
+        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        ruled_out, ruled_n = np.zeros(len(keys), "i8"), np.zeros(len(keys), "i8")
+        for i, (pair, counts) in enumerate(self.pairs):
+            k = low(keys[open_], ORDER - i + 1)
+            n = of(k, pair, counts)
+            context, total, distinct, lower = self.contexts[i]
+            k >>= np.uint64(BITS)
+            at = np.minimum(np.searchsorted(context, k), max(len(context) - 1, 0))
+            known = context[at] == k if len(context) else np.zeros(len(k), bool)
+            t, q = (np.where(known, x[at] if len(x) else 0, 0) for x in (total, distinct))
+            t_left, q_left = t - ruled_n, q - ruled_out
+            here = n > 0
+            out[open_[here]] += np.log10((2 * n[here] - 1) / (2 * t_left[here]))
+            away = ~here & (q_left > 0)
+            out[open_[away]] += np.log10(q_left[away] / (2 * t_left[away]))
+            ruled_out, ruled_n = q[~here], np.where(known, lower[at] if len(lower) else 0, 0)[~here]
+            open_ = open_[~here]
+        out[open_] -= np.log10(ALPHABET - ruled_out)
         return out
 
 
-ASKED = "bucket int, block int, pair_keys binary, pair_counts binary, word_keys binary, word_counts binary"
-ANSWER = "block int, bucket int, pair_keys binary, pair_values binary, word_keys binary, word_values binary, tokens bigint, kinds bigint"
-
-
-def asked(texts: DataFrame, buckets: int) -> DataFrame:
-    """A row for each block and bucket."""
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        keys, counts, words, word_counts = block_keys(block.select(["text", "trains"]))
-        to, word_to = bucket_of_pairs(keys, buckets), bucket_of_words(words, buckets)
-        by, word_by = np.argsort(to, kind="stable"), np.argsort(word_to, kind="stable")
-        cut, word_cut = (np.searchsorted(x, np.arange(buckets + 1)) for x in (to[by], word_to[word_by]))
-        rows = []
-        for b in range(buckets):
-            p, w = by[cut[b] : cut[b + 1]], word_by[word_cut[b] : word_cut[b + 1]]
-            if len(p) or len(w):
-                rows.append((b, key[0].as_py(), shrink(steps(keys[p])), shrink(counts[p]), shrink(steps(words[w])), shrink(word_counts[w])))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "pair_keys", "pair_counts", "word_keys", "word_counts"])
-
-    return texts.groupBy("block").applyInArrow(run, ASKED)
-
-
-def answers(rows: DataFrame) -> DataFrame:
-    """Code lengths and word counts beside the keys that each block asked for."""
-    def run(key: tuple, bucket: pa.Table) -> pa.Table:
-        columns = [bucket.column(n).to_pylist() for n in ("pair_keys", "pair_counts", "word_keys", "word_counts")]
-        keys, words = ([np.cumsum(grown(b, "u8"), dtype="u8") for b in columns[i]] for i in (0, 2))
-        counts, word_counts = ([grown(b, "i8") for b in columns[i]] for i in (1, 3))
-        every, total = counted(keys, counts)
-        lengths = code_lengths(every, total)
-        vocabulary, number = counted(words, word_counts)
-        pair_values = [shrink(lengths[np.searchsorted(every, k)].astype("f4")) for k in keys]
-        word_values = [shrink(number[np.searchsorted(vocabulary, k)]) for k in words]
-        n = bucket.num_rows
-        tokens, kinds = np.zeros(n, "i8"), np.zeros(n, "i8")
-        tokens[0], kinds[0] = number.sum(), np.count_nonzero(number)
-        columns = [bucket.column("block"), bucket.column("bucket"), bucket.column("pair_keys"), pa.array(pair_values, pa.binary()), bucket.column("word_keys"), pa.array(word_values, pa.binary()), pa.array(tokens), pa.array(kinds)]
-        return pa.table(columns, names=["block", "bucket", "pair_keys", "pair_values", "word_keys", "word_values", "tokens", "kinds"])
-
-    return rows.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
-def answered(reply: pa.Table, keys: str, values: str, kind: str) -> Lookup:
-    """A lookup of the keys of a block in its answers."""
-    given = [np.cumsum(grown(b, "u8"), dtype="u8") for b in reply.column(keys).to_pylist()]
-    return Lookup(np.concatenate(given), np.concatenate([grown(b, kind) for b in reply.column(values).to_pylist()]))
-
-
-def scored(texts: DataFrame, replies: DataFrame, n: int, v: int, kind: str) -> DataFrame:
-    def run(key: tuple, block: pa.Table, reply: pa.Table) -> pa.Table:
-        lengths = answered(reply, "pair_keys", "pair_values", "f4")
-        known = answered(reply, "word_keys", "word_values", "i8")
-        end = float(np.log10((known(np.array([END_WORD]))[0] + 1) / (n + v + 1)))
-        end_known = int(known(np.array([END_WORD]))[0] > 0)
-        out: list[pa.Table] = []
-        for batch in block.combine_chunks().to_batches():
-            for part in parts_by_bytes(batch.select(["text", "trains", "doc_id"]), 0):
-                data, offsets = text_bytes(part.column(0))
+def packed_keys(keys: np.ndarray) -> bytes:
+    return shrink(steps(keys))
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(grown(data, "u8"), dtype="u8")
+
+
+ASKED = "block bigint, bucket int, pair_keys binary, pair_counts binary, word_keys binary, word_counts binary, texts binary, sizes binary, trains binary"
+
+
+def asked(docs: DataFrame, groups: int, block_bytes: int) -> DataFrame:
+    """Of docs (doc_id, text, trains): rows of packed texts (doc_ids, texts, sizes, trains) by block, and of pairs and words by block and bucket."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
+    names = ["block", "bucket", "pair_keys", "pair_counts", "word_keys", "word_counts", "texts", "sizes", "trains", "doc_ids"]
+
+    def rows_of(rows: list[tuple], doc_ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], doc_ids], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        found: tuple[list, ...] = ([], [], [], [])
+
+        def questions() -> pa.RecordBatch:
+            keys, counts = counted(found[0], found[1])
+            words, word_counts = counted(found[2], found[3])
+            to, word_to = bucket_of_pairs(keys, groups), bucket_of_words(words, groups)
+            by, word_by = np.argsort(to, kind="stable"), np.argsort(word_to, kind="stable")
+            every = np.arange(groups * SPLITS + 1)
+            cut, word_cut = np.searchsorted(to[by], every).tolist(), np.searchsorted(word_to[word_by], every).tolist()
+            rows = []
+            for b in range(groups * SPLITS):
+                p, w = by[cut[b] : cut[b + 1]], word_by[word_cut[b] : word_cut[b + 1]]
+                if len(p) or len(w):
+                    rows.append((block, b, packed_keys(keys[p]), shrink(counts[p]), packed_keys(words[w]), shrink(word_counts[w]), None, None, None))
+            for x in found:
+                x.clear()
+            return rows_of(rows, pa.nulls(len(rows), pa.list_(doc_type)))
+
+        for whole in batches:
+            doc_type = whole.schema.field(0).type
+            for batch in parts_by_bytes(whole, 1):
+                data, offsets = text_bytes(batch.column(1))
+                trains = batch.column(2).to_numpy(zero_copy_only=False)
                 code, ends = pairs(data, offsets)
-                score = np.add.reduceat(lengths(code).astype("f8"), ends[:-1])
                 word, first = word_hashes(data, offsets)
-                count = known(word)
-                sums = np.concatenate([[0.0], np.cumsum(np.log10((count + 1) / (n + v + 1)))])
-                seen = np.concatenate([[0], np.cumsum(count > 0)])
-                trains = part.column(1).to_numpy(zero_copy_only=False)
-                out.append(pa.table([part.column(2), pa.array(~trains), pa.array(np.diff(first) + 1), pa.array(seen[first[1:]] - seen[first[:-1]] + end_known), pa.array(np.full(len(trains), n)), pa.array(sums[first[1:]] - sums[first[:-1]] + end), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.concat_tables(out)
-
+                word = np.concatenate([word, np.full(len(trains), END_WORD)])
+                new = *with_training(code, np.repeat(trains, np.diff(ends))), *with_training(word, np.concatenate([np.repeat(trains, np.diff(first)), trains]))
+                for held, x in zip(found, new, strict=True):
+                    held.append(x)
+                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                yield rows_of([(block, None, None, None, None, None, shrink(data), shrink(np.diff(offsets)), trains.tobytes())], ids)
+                size += len(code)
+                if size >= block_bytes:
+                    yield questions()
+                    block, size = block + 1, 0
+        if size:
+            yield questions()
+
+    return docs.select("doc_id", "text", "trains").mapInArrow(run, f"{ASKED}, doc_ids array<{kind}>")
+
+
+MODEL = "bucket int, pair_keys binary, pair_counts binary, word_keys binary, word_counts binary, tokens bigint, kinds bigint"
+HELD = 1 << 22
+
+
+class Sums:
+    """Counts by key, summed whenever HELD have come."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        seen = counts > 0
+        self.keys.append(keys[seen])
+        self.counts.append(counts[seen])
+        self.size += len(self.keys[-1])
+        if self.size > HELD + 2 * len(self.keys[0]):
+            keys, counts = self.all()
+            self.keys, self.counts, self.size = [keys], [counts], len(keys)
+
+    def all(self) -> Counts:
+        return counted(self.keys, self.counts)
+
+
+def model(asked_rows: DataFrame) -> DataFrame:
+    """The training counts of each bucket's pairs and words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, pair, word = None, Sums(), Sums()
+
+        def summed() -> pa.RecordBatch:
+            (keys, counts), (words, number) = pair.all(), word.all()
+            row = [[bucket], [packed_keys(keys)], [shrink(counts)], [packed_keys(words)], [shrink(number)], [int(number.sum())], [len(words)]]
+            kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["bucket", "pair_keys", "pair_counts", "word_keys", "word_counts", "tokens", "kinds"])
+
+        for batch in batches:
+            for b, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket and bucket is not None:
+                    yield summed()
+                    pair, word = Sums(), Sums()
+                bucket = b
+                pair.add(keys_of(packed[0]), grown(packed[1], "i8"))
+                word.add(keys_of(packed[2]), grown(packed[3], "i8"))
+        if bucket is not None:
+            yield summed()
+
+    rows = asked_rows.where("bucket is not null").select("bucket", "pair_keys", "pair_counts", "word_keys", "word_counts")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MODEL)
+
+
+def two_symbol_pairs(buckets: DataFrame) -> DataFrame:
+    """(group, keys, counts) of the contexts of two symbols, summed over the splits of each group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sums = None, Sums()
+
+        def summed() -> pa.RecordBatch:
+            keys, counts = sums.all()
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([packed_keys(keys)]), pa.array([shrink(counts)])], names=["group", "keys", "counts"])
+
+        for batch in batches:
+            for g, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group and group is not None:
+                    yield summed()
+                    sums = Sums()
+                group = g
+                sums.add(*counted([low(keys_of(k), 3)], [grown(n, "i8")]))
+        if group is not None:
+            yield summed()
+
+    rows = buckets.select((F.col("bucket") / SPLITS).cast("int").alias("group"), "pair_keys", "pair_counts")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group int, keys binary, counts binary")
+
+
+def one_symbol_pairs(two: DataFrame) -> Counts:
+    """The pairs of contexts of one symbol, 257**2 at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.add(*counted([low(keys_of(k), 2)], [grown(n, "i8")]))
+        keys, counts = sums.all()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype("i8")), pa.array(counts)], names=["key", "n"])
+
+    found = two.select("keys", "counts").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return counted([found["key"].to_numpy().astype("u8")], [found["n"].to_numpy()])
+
+
+ANSWER = "block bigint, pair_keys binary, pair_values binary, word_keys binary, word_values binary"
+
+
+def answers(asked_rows: DataFrame, buckets: DataFrame, two: DataFrame, one: Counts) -> DataFrame:
+    """Code lengths and training counts beside the keys that each block asked for."""
+    sent = asked_rows.sparkSession.sparkContext.broadcast(one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, trie, parts, words = None, None, {}, NONE
+        for batch in batches:
+            rows = []
+            for b, kind, block, pair_keys, pair_counts, word_keys, word_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    bucket, trie, parts, words = b, None, {}, NONE
+                if kind < 2:
+                    parts[kind] = (keys_of(pair_keys), grown(pair_counts, "i8"))
+                    if kind == 0:
+                        words = (keys_of(word_keys), grown(word_counts, "i8"))
+                    continue
+                trie = trie or Trie(parts.get(0, NONE), parts.get(1, NONE), sent.value)
+                lengths = trie.code_lengths(keys_of(pair_keys)).astype("f4")
+                rows.append((block, pair_keys, shrink(lengths), word_keys, shrink(of(keys_of(word_keys), *words))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "pair_keys", "pair_values", "word_keys", "word_values"])
+
+    no_block, nothing = F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("binary")
+    known = buckets.select("bucket", F.lit(0).alias("kind"), no_block, "pair_keys", "pair_counts", "word_keys", "word_counts")
+    each = two.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"))
+    spread = each.select(F.col("group") * SPLITS + F.col("split"), F.lit(1), no_block, "keys", "counts", nothing, nothing)
+    wanted = asked_rows.where("bucket is not null").select("bucket", F.lit(2), "block", "pair_keys", nothing, "word_keys", nothing)
+    return known.union(spread).union(wanted).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ANSWER)
+
+
+def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str) -> DataFrame:
+    """The scores of all documents: a block's answers come before its texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, given, lengths, known = None, [], NONE, NONE
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, (b, is_text, *packed) in enumerate(zip(*columns, strict=True)):
+                if b != block:
+                    block, given = b, []
+                if not is_text:
+                    given.append([keys_of(packed[0]), grown(packed[1], "f4"), keys_of(packed[2]), grown(packed[3], "i8")])
+                    continue
+                if given:
+                    joined = [np.concatenate(x) for x in zip(*given, strict=True)]
+                    by, word_by = np.argsort(joined[0]), np.argsort(joined[2])
+                    lengths, known, given = (joined[0][by], joined[1][by]), (joined[2][word_by], joined[3][word_by]), []
+                data, sizes, trains = grown(packed[0], "u1"), grown(packed[1], "i8"), np.frombuffer(packed[2], bool)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                code, ends = pairs(data, offsets)
+                distinct, inverse = np.unique(code, return_inverse=True)
+                score = np.add.reduceat(of(distinct, *lengths).astype("f8")[inverse], ends[:-1])
+                word, first = word_hashes(data, offsets)
+                distinct, inverse = np.unique(np.append(word, END_WORD), return_inverse=True)
+                count = of(distinct, *known)[inverse]
+                part = np.log10((count + 1) / (n + v + 1))
+                sums, seen = np.concatenate([[0.0], np.cumsum(part[:-1])]), np.concatenate([[0], np.cumsum(count[:-1] > 0)])
+                values = [~trains, np.diff(first) + 1, seen[first[1:]] - seen[first[:-1]] + (count[-1] > 0), np.full(len(trains), n), sums[first[1:]] - sums[first[:-1]] + part[-1], score]
+                yield pa.RecordBatch.from_arrays([batch.columns[-1][i].values, *map(pa.array, values)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    nothing = F.lit(None)
+    texts = asked_rows.where("bucket is null").select("block", F.lit(1).alias("is_text"), F.col("texts").alias("a"), F.col("sizes").alias("b"), F.col("trains").alias("c"), nothing.cast("binary").alias("d"), "doc_ids")
+    given = replies.select("block", F.lit(0), "pair_keys", "pair_values", "word_keys", "word_values", nothing.cast(f"array<{kind}>"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    return given.union(texts).toDF(*texts.columns).repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(run, schema)
 
 
 def ppm_scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """Scores of docs (doc_id, text); documents with crc32(doc_id) mod 7 = 2 are held out of training."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 1
-    blocks = -(-total // block_bytes)
+    block_bytes = int(block_bytes * max(1.0, total / 2**30) ** 0.25)
+    groups = max(1, round(2 * (total / block_bytes) ** 0.5))
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    dealt = docs.select("doc_id", text.alias("text"), trains.alias("trains"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    replies = stored(answers(asked(dealt.select("block", "text", "trains"), blocks)), "replies")
-    n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return scored(dealt, replies.drop("bucket", "tokens", "kinds"), n, v, docs.schema["doc_id"].dataType.simpleString())
+    every = stored(asked(docs.select("doc_id", text.alias("text"), trains.alias("trains")), groups, block_bytes), "asked")
+    buckets = stored(model(every), "model")
+    two = stored(two_symbol_pairs(buckets), "two")
+    n, v = buckets.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    return scored(every, answers(every, buckets, two, one_symbol_pairs(two)), n, v, kind)
 
 
 def op7_ppm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,14 +80,14 @@ def ppm_scores(docs, order):
     for (d, _), s in zip(docs, streams, strict=True):
         if not held_out(d):
             for p in range(order, len(s)):
-                for k in range(2, order + 1):
+                for k in range(order + 1):
                     after.setdefault(tuple(s[p - k : p]), Counter())[s[p]] += 1
     out = []
     for s in streams:
         total = 0.0
         for p in range(order, len(s)):
             ruled_out = set()
-            for k in range(order, 1, -1):
+            for k in range(order, -1, -1):
                 left = {a: c for a, c in after.get(tuple(s[p - k : p]), {}).items() if a not in ruled_out}
                 if not left:
                     continue
