@@ -205,8 +205,11 @@ def trained(rows: DataFrame, prior: float, rounds: int = ROUNDS, share: float =
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text_bins, meta_bins, y, held, doc_id) of all documents."""
-    truth = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).withColumnRenamed("doc_id", "_doc")
+    """(text_bins, meta_bins, y, held, doc_id) of all documents.
+
+    The join is a merge join at every size: labels grow with the corpus, so broadcasting them is no plan.
+    """
+    truth = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).withColumnRenamed("doc_id", "_doc").hint("merge")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     rows = features(docs).join(truth, F.col("doc_id") == F.col("_doc"), "left")
     return rows.select("text_bins", "meta_bins", "y", held.alias("held"), "doc_id")
