@@ -19,4 +19,4 @@ QUERIES = {
     "op10_hash_mix": mixing.op10_hash_mix,
 }
 
-ORACLE = {"op4_line_quality": quality.SQL, "op10_hash_mix": mixing.SQL}
+ORACLE = {"op4_line_quality": quality.SQL, "op6_quote_links": quotes.SQL.replace("@rows", "conversations"), "op10_hash_mix": mixing.SQL}

@@ -3,39 +3,57 @@
 A line's quote level is the number of > before it. Neighbouring lines of one level make a
 passage. Passages and their single lines are normalised (lower case, white space as single
 spaces) and hashed; what a message says itself (level 0) is hashed in the same way, as a
-whole, by passage and by line. A quote's origin is the first message of its own
-conversation to say it, if that came before, or else the first message of all other
-conversations, in order of conv_id and turn. A message
-replies to the origin of its lowest-level linked quote (whole passages before lines), or
-without one to the turn before it. As replies point back, the order of turns is a reply
-order of each conversation.
-
-Only DataFrame functions are used. Origins are reduced to one row for each hash before the
-joins (with map-side combining), so a passage that a third of all messages quote is looked
-up, never paired; AQE splits such keys.
-
-Null texts are empty; messages without quotes keep their text but for outer white space;
-rows with equal (conv_id, turn, text) get equal results; messages without conv_id or turn
-are returned without links. An empty table gives an empty result.
+whole, by passage and by line.
+
+Messages are ordered by (conv_id, turn), and an origin must come before the message that
+quotes it. It is the first message of the same conversation that says the passage, or else
+the first of all messages that does. A message replies to the origin of its lowest-level
+linked quote (whole passages before lines), or without one to the turn of its conversation
+before it. So replies only point back: there are no cycles, and every reply points to a
+message that exists.
+
+Conversations: each message gets its body without the quotes, its position (the turns of its
+conversation before it), and the root and depth of its thread, which follows replies into
+other conversations. Ordered by conv_id and position, every message comes after what it
+replies to.
+
+Only DataFrame functions are used. Texts are parsed once, and what was parsed is stored.
+Only hashes that some quote has are looked for, reduced to one row each before the joins, so
+a passage that a third of all messages quote is looked up, never paired; AQE splits such keys.
+Positions are counted in ranges of RANGE turns and then over ranges, so a conversation with
+very many turns doesn't meet in one task. Roots are found by pointer jumping: the rounds
+are the logarithm of the longest thread.
+
+Null and empty texts have an empty body and no quotes; very long texts are rows like others.
+Rows with equal conv_id and turn are one message for links: its quotes and what it says
+are those of all its rows, each of which is returned. Rows without conv_id or turn are
+returned without links. Other columns stay; those named like a result are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, table
+from strandline.llm.common import WORD, aside, dropped, restored, stored, table
 
 MARKS = r"^(?:[\x20\x09]*>)+"
-WROTE = r"^[\x20\x09]*(On|Am|Le|El) .{1,200}(wrote|schrieb|écrit|escribió).{0,80}:[\x20\x09]*$"
+WROTE = r"^[\x20\x09]*(On|Am|Le|El) [^\n]{1,200}(wrote|schrieb|écrit|escribió)[^\n]{0,80}:[\x20\x09]*$"
 #: Control characters that part passages and their levels; they don't stay in the text.
 PASSAGE, LEVEL = "\x1e", "\x1f"
+RANGE = 64
+RESULTS = ("body", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn", "root_conv", "root_turn", "depth", "position")
 
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(normalised(text).cast("binary")))
+
+
 def parsed_lines(text: Column) -> Column:
     """array<struct<level, body>> of a text's lines; the line that introduces a quote is level -1."""
     plain = F.translate(F.coalesce(text, F.lit("")), PASSAGE + LEVEL + "\r", "")
@@ -54,59 +72,112 @@ def passages(lines: Column) -> Column:
     return F.transform(runs, lambda p: F.struct(F.substring_index(p, LEVEL, 1).cast("int").alias("level"), F.substring_index(p, LEVEL, -1).alias("text")))
 
 
-def keys(runs: Column) -> Column:
-    """array<struct<level, rank, hash>> of passages (rank 0) and, where they have several, their lines (rank 1)."""
-    usable = F.filter(runs, lambda p: p["text"].rlike(WORD))
-    whole = F.transform(usable, lambda p: F.struct(p["level"].alias("level"), F.lit(0).alias("rank"), F.md5(normalised(p["text"]).cast("binary")).alias("hash")))
-    lines = F.flatten(F.transform(usable, lambda p: F.transform(F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(p["level"].alias("level"), F.lit(1).alias("rank"), F.md5(normalised(x).cast("binary")).alias("hash")))))
-    return F.concat(whole, lines)
+def keys(runs: Column, body: Column) -> Column:
+    """array<struct<level, rank, hash>> of passages (rank 0), of their lines (rank 1), and of the body."""
+    usable = F.filter(runs, lambda p: (p["level"] >= 0) & p["text"].rlike(WORD))
+    whole = F.transform(usable, lambda p: F.struct(p["level"].alias("level"), F.lit(0).alias("rank"), digest(p["text"]).alias("hash")))
+    lines = F.flatten(F.transform(usable, lambda p: F.transform(F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(p["level"].alias("level"), F.lit(1).alias("rank"), digest(x).alias("hash")))))
+    return F.array_distinct(F.concat(whole, lines, F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("rank"), digest(body).alias("hash")))))
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, text and more) with body, n_quotes, n_linked, max_level, reply_conv, reply_turn."""
-    parsed = messages.drop("body", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn").withColumn("_lines", parsed_lines(F.col("text")))
-    parsed = parsed.withColumns({
-        "_runs": passages(F.col("_lines")),
-        "body": F.regexp_replace(F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""),
-        "_id": F.md5(F.coalesce("text", F.lit("")).cast("binary")),
-    })
-    parsed = parsed.withColumns({
+def parsed(messages: DataFrame) -> DataFrame:
+    """The messages' columns set aside, with _conv, _turn, body, n_quotes, max_level and _keys."""
+    rows = messages.select(*aside(messages), F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), parsed_lines(F.col("text")).alias("_lines"))
+    said = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
+    rows = rows.withColumns({"_runs": passages(F.col("_lines")), "body": F.regexp_replace(said, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")})
+    return rows.withColumns({
         "n_quotes": F.size(F.filter("_runs", lambda p: p["level"] > 0)).cast("bigint"),
         "max_level": F.greatest(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)),
-    })
-    known = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-
-    body_key = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("rank"), F.md5(normalised(F.col("body")).cast("binary")).alias("hash")))
-    own = known.select("conv_id", "turn", F.explode(F.concat(body_key, F.filter(keys(F.col("_runs")), lambda k: k["level"] == 0))["hash"]).alias("_hash"))
-    here = own.groupBy("conv_id", "_hash").agg(F.min("turn").alias("_turn"))
-    first = own.groupBy("_hash").agg(F.min(F.struct("conv_id", "turn")).alias("_first"), F.max("conv_id").alias("_last_conv"))
-    # first messages of the two least conversations: one of them is always another than the quoting one
-    several = first.where(F.col("_first.conv_id") < F.col("_last_conv")).select(F.col("_hash").alias("_h"), F.col("_first.conv_id").alias("_c"))
-    second = here.join(several, (F.col("_hash") == F.col("_h")) & (F.col("conv_id") > F.col("_c"))).groupBy("_hash").agg(F.min(F.struct("conv_id", F.col("_turn").alias("turn"))).alias("_second"))
-    first = first.drop("_last_conv")
-
-    quoted = known.where(F.col("n_quotes") > 0).select("conv_id", "turn", "_id", F.explode(F.filter(keys(F.col("_runs")), lambda k: k["level"] > 0)).alias("_k"))
-    quoted = quoted.select("conv_id", "turn", "_id", "_k.level", "_k.rank", F.col("_k.hash").alias("_hash")).distinct()
-    found = quoted.join(here, ["conv_id", "_hash"], "left").join(first, "_hash", "left").join(second, "_hash", "left")
-    inside = F.when(F.col("_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("_turn").alias("turn")))
-    outside = F.when(F.col("_first.conv_id") != F.col("conv_id"), F.col("_first")).otherwise(F.col("_second"))
+        "_keys": keys(F.col("_runs"), F.col("body")),
+    }).drop("_lines", "_runs")
+
+
+def turns(known: DataFrame) -> DataFrame:
+    """(_conv, _turn, _before, position) of every message: the turn before it, and how many there are before it."""
+    each = known.select("_conv", "_turn").distinct().withColumn("_range", F.floor(F.col("_turn") / RANGE))
+    inside, over = Window.partitionBy("_conv", "_range").orderBy("_turn"), Window.partitionBy("_conv").orderBy("_range")
+    ranges = each.groupBy("_conv", "_range").agg(F.count(F.lit(1)).alias("_n"), F.max("_turn").alias("_max"))
+    ahead = ranges.select("_conv", "_range", F.lag("_max").over(over).alias("_last"), (F.sum("_n").over(over) - F.col("_n")).alias("_ahead"))
+    placed = each.withColumns({"_own": F.lag("_turn").over(inside), "_place": F.row_number().over(inside) - 1}).join(ahead, ["_conv", "_range"])
+    return placed.select("_conv", "_turn", F.coalesce("_own", "_last").alias("_before"), (F.col("_ahead") + F.col("_place")).cast("bigint").alias("position"))
+
+
+def quote_links(known: DataFrame) -> DataFrame:
+    """(_conv, _turn, _best, n_linked) of messages with a quote that an earlier message says."""
+    each = known.select("_conv", "_turn", F.explode("_keys").alias("_k")).select("_conv", "_turn", "_k.*")
+    quoted = known.where("n_quotes > 0").select("_conv", "_turn", F.explode("_keys").alias("_k")).select("_conv", "_turn", "_k.*").where("level > 0").distinct()
+    own = each.where("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi")
+    here = own.groupBy("_conv", "hash").agg(F.min("_turn").alias("_said"))
+    first = here.groupBy("hash").agg(F.min(F.struct(F.col("_conv").alias("conv"), F.col("_said").alias("turn"))).alias("_first"))
+    found = quoted.join(here, ["_conv", "hash"], "left").join(first, "hash", "left")
+    inside = F.when(F.col("_said") < F.col("_turn"), F.struct(F.col("_conv").alias("conv"), F.col("_said").alias("turn")))
+    outside = F.when(F.col("_first.conv") < F.col("_conv"), F.col("_first"))
     links = found.withColumn("_to", F.coalesce(inside, outside)).where(F.col("_to").isNotNull())
-    best = links.groupBy("conv_id", "turn", "_id").agg(F.min(F.struct("level", "rank", "_to")).alias("_best"), F.sum((F.col("rank") == 0).cast("bigint")).alias("n_linked"))
+    return links.groupBy("_conv", "_turn").agg(F.min(F.struct("level", "rank", "_to")).alias("_best"), F.sum((F.col("rank") == 0).cast("bigint")).alias("n_linked"))
 
-    out = parsed.join(best, ["conv_id", "turn", "_id"], "left")
-    before = F.col("turn") > 0
-    return out.withColumns({
-        "n_linked": F.coalesce("n_linked", F.lit(0)),
-        "reply_conv": F.when(F.col("_best").isNotNull(), F.col("_best._to.conv_id")).when(before, F.col("conv_id")),
-        "reply_turn": F.when(F.col("_best").isNotNull(), F.col("_best._to.turn")).when(before, F.col("turn") - 1),
-    }).drop("_lines", "_runs", "_id", "_best")
 
+def threads(replies: DataFrame) -> DataFrame:
+    """(_conv, _turn, root_conv, root_turn, depth) of messages (_conv, _turn, _up_conv, _up_turn), by pointer jumping."""
+    no_reply = F.col("_up_conv").isNull()
+    at = replies.select("_conv", "_turn", F.coalesce("_up_conv", "_conv").alias("root_conv"), F.coalesce("_up_turn", "_turn").alias("root_turn"), F.when(no_reply, 0).otherwise(1).cast("bigint").alias("depth"))
+    at = stored(at, "threads")
+    while True:
+        up = at.where("depth > 0").select(F.col("_conv").alias("root_conv"), F.col("_turn").alias("root_turn"), F.col("root_conv").alias("_c"), F.col("root_turn").alias("_t"), F.col("depth").alias("_d"))
+        if at.join(up, ["root_conv", "root_turn"], "left_semi").isEmpty():
+            return at
+        further = at.join(up, ["root_conv", "root_turn"], "left")
+        after = stored(further.select("_conv", "_turn", F.coalesce("_c", "root_conv").alias("root_conv"), F.coalesce("_t", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "threads")
+        dropped(at)
+        at = after
 
-def reply_ordered(messages: DataFrame) -> DataFrame:
-    """The linked messages, sorted by conversation and turn."""
-    return linked(messages).orderBy("conv_id", "turn")
+
+def linked(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, text and more) with RESULTS."""
+    messages = messages.drop(*RESULTS)
+    rows = stored(parsed(messages), "parsed")
+    known = rows.where(F.col("_conv").isNotNull() & F.col("_turn").isNotNull())
+    best = turns(known).join(quote_links(known), ["_conv", "_turn"], "left")
+    to = F.coalesce(F.col("_best._to"), F.when(F.col("_before").isNotNull(), F.struct(F.col("_conv").alias("conv"), F.col("_before").alias("turn"))))
+    replies = stored(best.select("_conv", "_turn", "position", "n_linked", to["conv"].alias("_up_conv"), to["turn"].alias("_up_turn")), "replies")
+    placed = replies.join(threads(replies), ["_conv", "_turn"])
+    out = rows.join(placed, ["_conv", "_turn"], "left")
+    return out.select(
+        *restored(messages), "body", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "max_level",
+        F.col("_up_conv").alias("reply_conv"), F.col("_up_turn").alias("reply_turn"), "root_conv", "root_turn", "depth", "position",
+    )
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The linked messages in reply order of each conversation."""
+    return linked(messages).orderBy("conv_id", "position")
 
 
 def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return linked(messages).select("conv_id", "turn", "role", "body", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn")
+    return linked(messages).select("conv_id", "turn", "role", *RESULTS)
+
+
+_NORMAL = "trim(regexp_replace(lower(@), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+_HASH = f"md5({_NORMAL})"
+#: Rows are numbered, as (conv_id, turn) may repeat. @rows: the table's name.
+SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, replace(replace(replace(coalesce(text, ''), chr(30), ''), chr(31), ''), chr(13), '') AS t FROM @rows),
+  sp AS (SELECT rid, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+  lv AS (SELECT rid, i, len(regexp_extract(x, '{MARKS}', 0)) - len(replace(regexp_extract(x, '{MARKS}', 0), '>', '')) AS level, regexp_replace(x, '{MARKS}[\\x20\\x09]?', '') AS body FROM sp),
+  ln AS (SELECT rid, i, body, CASE WHEN level = 0 AND lead(level) OVER (PARTITION BY rid ORDER BY i) > 0 AND regexp_matches(body, '{WROTE}') THEN -1 ELSE level END AS level FROM lv),
+  rn AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, level IS NOT DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) AS same FROM ln)),
+  ps AS (SELECT rid, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS p FROM rn GROUP BY 1, 2),
+  bd AS (SELECT rid, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS body, greatest(max(level), 0) AS max_level FROM ln GROUP BY 1),
+  nq AS (SELECT rid, count(*) FILTER (level > 0) AS n_quotes FROM ps GROUP BY 1),
+  ky AS (SELECT rid, level, 0 AS rank, {_HASH.replace("@", "p")} AS h FROM ps WHERE level >= 0 AND regexp_matches(p, '{WORD}')
+    UNION SELECT rid, level, 1, {_HASH.replace("@", "body")} FROM rn WHERE level >= 0 AND regexp_matches(body, '{WORD}')
+    UNION SELECT rid, 0, 0, {_HASH.replace("@", "body")} FROM bd),
+  k AS (SELECT DISTINCT conv_id AS c, turn AS t, level, rank, h FROM ky JOIN d USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  nodes AS (SELECT DISTINCT conv_id AS c, turn AS t FROM d WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  pos AS (SELECT c, t, lag(t) OVER w AS prev, row_number() OVER w - 1 AS position FROM nodes WINDOW w AS (PARTITION BY c ORDER BY t)),
+  fnd AS (SELECT q.c, q.t, q.level, q.rank, coalesce((SELECT struct_pack(c := o.c, t := min(o.t)) FROM k o WHERE o.level = 0 AND o.h = q.h AND o.c = q.c AND o.t < q.t GROUP BY o.c),
+    (SELECT min(struct_pack(c := o.c, t := o.t)) FROM k o WHERE o.level = 0 AND o.h = q.h AND o.c < q.c)) AS dest FROM k q WHERE q.level > 0),
+  lk AS (SELECT c, t, arg_min(dest, (level, rank, dest)) AS dest, count(*) FILTER (rank = 0) AS n_linked FROM fnd WHERE dest IS NOT NULL GROUP BY 1, 2),
+  up AS (SELECT pos.c, pos.t, position, coalesce(n_linked, 0) AS n_linked, CASE WHEN dest IS NOT NULL THEN dest.c WHEN prev IS NOT NULL THEN pos.c END AS uc, CASE WHEN dest IS NOT NULL THEN dest.t ELSE prev END AS ut FROM pos LEFT JOIN lk ON pos.c = lk.c AND pos.t = lk.t),
+  th(c, t, rc, rt, depth) AS (SELECT c, t, c, t, 0::BIGINT FROM up WHERE uc IS NULL UNION ALL SELECT up.c, up.t, rc, rt, depth + 1 FROM up JOIN th ON up.uc = th.c AND up.ut = th.t)
+  SELECT conv_id, turn, role, body, n_quotes, coalesce(n_linked, 0) AS n_linked, max_level, uc AS reply_conv, ut AS reply_turn, rc AS root_conv, rt AS root_turn, depth, position
+  FROM d JOIN bd USING (rid) JOIN nq USING (rid) LEFT JOIN up ON conv_id = up.c AND turn = up.t LEFT JOIN th ON conv_id = th.c AND turn = th.t"""

@@ -240,24 +240,88 @@ def test_mpeg_query(messy, empty):
     assert mpeg.digests(mpeg.as_media(empty)).count() == 0
 
 
+MESSAGES = "conv_id bigint, turn bigint, role string, text string"
+
+
+def by_sql(rows):
+    con = connect(SF)
+    con.execute("CREATE TABLE messages (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", rows)
+    return sql_rows(con, quotes.SQL.replace("@rows", "messages"))
+
+
+def by_spark(spark, rows):
+    return spark_rows(quotes.linked(spark.createDataFrame(rows, MESSAGES).repartition(3)).select("conv_id", "turn", "role", *quotes.RESULTS))
+
+
 def test_quotes(spark, empty):
     rows = [
         (1, 0, "The tide came in.\nIt left stones."),
         (1, 1, "On Monday A wrote:\n> The  TIDE came in.\n> It left stones.\nI saw them too."),
-        (1, 2, "B wrote this:\n> > It left stones.\n> I saw them too.\nWhere?"),
+        (1, 3, "B wrote this:\n> > It left stones.\n> I saw them too.\nWhere?"),
         (2, 0, "> I saw them too.\nSo did I."),
         (2, 1, None),
         (None, 3, "> The tide came in.\nx"),
         (3, None, ""),
         (4, 0, "> never said by anyone\nplain"),
+        (4, 7, "> said later\nx"),
+        (4, 9, "said later"),
     ]
-    got = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")).collect()}
+    rows = [(c, t, "user", x) for c, t, x in rows]
+    got = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
+    to = lambda c, t: (got[(c, t)].reply_conv, got[(c, t)].reply_turn)
     assert len(got) == len(rows)
-    assert got[(1, 1)].body == "I saw them too." and (got[(1, 1)].reply_conv, got[(1, 1)].reply_turn) == (1, 0)
-    assert got[(1, 2)].max_level == 2 and got[(1, 2)].n_quotes == 2 and (got[(1, 2)].reply_conv, got[(1, 2)].reply_turn) == (1, 1)
-    assert got[(2, 0)].body == "So did I." and (got[(2, 0)].reply_conv, got[(2, 0)].reply_turn) == (1, 1)
-    assert got[(2, 1)].body == "" and got[(2, 1)].reply_turn == 0
-    assert got[(4, 0)].reply_turn is None and got[(4, 0)].n_linked == 0
+    assert got[(1, 1)].body == "I saw them too." and to(1, 1) == (1, 0)
+    assert got[(1, 3)].max_level == 2 and got[(1, 3)].n_quotes == 2 and to(1, 3) == (1, 1)
+    assert got[(2, 0)].body == "So did I." and to(2, 0) == (1, 1)
+    assert got[(2, 1)].body == "" and to(2, 1) == (2, 0)
+    assert to(4, 0) == (None, None) and got[(4, 0)].n_linked == 0 and to(4, 7) == (4, 0) and to(4, 9) == (4, 7)
+    r = got[(2, 1)]
+    assert (r.root_conv, r.root_turn, r.depth, r.position) == (1, 0, 3, 1)
+    assert (got[(4, 9)].depth, got[(4, 9)].position) == (2, 2)
+    assert [got[k].depth for k in ((None, 3), (3, None))] == [None, None]
+    assert by_spark(spark, rows) == by_sql(rows)
+
+
+def threads_of(rng, conversations):
+    """Messages that quote passages, single lines and nested quotes of any message, earlier or later, also of each other."""
+    line = lambda: " ".join(rng.choice(["tide", "Stone", "über", "net", "a>b", ""]) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 4)))
+    own = {(c, t): [line() for _ in range(rng.randrange(4))] for c in range(conversations) for t in sorted(rng.sample(range(150), rng.randrange(1, 9)))}
+    quote = lambda x: ("> " if rng.random() < 0.8 else ">") + x
+    text = {k: list(v) for k, v in own.items()}
+    for _ in range(2):
+        for k in own:
+            for other in rng.sample(list(own), rng.randrange(3)):
+                part = [quote(x) for x in text[other][: rng.randrange(1, 5)]]
+                at = rng.randrange(len(text[k]) + 1)
+                text[k][at:at] = (["On day 3 X wrote:"] if rng.random() < 0.4 else []) + part
+    rows = [(c, t, "user", rng.choice(["\n", "\n", "\r\n"]).join(x)) for (c, t), x in text.items()]
+    return rows + rng.sample(rows, 3) + [(0, 0, "user", "> tide1\nsecond row of a turn"), (None, 2, None, "> x"), (5, None, "user", None)]
+
+
+def test_random_threads_against_sql(spark):
+    rows = threads_of(random.Random(11), 300)
+    got, want = by_spark(spark, rows), by_sql(rows)
+    assert got == want
+    names = {n: i for i, n in enumerate(got[0])}
+    at = {(r[names["conv_id"]], r[names["turn"]]): r for r in got[1]}
+    linked = 0
+    for k, r in at.items():
+        up = (r[names["reply_conv"]], r[names["reply_turn"]])
+        if up != (None, None):
+            assert up in at and tuple(map(int, up)) < tuple(map(int, k))  # replies exist and point back, so there are no cycles
+            assert int(r[names["depth"]]) == int(at[up][names["depth"]]) + 1
+        linked += int(r[names["n_linked"]])
+    assert linked > 300
+
+
+def test_quotes_keep_columns_and_long_conversations(spark):
+    rows = [(1, t, "user", f"> line {t - 3}\nline {t}") for t in range(0, 400, 2)]
+    docs = spark.createDataFrame(rows, MESSAGES).withColumns({c: F.lit(c) for c in ("_id", "_runs", "_lines", "_best", "_conv", "body")})
+    got = quotes.linked(docs).collect()
+    assert set(docs.columns) <= set(got[0].asDict()) and all(r._id == "_id" and r._conv == "_conv" for r in got)
+    assert sorted((r.position, r.depth) for r in got) == [(i, i) for i in range(200)]
+    assert quotes.linked(spark.createDataFrame([(1, 0, "u", "x" * 300_000 + "\n> " + "y " * 100_000)], MESSAGES)).first().n_quotes == 1
 
 
 @pytest.mark.parametrize("which", ["messy", "real"])
@@ -358,7 +422,7 @@ def test_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_differencing", "op2_radix_repeats", "op3_rtree_jaccard", "op4_line_quality", "op5_mpeg_audio", "op7_ppm_bytes", "op10_hash_mix"):
         assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() == 0
-    assert quotes.linked(spark.createDataFrame([], "conv_id bigint, turn bigint, text string")).count() == 0
+    assert quotes.linked(spark.createDataFrame([], MESSAGES)).count() == 0
 
 
 def test_stages_take_clashing_columns(spark, messy):
@@ -401,12 +465,6 @@ def test_pipeline_keeps_one_row_of_repeated_rows_and_copies_without_id(spark):
     assert sorted((r.text or "" for r in after.collect()), key=key) == sorted((r.text or "" for r in joined.collect()), key=key)
 
 
-def test_quote_of_another_conversation_said_here_later(spark):
-    rows = [(1, 0, "> The tide came in.\nx"), (1, 1, "The tide came in."), (2, 0, "The tide came in."), (2, 3, "The tide came in."), (3, 1, "> The tide came in.\ny"), (4, 0, "> only here\nz"), (4, 1, "only here")]
-    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in quotes.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")).collect()}
-    assert got[(1, 0)] == (1, 2, 0) and got[(3, 1)] == (1, 1, 1) and got[(4, 0)] == (0, None, None)
-
-
 def thue_morse(n):
     """A word and its complement, which collide under any polynomial modulo a power of two."""
     signs = [bin(i).count("1") & 1 for i in range(n)]
