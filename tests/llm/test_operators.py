@@ -218,7 +218,9 @@ def test_mpeg_round_trip(data):
     media = mpeg.encode(payload, len(data))
     back, found = mpeg.decode(media)
     assert back == payload and found["bad"] == found["lost"] == 0 and found["fields"]["text-bytes"] == str(len(data))
-    assert found["vbr"] == (len(found["offsets"]), len(media) - mpeg.read_tag(media)[1])
+    table = found["table"]
+    assert (table["frames"], table["bytes"], len(table["points"])) == (len(found["offsets"]), len(media) - mpeg.read_tag(media)[1], 100)
+    assert found["samples"] == 1152 * len(found["offsets"]) and found["rate"] == 48000
 
 
 def test_mpeg_damage():
@@ -233,10 +235,101 @@ def test_mpeg_damage():
     assert mpeg.parse(bytes(broken))["bad"] == 1
 
 
-def test_mpeg_query(messy, empty):
-    rows = mpeg.digests(mpeg.as_media(messy)).collect()
-    want = sorted((d is None, d or 0, hashlib.sha256((t or "").encode().ljust(-(-max(len((t or "").encode()), 1) // 64) * 64, b"\0")).hexdigest()) for d, t in pairs_of(messy))
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.payload_sha256) for r in rows) == want
+def plain_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc
+
+
+def frames_of(version, layer, index, rate_index, size, side_bits, n=6, mode=3, start=b""):
+    """n frames with checksums; the first one holds `start` behind its side information."""
+    out, b1 = [], 0xE0 | version << 3 | (4 - layer) << 1
+    side = bytes(range(1, 1 + -(-side_bits // 8)))
+    head = bytes((0xFF, b1, index << 4 | rate_index << 2, mode << 6))
+    bits = [b >> k & 1 for b in head[2:] for k in range(7, -1, -1)] + [b >> k & 1 for b in side for k in range(7, -1, -1)][:side_bits]
+    for i in range(n):
+        body = side + (start if i == 0 else b"\x55")
+        out.append((head + struct.pack(">H", plain_crc(bits)) + body).ljust(size, b"\0"))
+    return out
+
+
+# version field, layer, bit rate index, rate index, frame bytes, protected side bits; samples a frame and rate
+STREAMS = [
+    (3, 3, 9, 0, 144 * 128000 // 44100, 17 * 8, 1152, 44100),
+    (2, 3, 8, 1, 72 * 64000 // 24000, 9 * 8, 576, 24000),
+    (0, 3, 4, 2, 72 * 32000 // 8000, 9 * 8, 576, 8000),
+    (3, 1, 5, 2, 12 * 160000 // 32000 * 4, 128, 384, 32000),
+    (2, 1, 5, 0, 12 * 80000 // 22050 * 4, 128, 384, 22050),
+    (3, 2, 10, 1, 144 * 192000 // 48000, 0, 1152, 48000),
+    (2, 2, 10, 1, 144 * 96000 // 24000, 0, 1152, 24000),
+]
+
+
+@pytest.mark.parametrize("stream", STREAMS)
+def test_mpeg_versions_and_layers(stream):
+    *kind, samples, rate = stream
+    frames = frames_of(*kind)
+    found = mpeg.parse(b"".join(frames))
+    assert found["offsets"] == [i * len(frames[0]) for i in range(6)] and (found["samples"], found["rate"]) == (6 * samples, rate)
+    assert (found["bad"], found["lost"], found["table"]) == (0, 0, None)
+    broken = bytearray(b"".join([*frames[:2], b"\xff\xfbjunk", *frames[2:]]))
+    broken[2 * len(frames[0]) + 6 + 7] ^= 0x40
+    found = mpeg.parse(bytes(broken))
+    assert len(found["offsets"]) == 5 and found["lost"] == 1 and found["bad"] == (stream[1] != 2)
+
+
+def test_mpeg_tables():
+    frames = frames_of(2, 3, 8, 1, 192, 72, start=b"Info" + struct.pack(">III", 7, 5, 960) + bytes(range(100)) + b"LAME3.100".ljust(21, b"\0") + bytes((0x24, 0x01, 0x90)))
+    found = mpeg.parse(b"".join(frames))
+    assert found["table"] == {"name": "Info", "frames": 5, "bytes": 960, "points": list(range(100)), "delay": 0x240, "padding": 0x190}
+    assert found["offsets"] == [192 * i for i in range(1, 6)] and found["samples"] == 5 * 576 - 0x240 - 0x190
+    vbri = struct.pack(">4sHHHIIHHHH", b"VBRI", 1, 576, 75, 2085, 5, 3, 2, 2, 2) + struct.pack(">HHH", 10, 20, 30)
+    first = bytearray(frames_of(3, 3, 9, 0, 417, 136)[0])
+    first[36 : 36 + len(vbri)] = vbri
+    found = mpeg.parse(bytes(first) + b"".join(frames_of(3, 3, 9, 0, 417, 136)[:5]))
+    assert found["table"] == {"name": "VBRI", "frames": 5, "bytes": 2085, "points": [20, 60, 120], "delay": 576, "padding": 0}
+    assert len(found["offsets"]) == 5 and found["samples"] == 5 * 1152 - 576
+
+
+def test_mpeg_tags():
+    frames = b"".join(frames_of(3, 3, 9, 0, 417, 136))
+    seven = lambda n: bytes(n >> k & 127 for k in (21, 14, 7, 0))
+    title = b"\1\xff\xfe" + "Tide é".encode("utf-16-le")
+    body = b"TIT2" + struct.pack(">I", len(title)) + b"\0\0" + title + b"TPE1\0\0\0\4\0\0\0Ann" + bytes(20)
+    stuffed = body.replace(b"\xff", b"\xff\0")
+    third = b"ID3\3\0\x80" + seven(len(stuffed)) + stuffed
+    second = b"ID3\2\0\0" + seven(11) + b"TT2\0\0\5\0Sea\0"
+    fourth = b"ID3\4\0\x10" + seven(20) + b"TXXX" + seven(10) + b"\0\0\3key\0value" + b"3DI\4\0\x10" + seven(20)
+    tail = (b"TAG" + b"Old".ljust(30, b"\0") + bytes(60) + b"1999" + b"note".ljust(28, b"\0") + b"\0\7\1").ljust(128, b"\0")
+    for lead, want in ((third, {"TIT2": "Tide é", "TPE1": "Ann"}), (second, {"TT2": "Sea"}), (fourth, {"key": "value"}), (third + fourth, {"TIT2": "Tide é", "TPE1": "Ann", "key": "value"})):
+        found = mpeg.parse(lead + frames + tail)
+        assert found["fields"] == want | {"title": "Old", "year": "1999", "comment": "note", "track": "7"}
+        assert found["offsets"] == [len(lead) + 417 * i for i in range(6)] and found["lost"] == 0
+    assert mpeg.parse(b"")["offsets"] == [] and mpeg.parse(b"no audio " * 9)["samples"] == 0
+
+
+def test_mpeg_query(spark, messy, empty):
+    long = spark.createDataFrame([(77, "lang é " * 300_000, "en", "s", 1)], DOCS)
+    docs = messy.unionByName(long)
+    media = {repr((r.doc_id, len(r.media), hashlib.sha256(r.media).hexdigest())) for r in mpeg.as_media(docs).collect()}
+    got = mpeg.digests(mpeg.as_media(docs.withColumns({"media": F.lit(1), "n_bytes": F.lit("clash")}))).collect()
+    want = []
+    for d, t in pairs_of(docs):
+        raw = (t or "").encode()
+        payload = raw.ljust(-(-max(len(raw), 1) // 64) * 64, b"\0")
+        want.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got), key=key) == sorted(want, key=key)
+    assert {repr((r.doc_id, r.media_bytes, r.media_sha256)) for r in got} == media
+    room = 960 - 23
+    for r in got:
+        assert len(r.frame_offsets) == -(-r.payload_bytes // room) and r.samples == 1152 * len(r.frame_offsets) and r.sample_rate == 48000
+        assert [b - a for a, b in zip(r.frame_offsets[:-1], r.frame_offsets[1:], strict=True)] == [960] * (len(r.frame_offsets) - 1)
+        assert f"seek_crc32={zlib.crc32(np.array(r.frame_offsets, '<u8').tobytes()):08x}" in r.feature and "crc_errors=0 resync=0" in r.feature
+    by_payload = {}
+    for r in got:
+        by_payload.setdefault((r.n_bytes, r.payload_sha256), set()).add((r.media_sha256, r.feature))
+    assert all(len(v) == 1 for v in by_payload.values())  # equal texts, equal values
     assert mpeg.digests(mpeg.as_media(empty)).count() == 0
 
 
