@@ -25,7 +25,8 @@ The trie grows with the corpus and is never in one place.
 
 Blocks grow with the fourth root of the corpus and buckets with the root of the number of
 blocks, so the rows of step 1 (blocks times buckets) hold hundreds of pairs each at any size.
-Neither depends on sources or copies.
+Partitions are as many as buckets and blocks, so no task grows with the corpus but by the pairs of
+its bucket. Neither depends on sources or copies.
 
 Null texts are empty: one end. A very long text is a block of its own. Rows with equal ids
 are scored as often as they come, rows without an id count as training rows. An empty
@@ -234,7 +235,7 @@ class Sums:
         return counted(self.keys, self.counts)
 
 
-def model(asked_rows: DataFrame) -> DataFrame:
+def model(asked_rows: DataFrame, groups: int) -> DataFrame:
     """The training counts of each bucket's pairs and words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, pair, word = None, Sums(), Sums()
@@ -257,7 +258,7 @@ def model(asked_rows: DataFrame) -> DataFrame:
             yield summed()
 
     rows = asked_rows.where("bucket is not null").select("bucket", "pair_keys", "pair_counts", "word_keys", "word_counts")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MODEL)
+    return rows.repartition(groups * SPLITS, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MODEL)
 
 
 def two_symbol_pairs(buckets: DataFrame) -> DataFrame:
@@ -300,7 +301,7 @@ def one_symbol_pairs(two: DataFrame) -> Counts:
 ANSWER = "block bigint, pair_keys binary, pair_values binary, word_keys binary, word_values binary"
 
 
-def answers(asked_rows: DataFrame, buckets: DataFrame, two: DataFrame, one: Counts) -> DataFrame:
+def answers(asked_rows: DataFrame, buckets: DataFrame, two: DataFrame, one: Counts, groups: int) -> DataFrame:
     """Code lengths and training counts beside the keys that each block asked for."""
     sent = asked_rows.sparkSession.sparkContext.broadcast(one)
 
@@ -327,10 +328,10 @@ def answers(asked_rows: DataFrame, buckets: DataFrame, two: DataFrame, one: Coun
     each = two.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"))
     spread = each.select(F.col("group") * SPLITS + F.col("split"), F.lit(1), no_block, "keys", "counts", nothing, nothing)
     wanted = asked_rows.where("bucket is not null").select("bucket", F.lit(2), "block", "pair_keys", nothing, "word_keys", nothing)
-    return known.union(spread).union(wanted).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ANSWER)
+    return known.union(spread).union(wanted).repartition(groups * SPLITS, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ANSWER)
 
 
-def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str) -> DataFrame:
+def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str, blocks: int) -> DataFrame:
     """The scores of all documents: a block's answers come before its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, given, lengths, known = None, [], NONE, NONE
@@ -363,7 +364,7 @@ def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str)
     texts = asked_rows.where("bucket is null").select("block", F.lit(1).alias("is_text"), F.col("texts").alias("a"), F.col("sizes").alias("b"), F.col("trains").alias("c"), nothing.cast("binary").alias("d"), "doc_ids")
     given = replies.select("block", F.lit(0), "pair_keys", "pair_values", "word_keys", "word_values", nothing.cast(f"array<{kind}>"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return given.union(texts).toDF(*texts.columns).repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(run, schema)
+    return given.union(texts).toDF(*texts.columns).repartition(blocks, "block").sortWithinPartitions("block", "is_text").mapInArrow(run, schema)
 
 
 def ppm_scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
@@ -372,13 +373,14 @@ def ppm_scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 1
     block_bytes = int(block_bytes * max(1.0, total / 2**30) ** 0.25)
-    groups = max(1, round(2 * (total / block_bytes) ** 0.5))
+    blocks = -(-total // block_bytes)
+    groups = max(1, round(3 * blocks**0.5))
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
     every = stored(asked(docs.select("doc_id", text.alias("text"), trains.alias("trains")), groups, block_bytes), "asked")
-    buckets = stored(model(every), "model")
+    buckets = stored(model(every, groups), "model")
     two = stored(two_symbol_pairs(buckets), "two")
     n, v = buckets.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return scored(every, answers(every, buckets, two, one_symbol_pairs(two)), n, v, kind)
+    return scored(every, answers(every, buckets, two, one_symbol_pairs(two), groups), n, v, kind, blocks)
 
 
 def op7_ppm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
