@@ -13,8 +13,9 @@ have 4096 rows a source at most, and documents meet the thresholds in a join sal
 their hash. The targets need one row per source in one window.
 
 Null texts have size 0 and are never taken; a null source is a source of its own (the
-last); rows with equal ids get equal hashes and go together; an empty table gives an
-empty result. Columns of the input that have the operator's names are replaced.
+last); rows with equal ids get equal hashes and go together; very long texts only have larger
+sizes; an empty table gives an empty result. Columns of the input that have the operator's
+names are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, source_size, target, copies, cut): take all documents `copies` times and those with _h < cut once more."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     state = budgets.withColumns({"copies": copies, "cut": F.lit(0).cast("bigint"), "_below": F.lit(0).cast("bigint"), "_last": F.lit(0).cast("bigint")})
-    state = state.withColumn("_budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    state = stored(state.withColumn("_budget", F.col("target") - F.col("copies") * F.col("source_size")), "mix-state")
     rows = sizes.select("source", "size", "_h")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
@@ -87,30 +88,35 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         found = running.join(over, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("_sum") > F.col("_left"))
         first = found.groupBy("source").agg(F.min_by(F.struct("_b", "_n", "_sum"), "_b").alias("_f"))
         first = first.select(F.col("source").alias("_source"), F.shiftleft("_f._b", shift).alias("_to"), (F.col("_f._sum") - F.col("_f._n")).alias("_add"), F.col("_f._n").alias("_size"))
-        state = state.join(first, F.col("source").eqNullSafe(F.col("_source")), "left").withColumns({
+        after = state.join(first, F.col("source").eqNullSafe(F.col("_source")), "left").withColumns({
             "cut": F.coalesce("_to", "cut"), "_below": F.col("_below") + F.coalesce("_add", F.lit(0)), "_last": F.coalesce("_size", F.lit(0)),
         }).drop("_source", "_to", "_add", "_size")
+        state = stored(after, "mix-state")
     nearer = (F.col("_last") > 0) & (F.col("_below") + F.col("_last") - F.col("_budget") < F.col("_budget") - F.col("_below"))
     return state.select("source", "source_size", "target", "copies", (F.col("cut") + nearer.cast("bigint")).alias("cut"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """docs with size, source_size, target and times, how often the mix takes the document."""
-    slim = stored(sized(docs.select("doc_id", "text", "source")).select("source", "size", "_h"), "mix-sizes")
-    found = thresholds(slim, targets(slim, weights, cap))
-    joined = salted_join(sized(docs.drop("source_size", "target", "times")), found)
+MIXED = ("size", "source_size", "target", "times")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default), and size, source_size, target and times: how often the mix takes the document."""
+    keep = [c for c in docs.columns if c not in MIXED] if keep is None else keep
+    own = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
+    rows = stored(sized(docs.select("doc_id", "text", "source", *own)).drop("doc_id", "text"), "mix-sizes")  # words are counted once
+    found = thresholds(rows, targets(rows, weights, cap))
     times = F.when(F.col("size") > 0, F.col("copies") + (F.col("_h") < F.col("cut")).cast("bigint")).otherwise(0)
-    return joined.withColumn("times", times).drop("_h", "copies", "cut")
+    return salted_join(rows, found).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", times.alias("times"))
 
 
 def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return mixed(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents taken twice or three times stand there as often."""
-    taken = mixed(docs.select("doc_id", "text", "source", *aside(docs)))
+    taken = mixed(docs.select("doc_id", "text", "source", *aside(docs)), keep=[f"__c{i}" for i in range(len(docs.columns))])
     again = F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times").cast("int"))).otherwise(F.array())
     return taken.withColumn("_i", F.explode(again)).select(*restored(docs))
 
