@@ -8,15 +8,18 @@ offset in the raw frame, so one record costs one read of the seek table and one
 Pages with equal payloads of at least `least` bytes are stored once: that with the largest
 page_id is a response, the others are revisit records that refer to it and carry no
 payload. Digests are grouped with map-side combining and joined back to their pages (one
-row a digest), so that a payload in a third of all pages splits.
+row a digest), so that a payload in a third of all pages splits; smaller payloads are not
+shuffled.
 
-Bundles go to the shared folder through its own file system. A task writes under a name
-of its own and only the index of a task that succeeded is kept, so retries leave at most
-an unused file behind.
+Bundles go to the shared folder through its own file system (those that pyarrow opens; s3a
+and s3n count as s3). A task writes under a name of its own and only the index of a task that
+succeeded is kept, so retries leave at most an unused file behind.
 
 Null html is an empty payload (response). Pages with a null page_id are responses, unless
 another page of equal payload has an id. Repeated page_ids with equal payload are all
-responses if theirs is the largest. An empty table gives no bundle and no rows.
+responses if theirs is the largest. Very long pages are frames of their own; a value in Spark
+has less than 2 GiB, so sizes fit the seek table's 32 bits. Other columns are not read. An
+empty table gives no bundle and no rows.
 """
 
 from __future__ import annotations
@@ -98,12 +101,18 @@ def read_seek_table(file, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 class Bundle:
     """Writes frames to one file; the index rows are known once it is closed."""
 
     def __init__(self, folder: str):
         self.uri = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
-        self.store, self.path = fs.FileSystem.from_uri(self.uri)
+        self.store, self.path = file_system(self.uri)
         self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out, self.pack = self.store.open_output_stream(self.path, compression=None), zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int]] = []
@@ -141,10 +150,13 @@ def typed(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, url, payload, digest, size, refers_to): refers_to is null for responses, payload for revisits."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
-    winners = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_win"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _win is not null").drop("_n")
-    joined = rows.join(winners, F.col("digest") == F.col("_digest"), "left")
+    large = rows.where(F.col("size") >= least)
+    winners = large.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_win"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _win is not null").drop("_n")
+    joined = large.join(winners, F.col("digest") == F.col("_digest"), "left")
     refers = F.when(~F.col("_win").eqNullSafe(F.col("page_id")), F.col("_win"))
-    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", "size", refers.alias("refers_to"))
+    found = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", "size", refers.alias("refers_to"))
+    none = F.lit(None).cast(pages.schema["page_id"].dataType)
+    return found.unionByName(rows.where(F.col("size") < least).withColumn("refers_to", none))
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
@@ -177,20 +189,48 @@ def page_of(rid: str | None) -> int | None:
     return int(value) if len(value) < 40 and value.lstrip("-").isdigit() else None
 
 
+class Frames:
+    """Reads raw frames of bundles: one seek table for each run of frames of one bundle."""
+
+    def __init__(self):
+        self.bundle, self.table, self.unpack = None, [], zstandard.ZstdDecompressor()
+
+    def __call__(self, bundle: str, frame: int) -> bytes:
+        store, path = file_system(bundle)
+        with store.open_input_file(path) as file:
+            if bundle != self.bundle:
+                self.bundle, self.table = bundle, read_seek_table(file, file.size())
+            at, packed, raw_size = self.table[frame]
+            file.seek(at)
+            return self.unpack.decompress(file.read(packed), max_output_size=raw_size)
+
+
+def read_records(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(record_id, record): the raw records whose record_id is in wanted, each from its own frame."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = Frames()
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                raw = frames(x["bundle"], x["frame"])
+                rows.append((x["record_id"], raw[x["start"] : len(raw) if x["end"] is None else x["end"]]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["record_id", "record"])
+
+    each = index.select("bundle", "frame", "offsets", F.posexplode("record_ids").alias("_at", "record_id"))
+    spans = each.select("bundle", "frame", "record_id", F.get("offsets", F.col("_at")).alias("start"), F.get("offsets", F.col("_at") + 1).alias("end"))
+    found = spans.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    return found.sortWithinPartitions("bundle", "frame").mapInArrow(read, "record_id string, record binary")
+
+
 def read_bundles(index: DataFrame) -> DataFrame:
     """Every indexed record, read from its frame; responses' sizes and digests come from their payloads."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, unpack = {}, zstandard.ZstdDecompressor()
+        frames = Frames()
         for batch in batches:
             rows: list[tuple] = []
             for x in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(x["bundle"])
-                with store.open_input_file(path) as file:
-                    if path not in tables:
-                        tables = {path: read_seek_table(file, file.size())}
-                    at, packed, raw_size = tables[path][x["frame"]]
-                    file.seek(at)
-                    raw = unpack.decompress(file.read(packed), max_output_size=raw_size)
+                raw = frames(x["bundle"], x["frame"])
                 for a, b in zip(x["offsets"], [*x["offsets"][1:], len(raw)], strict=True):
                     r = parse(raw[a:b])
                     page, kind = page_of(r["WARC-Record-ID"]), r["WARC-Type"]

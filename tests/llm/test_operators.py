@@ -199,6 +199,13 @@ def test_quality_verdicts(messy):
     assert got[(31, "x | y | z | w")].clean_text == ""
 
 
+def test_mixing_keeps_other_columns(messy):
+    clash = messy.withColumns({c: F.lit(c) for c in ("copies", "cut", "_h", "_s", "_salt", "_source", "size", "target")})
+    out = mixing.mixed(clash)
+    assert set(out.columns) == set(clash.columns) | set(mixing.MIXED) and len(out.columns) == len(clash.columns) + 2
+    assert {(r.copies, r.cut, r._h, r._salt) for r in out.collect()} == {("copies", "cut", "_h", "_salt")}
+
+
 def test_mixing(messy, real):
     for df in (messy, real):
         out = mixing.mixed(df).collect()
@@ -494,6 +501,11 @@ def test_warc(spark):
         revisit = html == big and page != 9
         want.append((page is None, page or 0, len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
     assert got == sorted(want, key=key)
+    ids = [warc.record_id(9, ""), warc.record_id(3, ""), warc.record_id(1, ""), "<urn:x-page:404>"]
+    found = {r.record_id: warc.parse(r.record) for r in warc.read_records(index, spark.createDataFrame([(i,) for i in ids], "record_id string")).collect()}
+    assert set(found) == set(ids[:3]) and found[ids[0]]["payload"].decode() == big and found[ids[1]]["payload"] == b"short"
+    assert found[ids[2]]["WARC-Type"] == "revisit" and found[ids[2]]["WARC-Refers-To"] == ids[0]
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x"
     assert warc.read_bundles(warc.write_bundles(pages.where("false"), f"{warc.shared_dir(spark)}/none")).count() == 0
 
 
