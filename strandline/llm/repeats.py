@@ -1,33 +1,41 @@
 """Suffix-array dedup: removes every byte that a repeated string of `width` bytes covers.
 
-Suffixes of all texts are ordered by their first `width` bytes only, in most-significant
-digit passes; equal ones are the repeated strings. A pass keeps what can still be equal:
+Suffixes of all texts are ordered by their first `width` bytes only, in most-significant-
+digit passes; equal groups are the repeated strings. A pass keeps what can still be equal,
+and only that goes on:
 
 1. Digit one of a suffix is its anchor: of the DIGIT-byte strings in its first `width` bytes
    the one with the least hash (the leftmost of equals), and how far in it stands. Equal
-   suffixes have equal digits, and all suffixes that share an anchor's place are one row,
-   so a text has about two rows for every width - DIGIT bytes. Rows are dealt by anchor;
-   anchors that stand at one place only end here.
-2. For each place of a repeated anchor, the digit is all bytes that its suffixes span
-   (`width` from the first to the last). Places with equal bytes are one context: all of
-   its suffixes are repeated. Bytes travel once per task and context.
-3. Only where an anchor has several contexts, the single suffixes of each are compared:
-   by place in the context and hash of the whole `width` bytes.
-
-Copies of a text are counted first and counted with map-side combining: a text of `width`
-bytes or more that occurs twice goes as a whole. In the passes it is one text, sent once
-per task that has it. Rows of one anchor are read in sorted
-order: places that share a context are settled as they are read, and only one row for
-each context of the anchor is gathered.
+   suffixes have equal anchors and distances. All suffixes that share an anchor's place are one
+   row with a range of distances, so a text has about two rows for every width - DIGIT bytes.
+   Anchors that stand at one place only end here.
+2. Digit two are the bytes that a row's suffixes span together, from the first to the last.
+   Rows with equal anchors, ranges and bytes are one class: all of its suffixes are repeated,
+   and one of its rows stands for it from now on. Anchors with one class end here.
+3. In further passes ranges are cut into PASSES[0], then PASSES[1] and at last one distance.
+   The digit of a part are the bytes that all suffixes of the part have in common; parts
+   whose digit is unique end. Of the others, those whose suffixes' bytes are all equal form
+   classes as before. With one distance a part is a suffix, and its class all equal ones.
+
+Every pass is sums by digit and by class with map-side combining, joined back with one row for
+each: no group meets in a task, so a passage that a third of all texts have is one class, and
+what stands around it is told apart in parallel. Digits and classes are BLAKE2b digests
+of 128 bits; anchors are only hashes, as what they bring together is told apart later.
+
+Copies of a text are counted first: a text of `width` bytes or more that occurs twice goes as a
+whole. In the passes it is one text, sent packed and once per task that has it. Bytes of
+classes travel once per task.
 
 Texts are compared as UTF-8 bytes; matches never cross texts. A null text is empty. Rows
-with equal ids are rows of their own. Texts shorter than `width` lose nothing. An empty
-table gives no rows.
+with equal ids are rows of their own. Texts shorter than `width` lose nothing. Very long
+texts are hashed by overlapping segments. An empty table gives no rows. op2 returns its own
+columns only; the stage keeps all columns of documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +43,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
-from strandline.llm.hashing import Prefixes, mix, parts_by_bytes, text_bytes
+from strandline.llm.common import stored, table
+from strandline.llm.hashing import Prefixes, grown, parts_by_bytes, shrink, text_bytes
 
-WIDTH, DIGIT, CHUNK, SEGMENT = 400, 128, 2000, 2 << 20
+WIDTH, DIGIT, SEGMENT = 400, 128, 2 << 20
+PASSES = (32, 4, 1)
 #: The stage's threshold: strings of 240 bytes lead to all passages of over 50 words but those of very short words.
 STAGE_WIDTH, STAGE_DIGIT, STAGE_WORDS = 240, 64, 51
 
@@ -58,53 +67,58 @@ def sliding_minimum(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all anchors in joined texts, ascending, and their hashes."""
-    grams = width - digit + 1
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, ...]:
+    """Places of all anchors in joined texts, ascending, their hashes, and the least and largest distance of their suffixes."""
     if len(data) < width:
-        return np.empty(0, "i8"), np.empty(0, "u8")
+        return np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
     hashes = Prefixes(data).windows(digit)
     ordered = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype="u8")
-    least = sliding_minimum(ordered, grams)
+    least = sliding_minimum(ordered, width - digit + 1)
     sizes = np.diff(offsets)
     inside = np.zeros(len(data) + 1, "i4")
     long = sizes >= width
     np.add.at(inside, offsets[:-1][long], 1)
     np.add.at(inside, offsets[1:][long] - width + 1, -1)
-    at = (least[np.cumsum(inside)[: len(least)] > 0] & np.uint64(0xFFFFFFFF)).astype("i8")
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, hashes[at]
+    suffix = np.flatnonzero(np.cumsum(inside)[: len(least)] > 0)
+    at = (least[suffix] & np.uint64(0xFFFFFFFF)).astype("i8")
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, "i8")
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], hashes[at[first]], (at - suffix)[last] if len(at) else first, (at - suffix)[first]
 
 
-def long_anchors(data: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+def long_anchors(data: np.ndarray, width: int, digit: int) -> tuple[np.ndarray, ...]:
     """The anchors of one very long text, by overlapping segments."""
     found = []
     for a in range(0, max(1, len(data) - width + 1), SEGMENT):
         piece = data[a : a + SEGMENT + width - 1]
-        at, hashes = anchors(piece, np.array([0, len(piece)]), width, digit)
-        found.append((at + a, hashes))
-    at, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
-    return at, np.concatenate([f[1] for f in found])[first]
+        at, *rest = anchors(piece, np.array([0, len(piece)]), width, digit)
+        found.append((at + a, *rest))
+    at, hashes, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    places, first = np.unique(at, return_index=True)
+    return places, hashes[first], np.minimum.reduceat(near, first), np.maximum.reduceat(far, first)
 
 
-def one_copy(rows: DataFrame, key: int) -> DataFrame:
-    """Rows without those whose key a task has had already."""
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(text_id, packed) of texts (text_id, text), each once; a task sends a text once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for k in batch.column(key).to_pylist():
-                keep.append(k not in seen)
-                seen.add(k)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-            yield batch.filter(pa.array(keep))
+        for whole in batches:
+            for batch in parts_by_bytes(whole, 1):
+                rows = []
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if k not in seen:
+                        rows.append((k, shrink(np.frombuffer(text.encode(), "u1"))))
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(k)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["text_id", "packed"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return texts.mapInArrow(run, "text_id binary, packed binary").groupBy("text_id").agg(F.min("packed").alias("packed"))
 
 
 def anchor_rows(texts: DataFrame, width: int, digit: int) -> DataFrame:
-    """(anchor, text_id, place) of texts (text_id, text)."""
+    """(anchor, text_id, place, near, far) of texts (text_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
@@ -116,181 +130,120 @@ def anchor_rows(texts: DataFrame, width: int, digit: int) -> DataFrame:
                     seen.clear()
             for batch in parts_by_bytes(whole.filter(pa.array(keep)), 1):
                 data, offsets = text_bytes(batch.column(1))
-                at, hashes = anchors(data, offsets, width, digit) if len(data) <= 2 * SEGMENT else long_anchors(data, width, digit)
+                at, hashes, near, far = anchors(data, offsets, width, digit) if len(data) <= 2 * SEGMENT else long_anchors(data, width, digit)
                 if len(at):
                     owner = np.searchsorted(offsets, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), batch.column(0).take(pa.array(owner)), pa.array(at - offsets[owner])], names=["anchor", "text_id", "place"])
+                    columns = [pa.array(hashes.view("i8")), batch.column(0).take(pa.array(owner)), pa.array(at - offsets[owner]), pa.array(near.astype("i4")), pa.array(far.astype("i4"))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "text_id", "place", "near", "far"])
 
-    return texts.mapInArrow(run, "anchor bigint, text_id binary, place bigint")
+    return texts.mapInArrow(run, "anchor bigint, text_id binary, place bigint, near int, far int")
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
-    """The distinct rows whose anchor has two or more of them, read in sorted order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, and whether it has been given out
-        given = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            anchor, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            ids = np.frombuffer(batch.column(1).cast(pa.binary(16)).buffers()[1], "V16", batch.num_rows, 0) if batch.column(1).offset == 0 else np.array(batch.column(1).to_pylist(), "V16")
-            same_row = np.zeros(len(anchor), bool)
-            same_row[1:] = (anchor[1:] == anchor[:-1]) & (place[1:] == place[:-1]) & (ids[1:] == ids[:-1])
-            rows = np.flatnonzero(~same_row)
-            a = anchor[rows]
-            as_last, as_next = np.zeros(len(a), bool), np.zeros(len(a), bool)
-            as_last[1:] = a[1:] == a[:-1]
-            as_next[:-1] = as_last[1:]
-            out = as_last | as_next
-            if held is not None and given:
-                out[0] = False
-                was = True
-            else:
-                was = False
-            given = bool(as_last[-1] or as_next[-1]) or (was and len(a) == 1)
-            held = batch.slice(int(rows[-1]), 1)
-            if out.any():
-                yield batch.take(pa.array(rows[out]))
-
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "text_id", "place")
-    return ordered.mapInArrow(run, rows.schema)
-
-
-CONTEXT = "anchor bigint, context bigint, text_id binary, place bigint, left int, length int, bytes binary"
-
-
-def contexts(texts: DataFrame, width: int, digit: int) -> DataFrame:
-    """Of texts (text_id, text, places array<struct<anchor, place>>): the bytes around each place."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
-        sent: set[int] = set()
-        for whole in batches:
-            for batch in parts_by_bytes(whole, 1):
-                rows: list[tuple] = []
-                for i in range(batch.num_rows):
-                    key = batch.column(0)[i].as_py()
-                    if key in done:
-                        continue
-                    done.add(key)
-                    text = batch.column(1)[i].as_py().encode()
-                    places = batch.column(2)[i].values
-                    for anchor, place in zip(places.field("anchor").to_pylist(), places.field("place").to_pylist(), strict=True):
-                        left = min(place, width - digit)
-                        piece = text[place - left : place + width]
-                        context = int.from_bytes(hashlib.blake2b(piece, digest_size=8, salt=left.to_bytes(4, "little")).digest(), "little", signed=True)
-                        new = context not in sent
-                        if new:
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add(context)
-                        rows.append((anchor, context, key, place, left, len(piece), piece if new else None))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "context", "text_id", "place", "left", "length", "bytes"])
+def digest(piece: bytes, anchor: int, near: int, far: int) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16, salt=struct.pack("<qii", anchor, near, far)).digest()
 
-    return texts.mapInArrow(run, CONTEXT)
 
+ROW = {"digit": pa.binary(), "class": pa.binary(), "anchor": pa.int64(), "text_id": pa.binary(), "place": pa.int64(), "near": pa.int32(), "far": pa.int32(), "several": pa.bool_(), "bytes": pa.binary()}
+ROWS = "digit binary, class binary, anchor bigint, text_id binary, place bigint, near int, far int, several boolean, bytes binary"
 
-def window_hashes(group: np.ndarray, left: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key for every suffix of each piece (group, place from the anchor, bytes), and the number of them in each piece."""
-    lengths = np.array([len(p) for p in pieces])
-    counts = np.maximum(lengths - width + 1, 0)
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = np.repeat(begin, counts) + inner
-    with np.errstate(over="ignore"):
-        h = Prefixes(np.frombuffer(b"".join(pieces), "u1")).of(start, start + width)
-        back = (np.repeat(left, counts) - inner).astype("u8")
-        return mix(h + np.repeat(group, counts).view("u8") * np.uint64(0x9FB21C651E98DF25) + back * np.uint64(0xC2B2AE3D27D4EB4F)), counts
 
+def row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), ROW.values(), strict=True)], names=list(ROW))
 
-def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
-    """(text_id, start, end): bytes of texts covered by repeated suffixes; rows are sorted by anchor and context."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # contexts: [anchor, context, left, length, bytes, latest member, whether there are several]
-        held: list[list] = []
-        settled: list[tuple] = []  # spans of contexts with several members, which need no comparison
-
-        def given_out() -> pa.RecordBatch:
-            columns = [pa.array(c, k) for c, k in zip(zip(*settled, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)]
-            settled.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["text_id", "start", "end"])
-
-        def spans(flush_all: bool) -> Iterator[pa.RecordBatch]:
-            """Decides the held contexts, but for the last anchor's unless it has ended; what is too large stays as hashes."""
-            nonlocal held
-            cut = len(held)
-            if not flush_all:
-                cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]), -1) + 1
-            now, held = held[:cut], held[cut:]
-            if not now:
-                return
-            ids, starts, ends = [], [], []
-            several = [i for i, c in enumerate(now) if (i and now[i - 1][0] == c[0]) or (i + 1 < len(now) and now[i + 1][0] == c[0])]
-            compare = [i for i in several if not now[i][6] and now[i][3] >= width]
-            marks: dict[int, np.ndarray] = {}
-            if several:
-                group = np.array([now[i][0] for i in several], "i8")
-                keys, counts = window_hashes(group, np.array([now[i][2] for i in several]), [now[i][4] for i in several], width)
-                _, inverse, number = np.unique(keys, return_inverse=True, return_counts=True)
-                twice = number[inverse] > 1
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                for j, i in enumerate(several):
-                    marks[i] = twice[bounds[j] : bounds[j + 1]]
-            wanted = set(compare)
-            for i in wanted:
-                if marks[i].any():
-                    d = np.diff(np.concatenate([[0], marks[i].astype("i1"), [0]]))
-                    text, place = now[i][5]
-                    for a, b in zip(np.flatnonzero(d == 1).tolist(), (np.flatnonzero(d == -1) - 1 + width).tolist(), strict=True):
-                        ids.append(text)
-                        starts.append(place - now[i][2] + a)
-                        ends.append(place - now[i][2] + b)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["text_id", "start", "end"])
 
+def contexts(texts: DataFrame, width: int) -> DataFrame:
+    """ROWS of texts (text_id, packed, places): the digit is the anchor, the class all bytes of a row's suffixes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
-            for anchor, context, text, place, left, length, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                last = held[-1] if held else None
-                if last is not None and last[0] == anchor and last[1] == context and last[2] == left:
-                    last[4] = last[4] or piece
-                    if last[5] != (text, place) and length >= width:
-                        members = [(text, place)] if last[6] else [last[5], (text, place)]
-                        settled.extend((t, p - left, p - left + length) for t, p in members)
-                        last[5], last[6] = (text, place), True
-                else:
-                    held.append([anchor, context, left, length, piece, (text, place), False])
-            if len(settled) > 50_000:
-                yield given_out()
-            if len(held) > CHUNK:
-                yield from spans(False)
-        yield from spans(True)
-        if settled:
-            yield given_out()
-
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "context", "left", "text_id", "place").mapInArrow(run, "text_id binary, start bigint, end bigint")
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                text = grown(batch.column(1)[i].as_py(), "u1").tobytes()
+                for p in batch.column(2)[i].as_py():
+                    anchor, place, near, far = p["anchor"], p["place"], p["near"], p["far"]
+                    piece = text[place - far : place - near + width]
+                    name = digest(piece, anchor, near, far)
+                    new = name not in sent
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.add(name)
+                    rows.append((struct.pack("<q", anchor), name, anchor, key, place, near, far, False, piece if new else None))
+                if len(rows) > 4000:
+                    yield row_batch(rows)
+                    rows = []
+            if rows:
+                yield row_batch(rows)
+
+    return texts.mapInArrow(run, ROWS)
+
+
+def parts(rows: DataFrame, width: int, step: int) -> DataFrame:
+    """ROWS of the parts of ranges: distances are cut at multiples of step; what rows say of bytes goes on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "text_id", "place", "near", "far", "several", "bytes")]
+            for anchor, text, place, near, far, several, piece in zip(*columns, strict=True):
+                for node in range(near // step, far // step + 1):
+                    low, high = node * step, node * step + step - 1
+                    a, b = max(near, low), min(far, high)
+                    own = piece[far - b : far - a + width]
+                    name = digest(own, anchor, a, b)
+                    common = name if step == 1 else digest(piece[far - low : max(far - high + width, far - low)], anchor, low, -step)
+                    out.append((common, name, anchor, text, place, a, b, several, own))
+                if len(out) > 4000:
+                    yield row_batch(out)
+                    out = []
+            if out:
+                yield row_batch(out)
+
+    return rows.mapInArrow(run, ROWS)
+
+
+def told_apart(rows: DataFrame, width: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """One pass over ROWS: the spans (text_id, start, end) of its classes of several rows, and one row for each class of a digit with several."""
+    rows = stored(rows, "suffixes")
+    counts = stored(rows.groupBy("digit", "class").agg(F.count(F.lit(1)).alias("n")), "classes")
+    repeated = counts.where("n > 1").select("class")
+    spans = rows.where("not several").join(repeated, "class", "left_semi").select("text_id", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + width).alias("end"))
+    if last:
+        return spans, None
+    open_ = counts.groupBy("digit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digit")
+    one = F.min(F.struct("anchor", "text_id", "place", "near", "far")).alias("_one")
+    several = (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several")
+    return spans, rows.join(open_, "digit", "left_semi").groupBy("class").agg(one, several, F.max("bytes").alias("bytes")).select("_one.*", "several", "bytes")
+
+
+def repeated_spans(keyed: DataFrame, width: int, digit: int) -> tuple[DataFrame, DataFrame]:
+    """The spans (text_id, start, end) covered by repeated suffixes of texts (text_id, text), and the packed texts."""
+    rows = stored(anchor_rows(keyed, width, digit), "anchors")
+    place = F.xxhash64("text_id", "place")  # copies of a text in several tasks are one place
+    shared = rows.groupBy("anchor").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("anchor")
+    places = rows.join(shared, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "near", "far")).alias("places"))
+    texts = packed_texts(keyed)
+    met = texts.join(places, "text_id").select("text_id", "packed", "places")
+    spans, left = told_apart(contexts(met, width), width, False)
+    for step in PASSES:
+        more, left = told_apart(parts(left, width, step), width, step == 1)
+        spans = spans.unionByName(more)
+    return spans.distinct(), texts
 
 
 CUT = "text_id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
 def without_spans(texts: DataFrame, keep_bytes: bool, least_words: int = 0) -> DataFrame:
-    """Of texts (text_id, text, spans array<struct<start, end>>) that lose bytes: what is removed, and what stays.
+    """Of texts (text_id, packed, spans array<struct<start, end>>) that lose bytes: what is removed, and what stays.
 
     Runs of joined spans stay if they have fewer words than least_words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
         for whole in batches:
             for batch in parts_by_bytes(whole, 1):
                 rows = []
-                for key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if key in done:
-                        continue
-                    done.add(key)
-                    data, runs = text.encode(), []
+                for key, packed, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data, runs = grown(packed, "u1").tobytes(), []
                     for a, b in sorted((s["start"], s["end"]) for s in spans):
                         if runs and a <= runs[-1][1]:
                             runs[-1][1] = max(b, runs[-1][1])
@@ -313,15 +266,11 @@ def without_spans(texts: DataFrame, keep_bytes: bool, least_words: int = 0) -> D
 def removals(docs: DataFrame, width: int = WIDTH, digit: int = DIGIT, keep_bytes: bool = False, least_words: int = 0) -> DataFrame:
     """(text_id, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes."""
     keyed = docs.select(text_key(F.col("text")).alias("text_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= width)
-    shared = shared_anchors(anchor_rows(keyed, width, digit))
-    places = shared.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    distinct = one_copy(keyed, 0).repartition("text_id")  # all copies of a text that are left come to one task
-    met = distinct.join(places, "text_id").select("text_id", "text", "places")
-    spans = repeated_spans(contexts(met, width, digit), width).distinct()
+    spans, texts = repeated_spans(keyed, width, digit)
     copies = keyed.groupBy("text_id", F.octet_length("text").cast("bigint").alias("end")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = copies.select("text_id", F.lit(0).cast("bigint").alias("start"), "end")
     all_spans = spans.unionByName(whole).groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return without_spans(distinct.join(all_spans, "text_id").select("text_id", "text", "spans"), keep_bytes, least_words)
+    return without_spans(texts.join(all_spans, "text_id").select("text_id", "packed", "spans"), keep_bytes, least_words)
 
 
 def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,13 +128,28 @@ def test_repeated_passages_of_over_50_words_go(spark):
     assert [len((got[d] or "").encode()) for d, *_ in wanted] == [n - gone for _, n, gone, _, _ in wanted]
 
 
+def test_digit_passes_on_shared_pieces(spark):
+    """Short widths, so that many ranges end inside passages that others share in part."""
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("abé ") for _ in range(rng.randrange(10, 60))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(pieces)[rng.randrange(8) :] if rng.random() < 0.7 else "".join(rng.choice("xyz") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(7)))) for i in range(150)]
+    rows += [(200, "ab" * 40), (201, rows[7][1]), (202, "a" * 30 + "b"), (203, "a" * 29)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS).repartition(5)
+    for width, digit in ((24, 8), (60, 16)):
+        cut = {bytes(r.text_id): (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removals(docs.select("doc_id", "text"), width, digit).collect()}
+        for (_, t), (_, _, gone, runs, sha) in zip(rows, brute.without_repeats(rows, width), strict=True):
+            assert cut.get(hashlib.md5(t.encode()).digest(), (0, 0, hashlib.sha256(t.encode()).hexdigest())) == (gone, runs, sha)
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 103, 9000).astype("u1")
     whole = repeats.anchors(data, np.array([0, len(data)]), 400, 128)
     monkeypatch.setattr(repeats, "SEGMENT", 1000)
     parts = repeats.long_anchors(data, 400, 128)
-    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+    suffixes = sorted(int(a) - t for a, near, far in zip(whole[0], whole[2], whole[3], strict=True) for t in range(near, far + 1))
+    assert suffixes == list(range(len(data) - 400 + 1))  # every suffix has one anchor
 
 
 def check_packing(docs, rows, path):
