@@ -22,7 +22,7 @@ Only hashes that some quote has are looked for, reduced to one row each before t
 a passage that a third of all messages quote is looked up, never paired; AQE splits such keys.
 Positions are counted in ranges of RANGE turns and then over ranges, so a conversation with
 very many turns doesn't meet in one task. Roots are found by pointer jumping: the rounds
-are the logarithm of the longest thread.
+are the logarithm of the longest thread, and a message that has reached its root rests.
 
 Null and empty texts have an empty body and no quotes; very long texts are rows like others.
 Rows with equal conv_id and turn are one message for links: its quotes and what it says
@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, aside, dropped, restored, stored, table
+from strandline.llm.common import WORD, aside, restored, stored, table
 
 MARKS = r"^(?:[\x20\x09]*>)+"
 WROTE = r"^[\x20\x09]*(On|Am|Le|El) [^\n]{1,200}(wrote|schrieb|écrit|escribió)[^\n]{0,80}:[\x20\x09]*$"
@@ -119,16 +119,16 @@ def quote_links(known: DataFrame) -> DataFrame:
 def threads(replies: DataFrame) -> DataFrame:
     """(_conv, _turn, root_conv, root_turn, depth) of messages (_conv, _turn, _up_conv, _up_turn), by pointer jumping."""
     no_reply = F.col("_up_conv").isNull()
-    at = replies.select("_conv", "_turn", F.coalesce("_up_conv", "_conv").alias("root_conv"), F.coalesce("_up_turn", "_turn").alias("root_turn"), F.when(no_reply, 0).otherwise(1).cast("bigint").alias("depth"))
+    at = replies.select("_conv", "_turn", F.coalesce("_up_conv", "_conv").alias("root_conv"), F.coalesce("_up_turn", "_turn").alias("root_turn"), F.when(no_reply, 0).otherwise(1).cast("bigint").alias("depth"), (~no_reply).alias("open"))
     at = stored(at, "threads")
-    while True:
-        up = at.where("depth > 0").select(F.col("_conv").alias("root_conv"), F.col("_turn").alias("root_turn"), F.col("root_conv").alias("_c"), F.col("root_turn").alias("_t"), F.col("depth").alias("_d"))
-        if at.join(up, ["root_conv", "root_turn"], "left_semi").isEmpty():
-            return at
-        further = at.join(up, ["root_conv", "root_turn"], "left")
-        after = stored(further.select("_conv", "_turn", F.coalesce("_c", "root_conv").alias("root_conv"), F.coalesce("_t", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")), "threads")
-        dropped(at)
-        at = after
+    ended = at.where("not open").drop("open")
+    while not at.where("open").isEmpty():
+        left = at.where("open").drop("open")
+        up = ended.unionByName(left).where("depth > 0").select(F.col("_conv").alias("root_conv"), F.col("_turn").alias("root_turn"), F.col("root_conv").alias("_c"), F.col("root_turn").alias("_t"), F.col("depth").alias("_d"))
+        further = left.join(up, ["root_conv", "root_turn"], "left")
+        at = stored(further.select("_conv", "_turn", F.coalesce("_c", "root_conv").alias("root_conv"), F.coalesce("_t", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_c").isNotNull().alias("open")), "threads")
+        ended = ended.unionByName(at.where("not open").drop("open"))
+    return ended
 
 
 def linked(messages: DataFrame) -> DataFrame:
