@@ -23,8 +23,8 @@ what stands around it is told apart in parallel. Digits and classes are BLAKE2b
 of 128 bits; anchors are only hashes, as what they bring together is told apart later.
 
 Copies of a text are counted first: a text of `width` bytes or more that occurs twice goes as a
-whole. In the passes it is one text, sent packed and once per task that has it. Bytes of
-classes travel once per task.
+whole. In the passes it is one text, sent packed and once per task that has it. Bytes travel in
+pass 2, once per task and class; later passes look up those of the rows that are left.
 
 Texts are compared as UTF-8 bytes; matches never cross texts. A null text is empty. Rows
 with equal ids are rows of their own. Texts shorter than `width` lose nothing. Very long
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import stored, table
 from strandline.llm.hashing import Prefixes, grown, parts_by_bytes, shrink, text_bytes
 
-WIDTH, DIGIT, SEGMENT = 400, 128, 2 << 20
+WIDTH, DIGIT, SEGMENT, BATCH = 400, 128, 2 << 20, 1000
 PASSES = (32, 4, 1)
 #: The stage's threshold: strings of 240 bytes lead to all passages of over 50 words but those of very short words.
 STAGE_WIDTH, STAGE_DIGIT, STAGE_WORDS = 240, 64, 51
@@ -169,40 +169,41 @@ def contexts(texts: DataFrame, width: int) -> DataFrame:
                         sent.clear()
                     sent.add(name)
                     rows.append((struct.pack("<q", anchor), name, anchor, key, place, near, far, False, piece if new else None))
-                if len(rows) > 4000:
-                    yield row_batch(rows)
-                    rows = []
+                    if len(rows) == BATCH:
+                        yield row_batch(rows)
+                        rows = []
             if rows:
                 yield row_batch(rows)
 
     return texts.mapInArrow(run, ROWS)
 
 
-def parts(rows: DataFrame, width: int, step: int) -> DataFrame:
-    """ROWS of the parts of ranges: distances are cut at multiples of step; what rows say of bytes goes on."""
+def parts(rows: DataFrame, held: DataFrame, width: int, step: int) -> DataFrame:
+    """ROWS of the parts of ranges, cut at multiples of step; held (text_id, place, reach, held) has the bytes from `reach` before each place on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "text_id", "place", "near", "far", "several", "bytes")]
-            for anchor, text, place, near, far, several, piece in zip(*columns, strict=True):
+            for anchor, text, place, near, far, several, reach, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for node in range(near // step, far // step + 1):
                     low, high = node * step, node * step + step - 1
                     a, b = max(near, low), min(far, high)
-                    own = piece[far - b : far - a + width]
-                    name = digest(own, anchor, a, b)
-                    common = name if step == 1 else digest(piece[far - low : max(far - high + width, far - low)], anchor, low, -step)
-                    out.append((common, name, anchor, text, place, a, b, several, own))
-                if len(out) > 4000:
+                    name = digest(piece[reach - b : reach - a + width], anchor, a, b)
+                    common = name if step == 1 else digest(piece[reach - low : max(reach - high + width, reach - low)], anchor, low, -step)
+                    out.append((common, name, anchor, text, place, a, b, several, None))
+                if len(out) >= BATCH:
                     yield row_batch(out)
                     out = []
             if out:
                 yield row_batch(out)
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.join(held, ["text_id", "place"]).select("anchor", "text_id", "place", "near", "far", "several", "reach", "held").mapInArrow(run, ROWS)
 
 
 def told_apart(rows: DataFrame, width: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """One pass over ROWS: the spans (text_id, start, end) of its classes of several rows, and one row for each class of a digit with several."""
+    """One pass over ROWS: the spans (text_id, start, end) of its classes of several rows, and one row for each class of a digit with several.
+
+    Rows that send bytes send them once per task and class.
+    """
     rows = stored(rows, "suffixes")
     counts = stored(rows.groupBy("digit", "class").agg(F.count(F.lit(1)).alias("n")), "classes")
     repeated = counts.where("n > 1").select("class")
@@ -224,8 +225,10 @@ def repeated_spans(keyed: DataFrame, width: int, digit: int) -> tuple[DataFrame,
     texts = packed_texts(keyed)
     met = texts.join(places, "text_id").select("text_id", "packed", "places")
     spans, left = told_apart(contexts(met, width), width, False)
+    left = stored(left, "open")
+    held = left.select("text_id", "place", F.col("far").alias("reach"), F.col("bytes").alias("held"))
     for step in PASSES:
-        more, left = told_apart(parts(left, width, step), width, step == 1)
+        more, left = told_apart(parts(left.drop("bytes"), held, width, step), width, step == 1)
         spans = spans.unionByName(more)
     return spans.distinct(), texts
 
