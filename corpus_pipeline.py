@@ -1,7 +1,11 @@
 """From documents to packed sequences: clean, drop near copies, cut repeats, mix, pack.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns
-the columns of documents; the last returns the pieces of sequences.
+the columns of documents, with others that came along; the last returns the pieces of
+sequences with their token ids.
+
+Null and empty texts go with the quality rules. Of repeated rows and of copies one row stays,
+with or without an id. Very long texts go through whole. An empty table gives no pieces.
 """
 
 from __future__ import annotations
