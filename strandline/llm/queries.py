@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from strandline.llm import cotraining, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_differencing": packing.op1_differencing,
     "op2_radix_repeats": repeats.op2_radix_repeats,
     "op3_rtree_jaccard": ngram_join.op3_rtree_jaccard,
