@@ -1,9 +1,17 @@
 """Adapter for models that live in Python: one load per worker, one call per Arrow batch.
 
 A model is named by options["loader"] = "package.module:function". The function gets
-(repo, backend, context_length, horizon, options) and returns a callable that takes a
-list of float32 arrays and returns one forecast per array: an array, a (1, h) or (h, 1)
-array, a (points, quantiles) pair, or an object with the attribute `forecast`.
+(repo, device, context_length, horizon, options) and returns the model. options["style"] says
+how it is called with a list of float32 arrays:
+
+call           model(arrays), the default
+forecast       model.forecast(arrays)
+forecast_freq  model.forecast(arrays, freq=[options["freq"] or 0, one for each array])
+predict_batch  model.predict_batch(arrays, horizon=horizon, **options["kwargs"])
+
+It returns one forecast per array, or a pair of these and of quantiles, which are discarded.
+A forecast is an array, a (1, h) or (h, 1) array, a (points, quantiles) pair, or an object
+with the attribute `forecast`.
 """
 
 from __future__ import annotations
@@ -18,14 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.config import one_of
+
+STYLES = ("call", "forecast", "forecast_freq", "predict_batch")
 _models: dict[tuple, object] = {}
 
 
 def device(backend: str, system: str | None = None) -> str:
-    """The name a tensor library knows: Macs have mps for gpu, other systems cuda; tpu falls back to cpu."""
-    if backend in ("gpu", "mps"):
-        return "mps" if (system or platform.system()) == "Darwin" else "cuda"
-    return "cpu"
+    """The name a tensor library knows: gpu is mps on Macs and cuda elsewhere; mps off a Mac and tpu fall back to cpu."""
+    mac = (system or platform.system()) == "Darwin"
+    if backend == "gpu":
+        return "mps" if mac else "cuda"
+    return "mps" if backend == "mps" and mac else "cpu"
 
 
 def flat(out) -> np.ndarray:
@@ -50,7 +62,25 @@ def cached_model(loader: str, repo: str, backend: str, context: int, horizon: in
     return _models[key]
 
 
+def called(model, arrays: list[np.ndarray], horizon: int, options: dict) -> list[np.ndarray]:
+    """One flat forecast per array, by the style of options."""
+    style = one_of("style", options.get("style", "call"), STYLES)
+    if style == "call":
+        out = model(arrays)
+    elif style == "forecast":
+        out = model.forecast(arrays)
+    elif style == "forecast_freq":
+        out = model.forecast(arrays, freq=[options.get("freq") or 0] * len(arrays))
+    else:
+        out = model.predict_batch(arrays, horizon=horizon, **options.get("kwargs", {}))
+    found = [flat(x) for x in (out[0] if isinstance(out, tuple) else out)]
+    if len(found) != len(arrays):
+        raise ValueError(f"the model gave {len(found)} forecasts for {len(arrays)} series")
+    return found
+
+
 def clear_cache() -> None:
+    """Drops this process's model. Workers drop theirs when they are given another key: options["token"] is part of it."""
     _models.clear()
 
 
@@ -59,12 +89,14 @@ def pretrained(contexts: DataFrame, cfg) -> DataFrame:
     module = loader.partition(":")[0]
     if not module or importlib.util.find_spec(module) is None:
         raise ModuleNotFoundError(f"no forecasting model: options['loader'] is {loader!r}")
-    args = (loader, cfg.repo, cfg.backend, cfg.effective_context_length, cfg.horizon, dict(cfg.options))
+    options, cfg_horizon = dict(cfg.options), cfg.horizon
+    one_of("style", options.get("style", "call"), STYLES)
+    args = (loader, cfg.repo, cfg.backend, cfg.effective_context_length, cfg.horizon, options)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             model = cached_model(*args)
-            yield pd.Series([flat(x) for x in model([np.asarray(c, "float32") for c in batch])])
+            yield pd.Series(called(model, [np.asarray(c, "float32") for c in batch], cfg_horizon, options))
 
     return contexts.withColumn("forecast", run(F.col("context").cast("array<float>")))

@@ -26,19 +26,24 @@ def missing_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def impute_mean(series: DataFrame, strict: bool = False) -> DataFrame:
-    """Missing values become the mean of the ticker's whole series.
+def means_of(series: DataFrame) -> DataFrame:
+    """(ticker, _mean) of the known values of whole series: one row per ticker."""
+    return series.groupBy("ticker").agg(F.avg(known(F.col("value"))).alias("_mean"))
 
-    Tickers with no value at all are left out, or with strict make the job fail. The
-    means are one row per ticker, joined back.
-    """
-    means = series.groupBy("ticker").agg(F.avg(known(F.col("value"))).alias("_mean"))
-    joined = series.join(means, "ticker")
+
+def filled(rows: DataFrame, means: DataFrame, strict: bool = False) -> DataFrame:
+    """Missing values of rows become their ticker's mean; tickers without one are left out, or with strict make the job fail."""
+    joined = rows.join(means, "ticker")
     if strict:
         joined = joined.withColumn("_mean", F.when(F.col("_mean").isNull(), F.raise_error(F.concat(F.lit("no values: "), F.col("ticker")))).otherwise(F.col("_mean")))
     return joined.where(F.col("_mean").isNotNull()).select("ticker", "ts", F.coalesce(known(F.col("value")), F.col("_mean")).alias("value"))
 
 
+def impute_mean(series: DataFrame, strict: bool = False) -> DataFrame:
+    """Missing values become the mean of the ticker's whole series."""
+    return filled(series, means_of(series), strict)
+
+
 def last_n(series: DataFrame, n: int) -> DataFrame:
     """The n latest rows of each ticker; the rank limits rows before the shuffle."""
     w = Window.partitionBy("ticker").orderBy(F.col("ts").desc())
@@ -48,11 +53,12 @@ def last_n(series: DataFrame, n: int) -> DataFrame:
 def contexts(series: DataFrame, context_length: int, impute: str = "mean", strict: bool = False) -> DataFrame:
     """One row per ticker: last_ts, n_raw, n_padded, context_length, context.
 
-    At most context_length rows of a ticker are gathered, whatever its length.
+    At most context_length rows of a ticker are gathered, whatever its length, and only these
+    meet the means.
     """
     n = round_context(context_length)
-    filled = impute_mean(series, strict) if impute == "mean" else series
-    rows = last_n(filled, n).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_rows"))
+    latest = last_n(series, n)
+    rows = (filled(latest, means_of(series), strict) if impute == "mean" else latest).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_rows"))
     values = F.col("_rows.value")
     return rows.select(
         "ticker",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from strandline.functions import calendars, series
 from strandline.operators import context, evaluate, export, history
 from strandline.plans.pipeline import forecast, prepared
 from strandline.sources import bars
+from strandline.storage import shared_dir
 
 FLAGSHIP = ForecastConfig(context_length=64, horizon=7)
 NO_NOISE = ForecastConfig(context_length=64, horizon=20)
@@ -77,9 +79,23 @@ def _forecast(cfg: ForecastConfig):
     return lambda s, d: _r(forecast(daily(s, d), cfg), "forecast_value")
 
 
+def _ticks(interval: str):
+    """Bars of events at an interval."""
+    return lambda s, d: bars.resample(_table(s, d, "events"), "event_type", "ts", "value", "event_id", interval)
+
+
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily bars as a frame with a column for each field and ticker, read back."""
+    fields = ("open", "high", "low", "close", "volume")
+    every = daily(spark, sf)
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    wide = every.groupBy("ts").pivot("ticker", names).agg(*[F.first(f).alias(f) for f in fields])
+    return bars.from_wide(wide, "ts", {(f, t): f"{t}_{f}" for f in fields for t in names})
+
+
 def _records(spark: SparkSession, sf: str, cfg: ForecastConfig = FLAGSHIP) -> DataFrame:
     settings = {"interval": cfg.interval, "context_length": 60, "effective_context_length": cfg.effective_context_length, "horizon_length": cfg.horizon, "model_repo": "drift", "period": "max", "target": cfg.target}
-    made = history.run_records(forecast(daily(spark, sf), cfg), settings).withColumn("timestamp", F.lit(SAVED_AT).cast("timestamp"))
+    made = history.run_records(forecast(daily(spark, sf), cfg), settings, daily(spark, sf)).withColumn("timestamp", F.lit(SAVED_AT).cast("timestamp"))
     return history.numbered(history.validated(made), 0)
 
 
@@ -94,6 +110,25 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return every.join(cut, "ticker").where(F.col("ts") < F.col("_cut")).drop("_cut"), context.target_of(every, "close")
 
 
+def _past_records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Runs forecast from all but the last 30 days, and all closes."""
+    past, real = _split(spark, sf)
+    settings = {"interval": "1d", "context_length": 64, "horizon_length": 20, "model_repo": "drift", "period": "max", "target": "close"}
+    return history.numbered(history.validated(history.run_records(forecast(past, NO_NOISE), settings, past)), 0), real
+
+
+def _stored_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs saved, one deleted, saved again, scored and read back."""
+    folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    records, real = _past_records(spark, sf)
+    records = records.drop("id")
+    history.save_runs(spark, f"{folder}/a", records)
+    history.delete_runs(spark, f"{folder}/a", f"{folder}/b", spark.createDataFrame([(5,)], "id bigint"))
+    history.save_runs(spark, f"{folder}/b", records.where("ticker = '2-HIGH'"))
+    history.score_runs(spark, f"{folder}/b", f"{folder}/c", real)
+    return history.read_runs(spark, f"{folder}/c").select("id", "ticker", "last_ts", F.round("mae_score", 6).alias("mae_score"), F.size("forecast_data").alias("n_steps"))
+
+
 def _backtest(spark: SparkSession, sf: str) -> DataFrame:
     past, real = _split(spark, sf)
     return _r(evaluate.mae(forecast(past, NO_NOISE), real), "mae_score")
@@ -109,8 +144,11 @@ PLUGIN = ForecastConfig(context_length=64, horizon=7, forecaster="pretrained", o
 QUERIES = {
     "bars_daily_ohlcv": daily,
     "bars_hourly_ohlcv": hourly,
+    **{f"bars_{i}": _ticks(i) for i in ("1m", "5m", "15m", "30m", "1wk", "1mo")},
+    "bars_from_wide": _wide,
     "bars_daily_volume": volumes,
     "select_date_range": lambda s, d: bars.select_range(daily(s, d), datetime.date(1996, 1, 1), datetime.date(1996, 7, 1)),
+    "select_default_range": lambda s, d: bars.require_rows(bars.select_range(daily(s, d), *bars.default_range(datetime.date(1996, 7, 1)))),
     "select_period": lambda s, d: bars.select_period(daily(s, d), "1y"),
     "target_projection": lambda s, d: context.target_of(daily(s, d), "volume"),
     "normalize_ticker": lambda s, d: _table(s, d, "customer").select("c_custkey", series.normalize_ticker(F.concat(F.lit("\t "), F.lower("c_mktsegment"), F.lit(" \n"))).alias("ticker")),
@@ -122,6 +160,9 @@ QUERIES = {
     "context_stats": _context_stats,
     "calendar_business": _dates(lambda t: calendars.future(t, "1d", 30)),
     "calendar_step_minutes": _dates(lambda t: calendars.future(t, "15m", 30)),
+    "calendar_step_1m": _dates(lambda t: calendars.future(t, "1m", 30)),
+    "calendar_step_5m": _dates(lambda t: calendars.future(t, "5m", 30)),
+    "calendar_step_30m": _dates(lambda t: calendars.future(t, "30m", 30)),
     "calendar_step_hour": _dates(lambda t: calendars.future(t, "1h", 30)),
     "calendar_step_week": _dates(lambda t: calendars.future(t, "1wk", 30)),
     "calendar_step_month": _dates(lambda t: calendars.future(t, "1mo", 30)),
@@ -137,6 +178,10 @@ QUERIES = {
     "history_newest_first": lambda s, d: history.history_grid(_records(s, d)).select("id", "ticker", "interval", "context_length", "horizon_length", "model_repo", "period", "mae_score"),
     "backtest_mae": _backtest,
     "overlay_run": lambda s, d: _r(history.overlay(_records(s, d), [1, 3]), "value"),
+    "overlay_with_actuals": lambda s, d: _r(history.overlay(_records(s, d), [2], close(s, d)), "value"),
+    "run_last_ts": lambda s, d: _records(s, d).select("id", "ticker", "last_ts"),
+    "run_mae": lambda s, d: _r(history.scored_runs(*_past_records(s, d)).select("id", "ticker", "mae_score"), "mae_score"),
+    "history_stored": _stored_history,
     "delete_run": lambda s, d: history.without_runs(_records(s, d), s.createDataFrame([(2,)], "id bigint")).select("id", "ticker"),
     "model_plugin_forecast": _forecast(PLUGIN),
 }
@@ -154,6 +199,11 @@ _GAPPY = """gappy AS (SELECT o_orderpriority AS ticker, CAST(date_trunc('day', o
   FROM orders GROUP BY 1, 2)"""
 
 
+def _tick_bars(start: str) -> str:
+    return f"""SELECT event_type AS ticker, CAST({start} AS TIMESTAMP) AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, (events.ts, event_id)) AS close, count(*) AS volume FROM events WHERE event_type IS NOT NULL AND events.ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2"""
+
+
 def _ctx(n: int, source: str = "bars") -> str:
     """ctx: ticker, last_ts, c (the padded context as a list)."""
     return f"""lastn AS (SELECT ticker, ts, close AS value, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM {source}),
@@ -198,14 +248,22 @@ def _steps(expr: str) -> str:
 
 
 _RUNS = f"WITH {_BARS}, {_drift(7)}, ids AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS id FROM ctx)"
+_PAST = f"WITH {_BARS}, past AS (SELECT bars.* FROM bars JOIN (SELECT ticker, max(ts) AS m FROM bars GROUP BY 1) USING (ticker) WHERE ts < m - INTERVAL 30 DAY), {_drift(20, source='past')}"
+_SCORES = """scores AS (SELECT row_number() OVER (ORDER BY ticker) AS id, ticker, last_ts, mae_score FROM ctx LEFT JOIN
+  (SELECT fc.ticker, round(avg(abs(forecast_value - close)), 6) AS mae_score FROM fc JOIN bars ON fc.ticker = bars.ticker AND fc.forecast_ts = bars.ts GROUP BY 1) USING (ticker))"""
 _GRID = "id, ticker, '1d' AS interval, 60 AS context_length, 7 AS horizon_length, 'drift' AS model_repo, 'max' AS period"
 _U = "(last_ts + INTERVAL 1 HOUR)"
 
 ORACLE = {
     "bars_daily_ohlcv": f"WITH {_BARS} SELECT * FROM bars",
     "bars_hourly_ohlcv": f"WITH {_HOURS} SELECT * FROM bars",
+    **{f"bars_{n}m": _tick_bars(f"time_bucket(INTERVAL {n} MINUTE, events.ts)") for n in (1, 5, 15, 30)},
+    "bars_1wk": _tick_bars("date_trunc('week', events.ts)"),
+    "bars_1mo": _tick_bars("date_trunc('month', events.ts)"),
+    "bars_from_wide": f"WITH {_BARS} SELECT * FROM bars",
     "bars_daily_volume": "SELECT l_returnflag || '-' || l_linestatus AS ticker, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, round(sum(l_quantity), 6) AS volume FROM lineitem GROUP BY 1, 2",
     "select_date_range": f"WITH {_BARS} SELECT * FROM bars WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1996-07-01'",
+    "select_default_range": f"WITH {_BARS} SELECT * FROM bars WHERE ts >= TIMESTAMP '1996-07-01' - INTERVAL 365 DAY AND ts < TIMESTAMP '1996-07-01'",
     "select_period": f"WITH {_BARS}, last AS (SELECT ticker, max(ts) AS m FROM bars GROUP BY 1) SELECT bars.* FROM bars JOIN last USING (ticker) WHERE ts > m - INTERVAL 12 MONTH",
     "target_projection": f"WITH {_BARS} SELECT ticker, ts, CAST(volume AS DOUBLE) AS value FROM bars",
     "normalize_ticker": "SELECT c_custkey, upper(c_mktsegment) AS ticker FROM customer",
@@ -217,6 +275,9 @@ ORACLE = {
     "context_stats": f"WITH {_BARS}, {_ctx(64)} SELECT ticker, any_value(last_ts) AS last_ts, any_value(c[1]) AS first_value, any_value(c[64]) AS last_value, round(stddev_pop(x), 6) AS stddev FROM (SELECT *, unnest(c) AS x FROM ctx) GROUP BY 1",
     "calendar_business": f"WITH {_LAST}, {_business(30, 'last')} SELECT ticker, step, forecast_ts FROM cal",
     "calendar_step_minutes": _steps("last_ts + to_minutes(15 * i)"),
+    "calendar_step_1m": _steps("last_ts + to_minutes(i)"),
+    "calendar_step_5m": _steps("last_ts + to_minutes(5 * i)"),
+    "calendar_step_30m": _steps("last_ts + to_minutes(30 * i)"),
     "calendar_step_hour": _steps("last_ts + to_hours(i)"),
     "calendar_step_week": _steps("last_ts + to_days(CAST(7 * i AS INTEGER))"),
     "calendar_step_month": _steps("last_ts + to_months(CAST(i AS INTEGER))"),
@@ -230,8 +291,12 @@ ORACLE = {
     "export_rows": f"WITH {_BARS}, {_drift(7)} SELECT 'Forecast' AS Type, step AS Step, round(forecast_value, 6) AS Forecast_Value FROM fc WHERE ticker = '1-URGENT'",
     "run_record": f"{_RUNS} SELECT {_GRID}, round(forecast_value, 6) AS first_step, 7 AS n_steps FROM fc JOIN ids USING (ticker) WHERE step = 1",
     "history_newest_first": f"{_RUNS} SELECT {_GRID}, CAST(NULL AS DOUBLE) AS mae_score FROM ids ORDER BY id DESC",
-    "backtest_mae": f"WITH {_BARS}, past AS (SELECT bars.* FROM bars JOIN (SELECT ticker, max(ts) AS m FROM bars GROUP BY 1) USING (ticker) WHERE ts < m - INTERVAL 30 DAY), {_drift(20, source='past')} SELECT fc.ticker, round(avg(abs(forecast_value - close)), 6) AS mae_score, count(*) AS n_matched FROM fc JOIN bars ON fc.ticker = bars.ticker AND fc.forecast_ts = bars.ts GROUP BY 1",
-    "overlay_run": f"{_RUNS} SELECT id, ticker, step, round(forecast_value, 6) AS value FROM fc JOIN ids USING (ticker) WHERE id IN (1, 3)",
+    "backtest_mae": f"{_PAST} SELECT fc.ticker, round(avg(abs(forecast_value - close)), 6) AS mae_score, count(*) AS n_matched FROM fc JOIN bars ON fc.ticker = bars.ticker AND fc.forecast_ts = bars.ts GROUP BY 1",
+    "overlay_run": f"{_RUNS} SELECT id, ticker, step, forecast_ts AS ts, round(forecast_value, 6) AS value FROM fc JOIN ids USING (ticker) WHERE id IN (1, 3)",
+    "overlay_with_actuals": f"{_RUNS} SELECT id, ticker, step, forecast_ts AS ts, round(forecast_value, 6) AS value FROM fc JOIN ids USING (ticker) WHERE id = 2 UNION ALL SELECT NULL, ticker, NULL, ts, round(close, 6) FROM bars WHERE ticker = (SELECT ticker FROM ids WHERE id = 2)",
+    "run_last_ts": f"{_RUNS} SELECT id, ticker, last_ts FROM ids JOIN ctx USING (ticker)",
+    "run_mae": f"{_PAST}, {_SCORES} SELECT id, ticker, mae_score FROM scores",
+    "history_stored": f"{_PAST}, {_SCORES} SELECT id, ticker, last_ts, mae_score, 20 AS n_steps FROM scores WHERE id <> 5 UNION ALL SELECT 6, ticker, last_ts, mae_score, 20 FROM scores WHERE ticker = '2-HIGH'",
     "delete_run": f"{_RUNS} SELECT id, ticker FROM ids WHERE id <> 2",
     "model_plugin_forecast": f"WITH {_BARS}, {_ctx(64)}, {_business(7, 'ctx')} SELECT cal.ticker, step, forecast_ts, round(CAST(CAST(c[64] AS FLOAT) AS DOUBLE), 6) AS forecast_value FROM cal JOIN ctx ON cal.ticker = ctx.ticker",
 }

@@ -6,25 +6,33 @@ ticker with many ticks costs one row per bar and task.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.config import PERIODS, one_of
+from strandline.config import INTERVALS, PERIODS, one_of
 
 # Look-back periods as months.
 PERIOD_MONTHS = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "2y": 24, "5y": 60}
-BAR_UNIT = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "1d": "1 day", "1wk": "7 days"}
 
 
 def bar_start(ts: Column, interval: str) -> Column:
-    """Start of the bar that holds ts; weeks begin on Monday, months on the 1st."""
+    """Start of the bar that holds ts, as TIMESTAMP_NTZ; weeks begin on Monday, months on the 1st.
+
+    Only dates and clock times of ts itself are used, so the session's time zone changes nothing
+    (a TIMESTAMP column is read in it first).
+    """
+    local = ts.cast("timestamp_ntz")
+    day = F.to_date(local)
     if interval in ("1wk", "1mo"):
-        return F.date_trunc("week" if interval == "1wk" else "month", ts).cast("timestamp_ntz")
-    seconds = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "1d": 86400}[interval]
-    epoch = F.unix_timestamp(ts.cast("timestamp"))
-    return F.timestamp_seconds(epoch - epoch % seconds).cast("timestamp_ntz")
+        return F.trunc(day, "week" if interval == "1wk" else "month").cast("timestamp_ntz")
+    midnight = day.cast("timestamp_ntz")
+    if one_of("interval", interval, INTERVALS) == "1d":
+        return midnight
+    minutes = F.hour(local) * 60 + F.minute(local)
+    step = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60}[interval]
+    return midnight + F.make_dt_interval(mins=(minutes - minutes % step))
 
 
 def resample(ticks: DataFrame, ticker: str, ts: str, value: str, order: str, interval: str = "1d") -> DataFrame:
@@ -57,6 +65,19 @@ def select_range(bars: DataFrame, start: date | str | None = None, end: date | s
     return bars
 
 
+def default_range(today: date | None = None) -> tuple[date, date]:
+    """The last 365 days: from which day on, and before which, to select."""
+    today = today or date.today()
+    return today - timedelta(days=365), today
+
+
+def require_rows(bars: DataFrame, what: str = "bars in the selected range") -> DataFrame:
+    """The bars, if there are any. Runs a job that stops at the first row."""
+    if bars.isEmpty():
+        raise ValueError(f"there are no {what}")
+    return bars
+
+
 def select_period(bars: DataFrame, period: str) -> DataFrame:
     """Each ticker's bars later than its last bar less the period; `max` keeps all.
 
@@ -68,3 +89,16 @@ def select_period(bars: DataFrame, period: str) -> DataFrame:
     last = bars.groupBy("ticker").agg(F.max("ts").alias("_last"))
     since = F.expr(f"_last - make_ym_interval(0, {PERIOD_MONTHS[period]})")
     return bars.join(last, "ticker").where(F.col("ts") > since).select(*bars.columns)
+
+
+def from_wide(wide: DataFrame, ts: str, columns: dict[tuple[str, str], str]) -> DataFrame:
+    """Bars of a frame with a column for each field and ticker; columns names them by (field, ticker).
+
+    Fields a ticker lacks are null, and so are rows left out that have none of its fields.
+    """
+    tickers = sorted({t for _, t in columns})
+    fields = ("open", "high", "low", "close", "volume")
+    one = lambda t, f: F.col(f"`{columns[f, t]}`") if (f, t) in columns else F.lit(None)
+    each = [F.struct(F.lit(t).alias("ticker"), *[one(t, f).cast("bigint" if f == "volume" else "double").alias(f) for f in fields]) for t in tickers]
+    rows = wide.select(F.col(ts).alias("ts"), F.explode(F.array(*each)).alias("_bar"))
+    return rows.select("_bar.ticker", "ts", *[f"_bar.{f}" for f in fields]).dropna("all", subset=list(fields))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import ForecastConfig, forecast
 from strandline.config import round_context
-from strandline.forecasters.pretrained import device, flat
+from strandline.forecasters.pretrained import cached_model, called, clear_cache, device, flat
 from strandline.functions import calendars, series
 from strandline.operators import context, export, history
 from strandline.sources import bars
@@ -136,7 +136,7 @@ def test_history(spark, tmp_path):
 
 def test_adapter(spark):
     assert flat(np.ones((1, 3))).shape == (3,) and flat((np.ones((3, 1)), 0)).shape == (3,) and flat(np.float32(2)).shape == (1,)
-    assert device("gpu", "Darwin") == "mps" and device("gpu", "Linux") == "cuda" and device("tpu") == "cpu"
+    assert device("gpu", "Darwin") == "mps" and device("gpu", "Linux") == "cuda" and device("tpu") == "cpu" and device("mps", "Linux") == "cpu" and device("mps", "Darwin") == "mps"
     rows = frame(spark, [10.0, 15.0]).select("ticker", "ts", F.col("value").alias("close"))
     base = {"context_length": 4, "horizon": 2, "forecaster": "pretrained"}
     with pytest.raises(ModuleNotFoundError):
@@ -146,6 +146,96 @@ def test_adapter(spark):
     assert [r.forecast_value for r in got] == [15, 15]
 
 
+@pytest.fixture(params=["America/New_York", "Asia/Kolkata"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_bars_do_not_follow_the_session_zone(spark, zone, tmp_path):
+    times = [D(2024, 3, 10, 2, 31, 7), D(2024, 3, 10, 2, 59), D(2024, 3, 10, 23, 59), D(2024, 11, 3, 1, 44, 59), D(2024, 3, 11)]
+    ticks = spark.createDataFrame([("A", t, float(i), i) for i, t in enumerate(times)], "k string, ts timestamp_ntz, v double, o int")
+    starts = lambda i: sorted(r.ts for r in bars.resample(ticks, "k", "ts", "v", "o", i).collect())
+    assert starts("30m") == [D(2024, 3, 10, 2, 30), D(2024, 3, 10, 23, 30), D(2024, 3, 11), D(2024, 11, 3, 1, 30)]
+    assert starts("1h") == [D(2024, 3, 10, 2), D(2024, 3, 10, 23), D(2024, 3, 11), D(2024, 11, 3, 1)]
+    assert starts("1d") == [D(2024, 3, 10), D(2024, 3, 11), D(2024, 11, 3)]
+    assert starts("1wk") == [D(2024, 3, 4), D(2024, 3, 11), D(2024, 10, 28)] and starts("1mo") == [D(2024, 3, 1), D(2024, 11, 1)]
+    src = str(tmp_path / "ticks")
+    ticks.unionByName(spark.createDataFrame([("A", D(2025, 1, 1), 0.0, 9)], ticks.schema)).write.parquet(src)
+    for interval in ("1h", "1d", "1wk"):
+        stream = stream_bars(spark.readStream.schema(ticks.schema).parquet(src), "k", "ts", "v", interval, order="o")
+        name = f"bars_{interval}_{zone.replace('/', '_')}"
+        stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        same = lambda df: sorted(map(tuple, df.select("ticker", "ts", "open", "close", "volume").collect()))
+        assert same(spark.table(name)) == same(bars.resample(ticks, "k", "ts", "v", "o", interval))
+    with pytest.raises(ValueError):
+        stream_bars(ticks, "k", "ts", "v", "1mo")
+
+
+def test_select_reports_nothing(spark):
+    rows = frame(spark, [1.0])
+    assert bars.require_rows(rows).count() == 1
+    with pytest.raises(ValueError, match="no bars"):
+        bars.require_rows(bars.select_range(rows, "2030-01-01"))
+    assert bars.default_range(dt.date(2024, 12, 31)) == (dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+    with pytest.raises(ValueError, match="no column"):
+        context.target_of(rows, "close")
+
+
+def test_from_wide(spark):
+    wide = spark.createDataFrame([(T0, 1.0, 2.0, None, 7), (T0 + dt.timedelta(days=1), None, None, None, None)], "t timestamp_ntz, `Close.A` double, `Close.B` double, `Open.B` double, `Volume.A` long")
+    got = bars.from_wide(wide, "t", {("close", "A"): "Close.A", ("close", "B"): "Close.B", ("open", "B"): "Open.B", ("volume", "A"): "Volume.A"})
+    assert sorted((r.ticker, r.ts, r.open, r.close, r.volume) for r in got.collect()) == [("A", T0, None, 1.0, 7), ("B", T0, None, 2.0, None)]
+
+
+class Styles:
+    def forecast(self, arrays, freq=None):
+        points = np.stack([np.full(2, a[-1] + (0 if freq is None else freq[0])) for a in arrays])
+        return list(points) if freq is None else (points, np.zeros((len(arrays), 2, 9)))
+
+    def predict_batch(self, arrays, horizon, return_quantiles=True):
+        from types import SimpleNamespace
+
+        return (SimpleNamespace(forecast=np.full(horizon, a[-1] * (10 if return_quantiles else 100))) for a in arrays)
+
+
+def styles_loader(repo, backend, context_length, horizon, options):
+    return Styles()
+
+
+@pytest.mark.parametrize("options,want", [({"style": "forecast"}, 15), ({"style": "forecast_freq", "freq": 2}, 17), ({"style": "forecast_freq"}, 15), ({"style": "predict_batch"}, 150), ({"style": "predict_batch", "kwargs": {"return_quantiles": False}}, 1500)])
+def test_call_styles(spark, options, want):
+    rows = frame(spark, [10.0, 15.0]).unionByName(frame(spark, [10.0, 15.0], "B")).select("ticker", "ts", F.col("value").alias("close"))
+    cfg = ForecastConfig(context_length=4, horizon=2, forecaster="pretrained", options={"loader": "tests.test_series:styles_loader"} | options)
+    assert [r.forecast_value for r in forecast(rows, cfg).collect()] == [want] * 4
+
+
+def test_model_cache_reloads_on_another_key():
+    clear_cache()
+    one = cached_model("tests.test_series:styles_loader", "r", "cpu", 32, 2, {})
+    assert one is cached_model("tests.test_series:styles_loader", "r", "cpu", 32, 2, {})
+    assert one is not cached_model("tests.test_series:styles_loader", "other", "cpu", 32, 2, {})
+    with pytest.raises(ValueError):
+        called(one, [], 2, {"style": "sing"})
+
+
+def test_ids_are_never_given_twice(spark, tmp_path):
+    rows = frame(spark, [10.0, 12.0]).select("ticker", "ts", F.col("value").alias("close"))
+    made = forecast(rows, ForecastConfig(context_length=4, horizon=3))
+    records = history.run_records(made, {"interval": "1d", "context_length": 4, "horizon_length": 3, "model_repo": "m", "period": "max"}, rows)
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    history.save_runs(spark, a, records)
+    history.save_runs(spark, a, records)
+    history.delete_runs(spark, a, b, history.read_runs(spark, a).where("id = 2"))
+    history.delete_runs(spark, b, c, history.read_runs(spark, b))
+    assert history.read_runs(spark, c).count() == 0
+    history.save_runs(spark, c, records)
+    got = history.read_runs(spark, c).collect()
+    assert [(r.id, r.last_ts) for r in got] == [(3, T0 + dt.timedelta(days=1))] and got[0].forecast_ts[0] > got[0].last_ts
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "ticks")
     spark.createDataFrame([("A", D(2024, 1, 1, 0, i), float(i)) for i in range(60)] + [("A", D(2024, 1, 2), 1.0)], "k string, ts timestamp_ntz, v double").write.parquet(src)
