@@ -12,8 +12,9 @@ Only DataFrame functions are used. Every rule sees the whole text of one row, so
 no shuffle at all, and neither hot sources nor copies meet anywhere.
 
 Null and empty texts have no words, all counts are 0 and they are not kept. Rows are
-judged one by one: repeated rows get equal results. Other columns stay as they are; those
-named like a column of the result are replaced.
+judged one by one: repeated rows get equal results, and a very long text is judged whole.
+Other columns stay as they are; those named like a column of the result are replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,15 @@ SYMBOLS = "[#*$%&|<>]"
 NOISE = r"[#*$%&|<>!~^=+_{}\[\]@\\]"
 SEPARATORS = "[|»›•·]"
 ENDS = r"[.!?…:;。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|copyright|\(c\) \d{4}|©|terms of (use|service)|privacy policy|cookie|javascript|"
-    r"lorem ipsum|click here|sign (in|up)|log ?in|subscribe|newsletter|read more|share (this|on)|licensed under|permission is hereby granted)"
-)
+#: Phrases of notices, menus and forms in the languages of the corpus; ' stands for any apostrophe, accents may be of either case.
+PHRASES = {
+    "en": r"all rights reserved|copyright|\(c\) \d{4}|©|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign (in|up)|log ?in|subscribe|newsletter|read more|share (this|on)|licensed under|permission is hereby granted",
+    "de": r"alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|hier klicken|anmelden|registrieren|abonnieren|weiterlesen|mehr erfahren",
+    "fr": r"tous droits réservés|politique de confidentialité|conditions d'utilisation|mentions légales|cliquez ici|se connecter|s'inscrire|s'abonner|lire la suite|en savoir plus",
+    "es": r"todos los derechos reservados|política de privacidad|condiciones de uso|aviso legal|haga clic aquí|iniciar sesión|registrarse|suscribirse|leer más|boletín",
+}
+_EITHER = {"'": "['’]", **{c: f"[{c}{c.upper()}]" for c in "éíóá"}}
+BOILERPLATE = "(?i)(" + "".join(_EITHER.get(c, c) for c in "|".join(PHRASES.values())) + ")"
 
 
 def repeated_window_words(text_words: Column, width: int = 8) -> Column:
@@ -113,7 +119,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*restored(docs, text=F.col("_clean"), n_chars=F.length("_clean").cast("bigint")))
 
 
-_DUCK_ENDS = ENDS.replace("'", "''")
+_DUCK_ENDS, _DUCK_BOILERPLATE = ENDS.replace("'", "''"), BOILERPLATE.replace("'", "''")
 #: Rows are numbered, as ids may repeat.
 BASE_SQL = f"""d AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS t FROM @docs),
   w AS (SELECT rid, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') AS w FROM d),
@@ -123,7 +129,7 @@ BASE_SQL = f"""d AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') A
   ln AS (SELECT rid, p, s, regexp_matches(s, '{WORD}') AS has FROM (SELECT rid, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d)),
   dup AS (SELECT rid, count(*) - count(DISTINCT s) AS n FROM ln WHERE has GROUP BY 1),
   fate AS (SELECT rid, p, s, NOT has OR (regexp_matches(s, '{_DUCK_ENDS}') AND len(regexp_replace(s, '{NOISE.replace("[", "[^", 1)}', '', 'g')) <= 0.1::DOUBLE * len(s)
-    AND len(regexp_replace(s, '{SEPARATORS.replace("[", "[^")}', '', 'g')) < 3 AND NOT (len(s) <= 200 AND regexp_matches(s, '{BOILERPLATE}'))) AS pass FROM ln),
+    AND len(regexp_replace(s, '{SEPARATORS.replace("[", "[^")}', '', 'g')) < 3 AND NOT (len(s) <= 200 AND regexp_matches(s, '{_DUCK_BOILERPLATE}'))) AS pass FROM ln),
   clean AS (SELECT rid, coalesce(string_agg(s, chr(10) ORDER BY p) FILTER (pass), '') AS clean_text, count(*) FILTER (NOT pass) AS n_lines_removed FROM fate GROUP BY 1),
   q AS (SELECT d.*, len(w.w) AS n_words, len(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_lines_removed, clean_text,

@@ -214,6 +214,20 @@ def test_quality_verdicts(messy):
     assert got[(31, "x | y | z | w")].clean_text == ""
 
 
+def test_quality_lines_by_hand(spark):
+    """Verdicts written down by hand, not taken from the patterns."""
+    stays = ["The tide came in and left stones.", "Is that so?", '"It is," she said.', "", "La mer monte.", "A | B in a sentence."]
+    goes = ["a heading", "Home | News | About | Help.", "Alle Rechte vorbehalten.", "CONDITIONS D’UTILISATION.", "Haga clic AQUÍ.", "Subscribe now!", "!!! *** !!! ***.", "Mentions légales."]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*stays, *goes])], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_lines_removed for r in quality.clean_lines(docs).collect()}
+    assert [got[i] for i in range(len(got))] == [0] * len(stays) + [1] * len(goes)
+    sql = f"WITH {quality.BASE_SQL.replace('@docs', 'lines')} SELECT doc_id, n_lines_removed FROM judged ORDER BY 1"
+    con = connect(SF)
+    con.execute("CREATE TABLE lines (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO lines VALUES (?, ?)", list(enumerate([*stays, *goes])))
+    assert con.execute(sql).fetchall() == sorted(got.items())
+
+
 def test_mixing_keeps_other_columns(messy):
     clash = messy.withColumns({c: F.lit(c) for c in ("copies", "cut", "_h", "_s", "_salt", "_source", "size", "target")})
     out = mixing.mixed(clash)
@@ -571,6 +585,42 @@ def test_pipeline(spark, real):
     check_packing(pairs_of(docs4), rows, packing.tokenizer_path())
 
 
+def test_pipeline_runs_whole(spark, messy, empty, tmp_path):
+    """run() gives the pieces that its stages give one by one, with their ids, on messy rows with clashing columns; and none of none."""
+    docs = messy.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(messy.columns)).withColumns({"size": F.lit(1), "kept": F.lit("k"), "ids": F.lit(2), "_h": F.lit(3)})
+    docs.write.parquet(f"{tmp_path}/messy/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/messy").collect()
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = common.stored(stage(spark, step, ""), "step")
+    check_packing(pairs_of(step), rows, packing.tokenizer_path())
+    assert len(rows) > 0 and corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_very_long_texts_go_through_whole(spark):
+    """One text of half a megabyte beside short ones, through the operators that read texts row by row."""
+    sentence = "The tide {0} came in and left stones {0} on shore."
+    long = "\n".join(sentence.format(i) for i in range(9000))
+    rows = [(1, long), (2, "short one."), (9, long + " end."), (14, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    words = len(long.split())
+    assert (got[1].n_words, got[1].word_chars, got[1].n_dup_lines, got[1].n_repeat_words, got[1].kept) == (words, len("".join(long.split())), 0, 0, True)
+    mixed = {r.doc_id: r["size"] for r in mixing.mixed(docs).collect()}
+    assert mixed == {1: words, 2: 2, 9: words + 1, 14: 0}
+    scores = {r.doc_id: r for r in ppm.ppm_scores(docs.select("doc_id", "text"), 1 << 18).collect()}
+    for (d, _), base, score in zip(rows, brute.base_scores(rows), brute.ppm_scores(rows, ppm.ORDER), strict=True):
+        assert (scores[d].held_out, scores[d].n_tokens, scores[d].n_known, scores[d].train_tokens) == base[:4]
+        assert scores[d].base_score == pytest.approx(base[4]) and scores[d].score == pytest.approx(score, rel=1e-4)
+    assert cotraining.cotrain(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")).count() == 4
+    cut = {bytes(r.text_id): r for r in repeats.removals(docs.select("doc_id", "text")).collect()}
+    assert cut[hashlib.md5(long.encode()).digest()].n_removed == len(long)
+    pages = spark.createDataFrame([(d, "u", t) for d, t in rows], "page_id bigint, url string, html string")
+    back = {r.page_id: r.payload_bytes for r in warc.read_bundles(warc.write_bundles(pages, f"{warc.shared_dir(spark)}/long-warc")).collect()}
+    assert back == {d: len((t or "").encode()) for d, t in rows}
+
+
 def test_pipeline_keeps_one_row_of_repeated_rows_and_copies_without_id(spark):
     prose = lambda kind, end="end": " ".join([*(f"{kind}{i:04d}" for i in range(60)), end])
     rows = [(1, prose("a"), "s"), (1, prose("a"), "s"), (2, prose("b"), "s"), (2, prose("b"), "r"), (5, prose("e"), "s"), (5, prose("e", "other"), "s"), (6, prose("f"), "s"), (None, prose("f"), "s")]
