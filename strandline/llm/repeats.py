@@ -17,8 +17,8 @@ and only that goes on:
    whose digit is unique end. Of the others, those whose suffixes' bytes are all equal form
    classes as before. With one distance a part is a suffix, and its class all equal ones.
 
-Every pass is sums by digit and by class with map-side combining, joined back with one row for
-each: no group meets in a task, so a passage that a third of all texts have is one class, and
+Every pass is sums by digit and by class with map-side combining, stored and joined back with one
+row for each (AQE splits joins of stored tables, not those of sums): no group meets in a task, so a passage that a third of all texts have is one class, and
 what stands around it is told apart in parallel. Digits and classes are BLAKE2b digests
 of 128 bits; anchors are only hashes, as what they bring together is told apart later.
 
@@ -210,7 +210,7 @@ def told_apart(rows: DataFrame, width: int, last: bool) -> tuple[DataFrame, Data
     spans = rows.where("not several").join(repeated, "class", "left_semi").select("text_id", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + width).alias("end"))
     if last:
         return spans, None
-    open_ = counts.groupBy("digit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digit")
+    open_ = stored(counts.groupBy("digit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digit"), "digits")
     one = F.min(F.struct("anchor", "text_id", "place", "near", "far")).alias("_one")
     several = (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several")
     return spans, rows.join(open_, "digit", "left_semi").groupBy("class").agg(one, several, F.max("bytes").alias("bytes")).select("_one.*", "several", "bytes")
@@ -220,7 +220,7 @@ def repeated_spans(keyed: DataFrame, width: int, digit: int) -> tuple[DataFrame,
     """The spans (text_id, start, end) covered by repeated suffixes of texts (text_id, text), and the packed texts."""
     rows = stored(anchor_rows(keyed, width, digit), "anchors")
     place = F.xxhash64("text_id", "place")  # copies of a text in several tasks are one place
-    shared = rows.groupBy("anchor").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("anchor")
+    shared = stored(rows.groupBy("anchor").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("anchor"), "shared")
     places = rows.join(shared, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "near", "far")).alias("places"))
     texts = packed_texts(keyed)
     met = texts.join(places, "text_id").select("text_id", "packed", "places")
