@@ -152,6 +152,7 @@ def typed(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
     large = rows.where(F.col("size") >= least)
     winners = large.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_win"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _win is not null").drop("_n")
+    winners = stored(winners, "winners")  # AQE splits hot digests in a join with a stored table only
     joined = large.join(winners, F.col("digest") == F.col("_digest"), "left")
     refers = F.when(~F.col("_win").eqNullSafe(F.col("page_id")), F.col("_win"))
     found = joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", "size", refers.alias("refers_to"))
