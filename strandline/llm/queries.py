@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import cotraining, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
+from strandline.llm import cotraining, divergence, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
 
 QUERIES = {
     "op1_differencing": packing.op1_differencing,
@@ -15,6 +15,12 @@ QUERIES = {
     "op8_cotraining": cotraining.op8_cotraining,
     "op9_seekable_warc": warc.op9_seekable_warc,
     "op10_hash_mix": mixing.op10_hash_mix,
+    "op11_systolic_audit": divergence.op11_systolic_audit,
 }
 
-ORACLE = {"op4_line_quality": quality.SQL, "op6_quote_links": quotes.SQL.replace("@rows", "conversations"), "op10_hash_mix": mixing.SQL}
+ORACLE = {
+    "op4_line_quality": quality.SQL,
+    "op6_quote_links": quotes.SQL.replace("@rows", "conversations"),
+    "op10_hash_mix": mixing.SQL,
+    "op11_systolic_audit": divergence.SQL,
+}
