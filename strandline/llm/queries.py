@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import cotraining, divergence, licenses, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
+from strandline.llm import alignment, cotraining, divergence, licenses, mixing, mpeg, ngram_join, packing, ppm, quality, quotes, repeats, warc
 
 QUERIES = {
     "op1_differencing": packing.op1_differencing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_seekable_warc": warc.op9_seekable_warc,
     "op10_hash_mix": mixing.op10_hash_mix,
     "op11_systolic_audit": divergence.op11_systolic_audit,
+    "op12_relational_alignment": alignment.op12_relational_alignment,
     "op13_license_join": licenses.op13_license_join,
 }
 
