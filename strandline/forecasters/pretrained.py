@@ -9,8 +9,9 @@ forecast       model.forecast(arrays)
 forecast_freq  model.forecast(arrays, freq=[options["freq"] or 0, one for each array])
 predict_batch  model.predict_batch(arrays, horizon=horizon, **options["kwargs"])
 
-It returns one forecast per array, or a pair of these and of quantiles, which are discarded.
-A forecast is an array, a (1, h) or (h, 1) array, a (points, quantiles) pair, or an object
+It returns one forecast per array, or a pair of these and of quantiles: for each array those of
+options["levels"] at each step, (h, levels), or with the mean before them, (h, 1 + levels). `pretrained` gives the
+forecasts only, `pretrained_quantiles` the quantiles too. A forecast is an array, a (1, h) or (h, 1) array, a (points, quantiles) pair, or an object
 with the attribute `forecast`.
 """
 
@@ -62,36 +63,61 @@ def cached_model(loader: str, repo: str, backend: str, context: int, horizon: in
     return _models[key]
 
 
-def called(model, arrays: list[np.ndarray], horizon: int, options: dict) -> list[np.ndarray]:
-    """One flat forecast per array, by the style of options."""
+def answered(model, arrays: list[np.ndarray], horizon: int, options: dict):
+    """What the model returns for the arrays, by the style of options."""
     style = one_of("style", options.get("style", "call"), STYLES)
     if style == "call":
-        out = model(arrays)
-    elif style == "forecast":
-        out = model.forecast(arrays)
-    elif style == "forecast_freq":
-        out = model.forecast(arrays, freq=[options.get("freq") or 0] * len(arrays))
-    else:
-        out = model.predict_batch(arrays, horizon=horizon, **options.get("kwargs", {}))
+        return model(arrays)
+    if style == "forecast":
+        return model.forecast(arrays)
+    if style == "forecast_freq":
+        return model.forecast(arrays, freq=[options.get("freq") or 0] * len(arrays))
+    return model.predict_batch(arrays, horizon=horizon, **options.get("kwargs", {}))
+
+
+def points(out, n: int) -> list[np.ndarray]:
     found = [flat(x) for x in (out[0] if isinstance(out, tuple) else out)]
-    if len(found) != len(arrays):
-        raise ValueError(f"the model gave {len(found)} forecasts for {len(arrays)} series")
+    if len(found) != n:
+        raise ValueError(f"the model gave {len(found)} forecasts for {n} series")
     return found
 
 
+def called(model, arrays: list[np.ndarray], horizon: int, options: dict) -> list[np.ndarray]:
+    """One flat forecast per array."""
+    return points(answered(model, arrays, horizon, options), len(arrays))
+
+
+def quantiles(out, n: int, levels: int) -> list[np.ndarray]:
+    """(steps, levels) for each of n arrays: the second of a pair, or the second of each forecast's pair, or its attribute `quantiles`."""
+    pair = isinstance(out, tuple)
+    made = list(out[1]) if pair and out[1] is not None else [x[1] if isinstance(x, tuple) else getattr(x, "quantiles", None) for x in (out[0] if pair else out)]
+    if len(made) != n or any(x is None for x in made):
+        raise ValueError("the model gave no quantiles")
+    found = [np.asarray(x, "float64") for x in made]
+    if any(x.ndim != 2 or x.shape[1] not in (levels, levels + 1) for x in found):
+        raise ValueError(f"quantiles must be {levels} a step, not of shape {found[0].shape}")
+    return [x[:, -levels:] for x in found]
+
+
 def clear_cache() -> None:
     """Drops this process's model. Workers drop theirs when they are given another key: options["token"] is part of it."""
     _models.clear()
 
 
-def pretrained(contexts: DataFrame, cfg) -> DataFrame:
+def loader_of(cfg) -> tuple:
+    """The arguments of `cached_model`; fails where the model's package isn't installed."""
     loader = cfg.options.get("loader", "")
     module = loader.partition(":")[0]
     if not module or importlib.util.find_spec(module) is None:
         raise ModuleNotFoundError(f"no forecasting model: options['loader'] is {loader!r}")
-    options, cfg_horizon = dict(cfg.options), cfg.horizon
+    options = dict(cfg.options)
     one_of("style", options.get("style", "call"), STYLES)
-    args = (loader, cfg.repo, cfg.backend, cfg.effective_context_length, cfg.horizon, options)
+    return loader, cfg.repo, cfg.backend, cfg.effective_context_length, cfg.horizon, options
+
+
+def pretrained(contexts: DataFrame, cfg) -> DataFrame:
+    args, cfg_horizon = loader_of(cfg), cfg.horizon
+    options = args[-1]
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -100,3 +126,19 @@ def pretrained(contexts: DataFrame, cfg) -> DataFrame:
             yield pd.Series(called(model, [np.asarray(c, "float32") for c in batch], cfg_horizon, options))
 
     return contexts.withColumn("forecast", run(F.col("context").cast("array<float>")))
+
+
+def pretrained_quantiles(contexts: DataFrame, cfg, levels: list[float]) -> DataFrame:
+    """contexts with forecast and quantiles array<array<double>>: for each step those of levels, from one call of the model."""
+    args, cfg_horizon = loader_of(cfg), cfg.horizon
+    options = args[-1] | {"levels": list(levels)}
+    args = (*args[:-1], options)
+
+    @F.pandas_udf("struct<forecast: array<double>, quantiles: array<array<double>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            model, n = cached_model(*args), len(batch)
+            out = answered(model, [np.asarray(c, "float32") for c in batch], cfg_horizon, options)
+            yield pd.DataFrame({"forecast": points(out, n), "quantiles": [[row.tolist() for row in x] for x in quantiles(out, n, len(levels))]})
+
+    return contexts.withColumn("_made", run(F.col("context").cast("array<float>"))).select(*contexts.columns, "_made.*")

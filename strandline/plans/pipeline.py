@@ -17,9 +17,13 @@ def prepared(bars: DataFrame, cfg: ForecastConfig) -> DataFrame:
     return contexts(target_of(rows, cfg.target), cfg.context_length, cfg.impute, cfg.strict)
 
 
+def stepped(made: DataFrame, cfg: ForecastConfig, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """(keys, step, forecast_ts, forecast_value) of contexts with a forecast; steps count from 1."""
+    stamped = made.withColumn("_at", future("last_ts", cfg.interval, cfg.horizon, cfg.calendar))
+    rows = stamped.select(*keys, F.posexplode(F.arrays_zip(F.col("forecast").alias("v"), F.col("_at").alias("t"))))
+    return rows.where(F.col("col.v").isNotNull()).select(*keys, (F.col("pos") + 1).alias("step"), F.col("col.t").alias("forecast_ts"), F.col("col.v").alias("forecast_value"))
+
+
 def forecast(bars: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """(ticker, step, forecast_ts, forecast_value), lazily; steps count from 1."""
-    made = forecasters.apply(prepared(bars, cfg), cfg)
-    stamped = made.withColumn("_at", future("last_ts", cfg.interval, cfg.horizon, cfg.calendar))
-    rows = stamped.select("ticker", F.posexplode(F.arrays_zip(F.col("forecast").alias("v"), F.col("_at").alias("t"))))
-    return rows.where(F.col("col.v").isNotNull()).select("ticker", (F.col("pos") + 1).alias("step"), F.col("col.t").alias("forecast_ts"), F.col("col.v").alias("forecast_value"))
+    return stepped(forecasters.apply(prepared(bars, cfg), cfg), cfg)

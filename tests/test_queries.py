@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandline.plans.queries import ORACLE, QUERIES
+from strandline.plans.registry import ORACLE, QUERIES
 from tests.compare import connect, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
