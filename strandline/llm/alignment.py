@@ -7,17 +7,16 @@ and a text's groups are those of its segments one after the other. Only distinct
 
 1. Texts are cut, and tasks gather about BLOCK bytes of them as a block: its distinct segments and, for each
    text, their numbers in order.
-2. The distinct segments of all blocks are tokenized once.
-3. Relational alignment of each segment: its tokens are exploded with their positions, a running sum of
-   their lengths is where they end, an equi-join on (segment, end) finds the common ends, and the
-   number of common ends before a token is its group. A join on (segment, group) brings the tokens of
-   both sides together; a group is written a1,a2|b1.
+2. The distinct segments of all blocks are dealt once and tokenized by both.
+3. Relational alignment of each segment, where it is: its tokens are exploded with their positions, a running
+   sum of their lengths is where they end, a full equi-join on (segment, end) brings both sides' ends
+   together, and the number of common ends before an end is its tokens' group, written a1,a2|b1.
 4. Segments' groups go back to the blocks that asked for them (a join on the segment, each at most once a block). A
    block's texts are then put together from them.
 5. Links of an id pair are counted by documents in each block, summed over blocks, and come
    back to the blocks that hold the pair, with whether it is its first id's most frequent one.
 
-All of step 3 runs on segments dealt once by their number. No key is hot: a block asks for a segment or a pair once.
+No key is hot: a block asks for a segment or a pair once.
 A task holds one block, with its segments, or one segment's tokens. A text that has no such space is one
 segment, so its own tokens meet in one task.
 
@@ -113,26 +112,32 @@ def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, BLOCKS.format(kind=kind))
 
 
-TOKENS = "segment string, fits boolean, a array<struct<id: int, n: int>>, b array<struct<id: int, n: int>>"
+TOKENS = "array<struct<id: int, n: int>>"
 
 
-def tokenized(parts: DataFrame, first: str, second: str) -> DataFrame:
-    """TOKENS of segments: both sides' ids and lengths in bytes; fits says whether both spell the segment."""
-    def listed(ids: list[list[int]], spelt) -> pa.Array:
-        flat = [i for row in ids for i in row]
-        token = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(spelt(i)) for i in flat], pa.int32())], names=["id", "n"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), token)
+def tokens_of(encode, spell, parts: list[str]) -> pa.Array:
+    """TOKENS of each segment: ids and lengths in bytes; null where the tokens don't spell it."""
+    ids = encode(parts)
+    good = [b"".join(map(spell, row)) == b" " + p.encode() for row, p in zip(ids, parts, strict=True)]
+    flat = [i for row, ok in zip(ids, good, strict=True) if ok for i in row]
+    token = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(spell(i)) for i in flat], pa.int32())], names=["id", "n"])
+    stops = np.cumsum([0, *(len(row) * ok for row, ok in zip(ids, good, strict=True))])
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), token, mask=pa.array([not ok for ok in good]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ids_of(first).fast, pieces_of(second)
-        spell_one, spell_two = functools.cache(one.decode_single_token_bytes), two.bytes.__getitem__
-        for batch in batches:
-            parts = batch.column(0).to_pylist()
-            a, b = [one.encode_ordinary(f" {p}") for p in parts], two(parts)
-            fits = [b"".join(map(spell_one, x)) == b"".join(map(spell_two, y)) == b" " + p.encode() for x, y, p in zip(a, b, parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fits, pa.bool_()), listed(a, spell_one), listed(b, spell_two)], names=["segment", "fits", "a", "b"])
 
-    return parts.mapInArrow(run, TOKENS)
+def tokenizers(first: str, second: str) -> dict:
+    """The two tokenizers, each as a function of the column of segments."""
+    @F.arrow_udf(TOKENS)
+    def a(parts: pa.Array) -> pa.Array:
+        model = ids_of(first).fast
+        return tokens_of(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts.to_pylist())
+
+    @F.arrow_udf(TOKENS)
+    def b(parts: pa.Array) -> pa.Array:
+        model = pieces_of(second)
+        return tokens_of(model, model.bytes.__getitem__, parts.to_pylist())
+
+    return {"a": a, "b": b}
 
 
 @contextmanager
@@ -147,24 +152,19 @@ def dealt_by_part_of_keys(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(key, groups) of tokens (key, a, b): the groups a1,a2|b1 in order, joined by semicolons."""
-    dealt = tokens.repartition("key")
-    in_order = Window.partitionBy("key").orderBy("at")
-
+def aligned(distinct: DataFrame, sides: dict) -> DataFrame:
+    """(segment, groups) of distinct segments: the groups a1,a2|b1 in order, joined by semicolons; null where a side doesn't spell the segment."""
     def ends(side: str) -> DataFrame:
-        rows = dealt.select("key", F.posexplode(side).alias("at", "token"))
-        return rows.select("key", "at", F.col("token.id").alias("id"), F.sum("token.n").over(in_order).alias("end"))
-
-    def grouped(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        common = mine.join(other.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
-        before = F.coalesce(F.sum("cut").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = common.select("key", "at", "id", before.alias("group"))
-        return rows.groupBy("key", "group").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("_all")).select("key", "group", ids_text(F.col("_all.id")).alias(name))
+        rows = distinct.select("segment", F.posexplode(sides[side]("segment")).alias("at", "token"))
+        return rows.select("segment", F.sum("token.n").over(Window.partitionBy("segment").orderBy("at")).alias("end"), F.col("token.id").alias(side))
 
-    a, b = ends("a"), ends("b")
-    met = grouped(a, b, "a").join(grouped(b, a, "b"), ["key", "group"]).select("key", F.struct("group", F.concat_ws("|", "a", "b").alias("text")).alias("_group"))
-    return met.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("_group"))["text"], ";").alias("groups"))
+    common = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
+    before = Window.partitionBy("segment").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ends("a").join(ends("b"), ["segment", "end"], "full").select("segment", "end", "a", "b", F.coalesce(F.sum(common).over(before), F.lit(0)).alias("group"))
+    both = rows.groupBy("segment", "group").agg(*[F.sort_array(F.collect_list(F.when(F.col(s).isNotNull(), F.struct("end", s))))[s].alias(s) for s in "ab"])
+    whole = F.when((F.size("a") > 0) & (F.size("b") > 0), F.concat_ws("|", ids_text(F.col("a")), ids_text(F.col("b"))))
+    texts = both.select("segment", F.struct("group", whole.alias("text")).alias("_group")).groupBy("segment").agg(F.sort_array(F.collect_list("_group"))["text"].alias("_texts"))
+    return texts.where(~F.exists("_texts", lambda t: t.isNull())).select("segment", F.array_join("_texts", ";").alias("groups"))
 
 
 def ids_text(ids: Column) -> Column:
@@ -276,15 +276,12 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     with_groups adds the groups themselves, a1,a2|b1;a3|b2,b3.
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
-    cut = stored(blocks(docs, size, doc_id, text), "blocks")
-    tokens = tokenized(cut.select(F.explode("segments").alias("segment")).distinct(), first, second)
-    tokens = stored(tokens.withColumn("key", F.monotonically_increasing_id()), "tokens")
-    with dealt_by_part_of_keys(spark):
-        groups = stored(aligned(tokens.where("fits").select("key", "a", "b")), "groups")
-    known = tokens.where("fits").select("key", "segment").join(groups, "key").select("segment", "groups")
+    cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
     wanted = cut.select("block", F.posexplode("segments").alias("at", "segment"))
-    texts = wanted.join(known, "segment", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"].alias("texts"))
-    bound = stored(cut.drop("segments").join(texts, "block", "left"), "bound")
+    with dealt_by_part_of_keys(spark):
+        known = aligned(cut.select(F.explode("segments").alias("segment")).distinct(), tokenizers(first, second))
+        texts = wanted.join(known, "segment", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"].alias("texts"))
+        bound = stored(cut.drop("segments").join(texts, "block", "left"), "bound", "zstd")
     held = stored(pair_counts(bound), "pairs")
     counts = held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
     counts = stored(counts, "counts")

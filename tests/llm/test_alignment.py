@@ -85,8 +85,11 @@ def test_empty(spark):
     assert alignment.aligned_documents(spark.createDataFrame([], "doc_id bigint, text string"), A, B).collect() == []
 
 
-def test_alignment_is_local_once_dealt(spark):
-    rows = spark.createDataFrame([(1, [(1, 2), (2, 1)], [(3, 3)]), (2, [(1, 1), (5, 2)], [(7, 1), (8, 1), (9, 1)])], "key bigint, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>")
+def test_alignment_deals_segments_once(spark):
+    rows = spark.createDataFrame([("one",), ("two three",), ("▁",), ("",)], "segment string").distinct()
     with alignment.dealt_by_part_of_keys(spark):
-        made = alignment.aligned(rows)
-        assert sorted(map(tuple, made.collect())) == [(1, "1,2|3"), (2, "1|7;5|8,9")]
+        made = alignment.aligned(rows, alignment.tokenizers(A, B))
+        assert {r.segment for r in made.collect()} == {"one", "two three", ""}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial")[0]
+    assert "Exchange hashpartitioning(segment" in final and "hashpartitioning(segment#" in final and ", end#" not in "".join(x for x in final.splitlines() if "Exchange hash" in x)
