@@ -7,10 +7,11 @@ and a text's groups are those of its segments one after the other. Only distinct
 
 1. Texts are cut, and tasks gather about BLOCK bytes of them as a block: its distinct segments and, for each
    text, their numbers in order.
-2. The distinct segments of all blocks are dealt once and tokenized by both.
-3. Relational alignment of each segment, where it is: its tokens are exploded with their positions, a running
-   sum of their lengths is where they end, a full equi-join on (segment, end) brings both sides' ends
-   together, and the number of common ends before an end is its tokens' group, written a1,a2|b1.
+2. The distinct segments of all blocks are tokenized by both.
+3. Relational alignment of each segment, where it is dealt to: its tokens are exploded with their positions, a
+   running sum of their lengths is where they end, an equi-join on (segment, end) finds the common
+   ends, and the number of common ends before a token is its group. A join on (segment, group) brings the
+   tokens of both sides together; a group is written a1,a2|b1.
 4. Segments' groups go back to the blocks that asked for them (a join on the segment, each at most once a block). A
    block's texts are then put together from them.
 5. Links of an id pair are counted by documents in each block, summed over blocks, and come
@@ -112,32 +113,33 @@ def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, BLOCKS.format(kind=kind))
 
 
-TOKENS = "array<struct<id: int, n: int>>"
+def ids_where_spelt(encode, spell, parts: list[str]) -> pa.Array:
+    """The ids of each segment; null where they don't spell it."""
+    rows = encode(parts)
+    return pa.array([row if b"".join(map(spell, row)) == b" " + p.encode() else None for row, p in zip(rows, parts, strict=True)], pa.list_(pa.int32()))
 
 
-def tokens_of(encode, spell, parts: list[str]) -> pa.Array:
-    """TOKENS of each segment: ids and lengths in bytes; null where the tokens don't spell it."""
-    ids = encode(parts)
-    good = [b"".join(map(spell, row)) == b" " + p.encode() for row, p in zip(ids, parts, strict=True)]
-    flat = [i for row, ok in zip(ids, good, strict=True) if ok for i in row]
-    token = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(spell(i)) for i in flat], pa.int32())], names=["id", "n"])
-    stops = np.cumsum([0, *(len(row) * ok for row, ok in zip(ids, good, strict=True))])
-    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), token, mask=pa.array([not ok for ok in good]))
+class Side:
+    """A tokenizer as a function of the column of segments, and the lengths of its vocabulary in bytes."""
 
+    def __init__(self, spark: SparkSession, ids, lengths: list[int]):
+        self.ids = ids
+        self.lengths = spark.createDataFrame(pa.table({"id": pa.array(range(len(lengths)), pa.int32()), "n": pa.array(lengths, pa.int32())}))
 
-def tokenizers(first: str, second: str) -> dict:
-    """The two tokenizers, each as a function of the column of segments."""
-    @F.arrow_udf(TOKENS)
+
+def sides_of(spark: SparkSession, first: str, second: str) -> dict[str, Side]:
+    @F.arrow_udf("array<int>")
     def a(parts: pa.Array) -> pa.Array:
         model = ids_of(first).fast
-        return tokens_of(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts.to_pylist())
+        return ids_where_spelt(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts.to_pylist())
 
-    @F.arrow_udf(TOKENS)
+    @F.arrow_udf("array<int>")
     def b(parts: pa.Array) -> pa.Array:
         model = pieces_of(second)
-        return tokens_of(model, model.bytes.__getitem__, parts.to_pylist())
+        return ids_where_spelt(model, model.bytes.__getitem__, parts.to_pylist())
 
-    return {"a": a, "b": b}
+    known = {i: len(t) for t, i in ids_of(first).fast._mergeable_ranks.items()}
+    return {"a": Side(spark, a, [known.get(i, 0) for i in range(max(known) + 1)]), "b": Side(spark, b, [len(t) for t in pieces_of(second).bytes])}
 
 
 @contextmanager
@@ -152,19 +154,28 @@ def dealt_by_part_of_keys(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def aligned(distinct: DataFrame, sides: dict) -> DataFrame:
-    """(segment, groups) of distinct segments: the groups a1,a2|b1 in order, joined by semicolons; null where a side doesn't spell the segment."""
+def aligned(distinct: DataFrame, sides: dict[str, Side]) -> DataFrame:
+    """(segment, groups) of distinct segments: the groups a1,a2|b1 in order, joined by semicolons; none where a side doesn't spell the segment.
+
+    Only vocabularies are broadcast, whose size no input changes.
+    """
+    in_order = Window.partitionBy("segment").orderBy("at")
+
     def ends(side: str) -> DataFrame:
-        rows = distinct.select("segment", F.posexplode(sides[side]("segment")).alias("at", "token"))
-        return rows.select("segment", F.sum("token.n").over(Window.partitionBy("segment").orderBy("at")).alias("end"), F.col("token.id").alias(side))
+        tokens = distinct.select("segment", sides[side].ids("segment").alias("ids")).repartition("segment")
+        rows = tokens.select("segment", F.posexplode("ids").alias("at", "id")).join(F.broadcast(sides[side].lengths), "id")
+        return rows.select("segment", "at", "id", F.sum("n").over(in_order).alias("end"))
+
+    def grouped(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        common = mine.join(other.select("segment", "end", F.lit(1).alias("cut")), ["segment", "end"], "left")
+        before = F.coalesce(F.sum("cut").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = common.select("segment", "at", "id", before.alias("group")).groupBy("segment", "group")
+        return rows.agg(ids_text(F.sort_array(F.collect_list(F.struct("at", "id")))["id"]).alias(name))
 
-    common = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    before = Window.partitionBy("segment").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ends("a").join(ends("b"), ["segment", "end"], "full").select("segment", "end", "a", "b", F.coalesce(F.sum(common).over(before), F.lit(0)).alias("group"))
-    both = rows.groupBy("segment", "group").agg(*[F.sort_array(F.collect_list(F.when(F.col(s).isNotNull(), F.struct("end", s))))[s].alias(s) for s in "ab"])
-    whole = F.when((F.size("a") > 0) & (F.size("b") > 0), F.concat_ws("|", ids_text(F.col("a")), ids_text(F.col("b"))))
-    texts = both.select("segment", F.struct("group", whole.alias("text")).alias("_group")).groupBy("segment").agg(F.sort_array(F.collect_list("_group"))["text"].alias("_texts"))
-    return texts.where(~F.exists("_texts", lambda t: t.isNull())).select("segment", F.array_join("_texts", ";").alias("groups"))
+    a, b = ends("a"), ends("b")
+    met = grouped(a, b, "a").join(grouped(b, a, "b"), ["segment", "group"])
+    rows = met.select("segment", F.struct("group", F.concat_ws("|", "a", "b").alias("text")).alias("_group")).groupBy("segment")
+    return rows.agg(F.array_join(F.sort_array(F.collect_list("_group"))["text"], ";").alias("groups"))
 
 
 def ids_text(ids: Column) -> Column:
@@ -279,7 +290,7 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
     wanted = cut.select("block", F.posexplode("segments").alias("at", "segment"))
     with dealt_by_part_of_keys(spark):
-        known = aligned(cut.select(F.explode("segments").alias("segment")).distinct(), tokenizers(first, second))
+        known = aligned(cut.select(F.explode("segments").alias("segment")).distinct(), sides_of(spark, first, second))
         texts = wanted.join(known, "segment", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"].alias("texts"))
         bound = stored(cut.drop("segments").join(texts, "block", "left"), "bound", "zstd")
     held = stored(pair_counts(bound), "pairs")
