@@ -28,7 +28,10 @@ def one_of(what: str, value: str, domain: tuple[str, ...]) -> str:
 
 @dataclass(frozen=True)
 class ForecastConfig:
-    """Either period or start/end selects the rows; both None keeps all."""
+    """Either period or start/end selects the rows; both None keeps all.
+
+    on_empty says what a selection without any context gives: an error, or an empty result.
+    """
 
     interval: str = "1d"
     period: str | None = None
@@ -43,6 +46,7 @@ class ForecastConfig:
     calendar: str = "step"
     impute: str = "mean"
     strict: bool = False
+    on_empty: str = "error"
     noise: bool = False
     seed: str = "0"
     backend: str = "cpu"
@@ -55,6 +59,7 @@ class ForecastConfig:
         one_of("backend", self.backend, BACKENDS)
         one_of("calendar", self.calendar, ("step", "anchored"))
         one_of("impute", self.impute, ("mean", "none"))
+        one_of("on_empty", self.on_empty, ("error", "empty"))
         one_of("on_missing_model", self.on_missing_model, ("error", "mock"))
         if self.period is not None:
             one_of("period", self.period, PERIODS)

@@ -1,6 +1,7 @@
 """Adapter for models that live in Python: one load per worker, one call per Arrow batch.
 
-A model is named by options["loader"] = "package.module:function". The function gets
+A model is named by options["loader"] = "package.module:function", or by the name of an installed package's entry
+point (see `saved`, which also loads models from folders). The function gets
 (repo, device, context_length, horizon, options) and returns the model. options["style"] says
 how it is called with a list of float32 arrays:
 
@@ -17,10 +18,12 @@ with the attribute `forecast`.
 
 from __future__ import annotations
 
-import importlib
+import importlib.metadata
 import importlib.util
 import platform
+import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import one_of
+from strandline.forecasters.saved import GROUP, by_name
 
 STYLES = ("call", "forecast", "forecast_freq", "predict_batch")
 _models: dict[tuple, object] = {}
@@ -58,8 +62,7 @@ def cached_model(loader: str, repo: str, backend: str, context: int, horizon: in
     key = (loader, repo, backend, context, horizon, repr(sorted(options.items())))
     if key not in _models:
         _models.clear()
-        module, _, name = loader.partition(":")
-        _models[key] = getattr(importlib.import_module(module), name)(repo, device(backend), context, horizon, options)
+        _models[key] = by_name(loader)(repo, device(backend), context, horizon, options)
     return _models[key]
 
 
@@ -104,11 +107,23 @@ def clear_cache() -> None:
     _models.clear()
 
 
+def evicted(cfg, *frames: DataFrame):
+    """cfg with a new token, and frames no longer cached.
+
+    A worker that next forecasts with the returned config loads the model anew and frees the one it
+    holds; results are the same. Workers without further work end with their executor's idle time.
+    """
+    for frame in frames:
+        frame.unpersist(blocking=True)
+    clear_cache()
+    return replace(cfg, options=dict(cfg.options) | {"token": uuid.uuid4().hex})
+
+
 def loader_of(cfg) -> tuple:
     """The arguments of `cached_model`; fails where the model's package isn't installed."""
     loader = cfg.options.get("loader", "")
-    module = loader.partition(":")[0]
-    if not module or importlib.util.find_spec(module) is None:
+    module, _, name = loader.partition(":")
+    if not module or (importlib.util.find_spec(module) is None if name else not importlib.metadata.entry_points(group=GROUP, name=loader)):
         raise ModuleNotFoundError(f"no forecasting model: options['loader'] is {loader!r}")
     options = dict(cfg.options)
     one_of("style", options.get("style", "call"), STYLES)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.series import known
+from strandline.storage import kept
 
 RUNS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -95,11 +96,16 @@ def top_id(spark: SparkSession, path: str) -> int:
 
 
 def save_runs(spark: SparkSession, path: str, records: DataFrame) -> None:
-    """Append the records with ids above any that was ever in the table."""
-    if records.isEmpty():
+    """Append the records with ids above any that was ever in the table.
+
+    The records are made once, so a forecaster runs once for each series; the steps that count and
+    number them read the stored ones.
+    """
+    made = kept(validated(records), "records")
+    if made.isEmpty():
         raise ValueError("there is no forecast to save")
     init_store(spark, path)
-    numbered(validated(records), top_id(spark, path)).write.mode("append").parquet(path)
+    numbered(made, top_id(spark, path)).write.mode("append").parquet(path)
 
 
 def history_grid(runs: DataFrame) -> DataFrame:

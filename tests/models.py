@@ -18,3 +18,31 @@ def quantile_model_with_mean(repo, device, context, horizon, options):
         return [(p[None, :], np.concatenate([p[:, None], q], axis=1)) for p, q in zip(points, quantiles, strict=True)]
 
     return call
+
+
+class Counting:
+    """Repeats the last value; writes a file for each array it is asked for, and one when it is freed."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def note(self, what):
+        import os
+        import uuid
+
+        with open(f"{self.folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+    def __call__(self, arrays):
+        for _ in arrays:
+            self.note("run")
+        return [np.full(3, a[-1]) for a in arrays]
+
+    def __del__(self):
+        self.note("freed")
+
+
+def counting(repo, device, context, horizon, options):
+    model = Counting(options["folder"])
+    model.note("loaded")
+    return model
