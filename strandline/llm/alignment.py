@@ -120,23 +120,31 @@ def ids_where_spelt(encode, spell, parts: list[str]) -> pa.Array:
 
 
 class Side:
-    """A tokenizer as a function of the column of segments, and the lengths of its vocabulary in bytes."""
+    """A tokenizer's tokens of segments, and the lengths of its vocabulary in bytes."""
 
     def __init__(self, spark: SparkSession, ids, lengths: list[int]):
         self.ids = ids
         self.lengths = spark.createDataFrame(pa.table({"id": pa.array(range(len(lengths)), pa.int32()), "n": pa.array(lengths, pa.int32())}))
 
+    def tokens(self, distinct: DataFrame) -> DataFrame:
+        """(segment, ids), each segment tokenized once."""
+        ids = self.ids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids(batch.column(0).to_pylist())], names=["segment", "ids"])
+
+        return distinct.mapInArrow(run, "segment string, ids array<int>")
+
 
 def sides_of(spark: SparkSession, first: str, second: str) -> dict[str, Side]:
-    @F.arrow_udf("array<int>")
-    def a(parts: pa.Array) -> pa.Array:
+    def a(parts: list[str]) -> pa.Array:
         model = ids_of(first).fast
-        return ids_where_spelt(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts.to_pylist())
+        return ids_where_spelt(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts)
 
-    @F.arrow_udf("array<int>")
-    def b(parts: pa.Array) -> pa.Array:
+    def b(parts: list[str]) -> pa.Array:
         model = pieces_of(second)
-        return ids_where_spelt(model, model.bytes.__getitem__, parts.to_pylist())
+        return ids_where_spelt(model, model.bytes.__getitem__, parts)
 
     known = {i: len(t) for t, i in ids_of(first).fast._mergeable_ranks.items()}
     return {"a": Side(spark, a, [known.get(i, 0) for i in range(max(known) + 1)]), "b": Side(spark, b, [len(t) for t in pieces_of(second).bytes])}
@@ -162,7 +170,7 @@ def aligned(distinct: DataFrame, sides: dict[str, Side]) -> DataFrame:
     in_order = Window.partitionBy("segment").orderBy("at")
 
     def ends(side: str) -> DataFrame:
-        tokens = distinct.select("segment", sides[side].ids("segment").alias("ids")).repartition("segment")
+        tokens = sides[side].tokens(distinct).repartition("segment")
         rows = tokens.select("segment", F.posexplode("ids").alias("at", "id")).join(F.broadcast(sides[side].lengths), "id")
         return rows.select("segment", "at", "id", F.sum("n").over(in_order).alias("end"))
 
@@ -183,12 +191,13 @@ def ids_text(ids: Column) -> Column:
 
 
 class Links:
-    """The links of a block's segments, of the texts of their groups (None: one that can't be aligned)."""
+    """The links of a block's segments, of the lines of their groups (empty: one that can't be aligned)."""
 
-    def __init__(self, texts: list[str | None]):
-        self.texts = [t if t is not None else "0|0" for t in texts]
-        self.broken = np.array([t is None for t in texts], bool)
-        joined = ("\n".join(self.texts) + "\n").encode()
+    def __init__(self, packed: bytes):
+        lines = grown(packed, "u1").tobytes().split(b"\n")
+        self.broken = np.array([not t for t in lines], bool)
+        self.texts = [t or b"0|0" for t in lines]
+        joined = b"\n".join(self.texts) + b"\n"
         signs = np.frombuffer(joined, "u1")
         signs = signs[(signs < 48) | (signs > 57)]  # one after each number
         numbers = np.fromstring(joined.translate(bytes(c if 48 <= c <= 57 else 32 for c in range(256))), "i8", sep=" ")
@@ -232,16 +241,29 @@ def docs_of(sizes: list[int], numbers: bytes) -> list[np.ndarray]:
     return np.split(grown(numbers, "i4"), np.cumsum(sizes)[:-1]) if sizes else []
 
 
+def packed_lines(bound: DataFrame) -> DataFrame:
+    """bound with its texts compressed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts = batch.column(4)[i]
+                packed = shrink(np.frombuffer(texts.as_buffer(), "u1") if texts.is_valid else np.empty(0, "u1"))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([packed], pa.binary())], names=batch.schema.names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in bound.schema} | {"texts": "binary"}
+    return bound.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
 def pair_counts(bound: DataFrame) -> DataFrame:
     """(block, pair, n): in how many of a block's documents each pair is linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, sizes, numbers, texts = (c[i].as_py() for c in batch.columns)
-                if texts:
-                    links = Links(texts)
-                    n = links.documents(docs_of(sizes, numbers))
-                    held = np.flatnonzero(n)
+                links = Links(texts)
+                n = links.documents(docs_of(sizes, numbers))
+                held = np.flatnonzero(n)
+                if len(held):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block)), pa.array(links.pairs[held]), pa.array(n[held])], names=["block", "pair", "n"])
 
     return bound.select("block", "sizes", "numbers", "texts").mapInArrow(run, "block bigint, pair bigint, n bigint")
@@ -258,7 +280,7 @@ def put_together(bound: DataFrame, kind: str, with_groups: bool) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, docs = batch.column(0)[i].values, docs_of(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                links = Links(batch.column(3)[i].as_py() or ["0|0"])
+                links = Links(batch.column(3)[i].as_py())
                 n, best = np.zeros(len(links.pairs), "i8"), np.zeros(len(links.pairs), "i8")
                 if batch.column(4)[i].is_valid:
                     pair, count, first = (np.asarray(c.to_numpy(zero_copy_only=False), "i8") for c in batch.column(4)[i].values.flatten())
@@ -271,8 +293,8 @@ def put_together(bound: DataFrame, kind: str, with_groups: bool) -> DataFrame:
                     usable = links.usable(segment)
                     for column, values in zip(rows, each, strict=False):
                         column.append(int(values[segment].sum()) if usable else 0)
-                    text = ";".join([links.texts[k] for k in segment.tolist()]) if usable else ""
-                    rows[6].append(hashlib.sha256(text.encode()).hexdigest() if usable else "")
+                    text = b";".join([links.texts[k] for k in segment.tolist()]) if usable else b""
+                    rows[6].append(hashlib.sha256(text).hexdigest() if usable else "")
                     if with_groups:
                         rows[7].append(text)
                 columns = [pa.array(c, pa.int64()) for c in rows[:6]] + [pa.array(c, pa.string()) for c in rows[6:]]
@@ -291,8 +313,9 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     wanted = cut.select("block", F.posexplode("segments").alias("at", "segment"))
     with dealt_by_part_of_keys(spark):
         known = aligned(cut.select(F.explode("segments").alias("segment")).distinct(), sides_of(spark, first, second))
-        texts = wanted.join(known, "segment", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"].alias("texts"))
-        bound = stored(cut.drop("segments").join(texts, "block", "left"), "bound", "zstd")
+        lines = F.array_join(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"], "\n", "")
+        texts = wanted.join(known, "segment", "left").groupBy("block").agg(lines.alias("texts"))
+        bound = stored(packed_lines(cut.select("block", "ids", "sizes", "numbers").join(texts, "block", "left")), "bound")
     held = stored(pair_counts(bound), "pairs")
     counts = held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
     counts = stored(counts, "counts")
