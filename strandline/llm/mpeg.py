@@ -8,7 +8,7 @@ variable bit rate: its first frame is a table with the number of frames and byte
 seek points. A tag before it says how long the payload is and was before padding.
 
 The parser reads MPEG 1, 2 and 2.5, Layers I to III: tags before the audio (ID3v2.2 to 2.4,
-unsynchronised ones too) and behind it (ID3v1), the table of the first frame (Xing, Info or
+unsynchronised ones too) and behind it (ID3v1, only where the last frame ends 128 bytes before the end), the table of the first frame (Xing, Info or
 VBRI, with the encoder's delay and padding where given), and frame headers, resynchronising
 where bytes are damaged: a header counts if one of the same kind follows where it ends, or
 the audio ends there. It verifies checksums (Layers I and III; those of Layer II need its
@@ -184,21 +184,24 @@ def read_tag(media: bytes) -> tuple[dict[str, str], int]:
     return out, at
 
 
-def read_tail(media: bytes) -> tuple[dict[str, str], int]:
-    """Fields of an ID3v1 tag, and where the audio ends."""
-    end = len(media) - 128
-    if end < 0 or media[end : end + 3] != b"TAG":
-        return {}, len(media)
+def has_tail(media: bytes, at: int) -> bool:
+    """Whether what follows `at` is an ID3v1 tag and nothing else."""
+    return at == len(media) - 128 and media[at : at + 3] == b"TAG"
+
+
+def read_tail(media: bytes, end: int) -> dict[str, str]:
+    """Fields of the ID3v1 tag that starts at `end`."""
     spans = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
     fields = {k: media[end + a : end + b].split(b"\0")[0].decode("latin-1").strip() for k, (a, b) in spans.items()}
     if media[end + 125] == 0 and media[end + 126]:
         fields["track"] = str(media[end + 126])
-    return {k: v for k, v in fields.items() if v}, end
+    return {k: v for k, v in fields.items() if v}
 
 
 def read_table(media: bytes, at: int, h: Header) -> dict | None:
     """Frames, bytes, seek points, delay and padding of a table in the frame at that place, if it has one."""
-    vbri = at + 36
+    named = any(h.side and media[x : x + 4] in (b"Xing", b"Info") for x in (at + 4 + h.side, at + 6 + h.side))
+    vbri = len(media) if named else at + 36
     if media[vbri : vbri + 4] == b"VBRI" and at + h.size >= vbri + 26:
         size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", media[vbri + 10 : vbri + 26])
         raw = media[vbri + 26 : vbri + 26 + entries * width]
@@ -242,15 +245,16 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     return tag(fields) + info.ljust(first, b"\0") + body.tobytes() + last
 
 
-def next_frame(media: bytes, at: int, end: int, kind: int | None) -> tuple[int, Header] | None:
-    """The first frame from `at` on: a header (of that kind, if given) that another of its kind or the end follows."""
+def next_frame(media: bytes, at: int, kind: int | None) -> tuple[int, Header] | None:
+    """The first frame from `at` on: a header (of that kind, if given) that another of its kind, a closing tag or the end follows."""
+    end = len(media)
     while at >= 0:
         h = header(media, at)
         if h and at + h.size <= end and kind in (None, h.kind):
-            after = header(media, at + h.size) if at + h.size + 4 <= end else None
-            if at + h.size == end or (after and after.kind == h.kind):
+            after = header(media, at + h.size)
+            if at + h.size == end or (after and after.kind == h.kind) or has_tail(media, at + h.size):
                 return at, h
-        at = media.find(b"\xff", at + 1, end)
+        at = media.find(b"\xff", at + 1)
     return None
 
 
@@ -260,10 +264,13 @@ def parse(media: bytes) -> dict:
     samples is the exact duration: all frames' samples less the encoder's delay and padding.
     """
     fields, at = read_tag(media)
-    tail, end = read_tail(media)
+    tail: dict[str, str] = {}
     offsets, data, bad, lost, samples, first, found = [], [], 0, 0, 0, None, None
-    while at + 4 <= end:
-        frame = next_frame(media, at, end, first.kind if first else None)
+    while at + 4 <= len(media):
+        if first and has_tail(media, at):
+            tail = read_tail(media, at)
+            break
+        frame = next_frame(media, at, first.kind if first else None)
         lost += not frame or frame[0] != at
         if not frame:
             break
@@ -286,9 +293,12 @@ def parse(media: bytes) -> dict:
 
 
 def decode(media: bytes) -> tuple[bytes, dict]:
-    """The payload that encode() stored, and what parse() found."""
+    """The payload that encode() stored, and what parse() found; a stream that holds less than its tag says is an error."""
     found = parse(media)
-    return b"".join(media[a:b] for a, b in found["data"])[: int(found["fields"]["payload-bytes"])], found
+    whole, size = b"".join(media[a:b] for a, b in found["data"]), int(found["fields"]["payload-bytes"])
+    if len(whole) < size:
+        raise ValueError(f"the stream holds {len(whole)} of {size} bytes")
+    return whole[:size], found
 
 
 def features(found: dict, media_bytes: int) -> str:

@@ -259,6 +259,35 @@ def test_mpeg_round_trip(data):
     assert found["samples"] == 1152 * len(found["offsets"]) and found["rate"] == 48000
 
 
+MARKS = [b"TAG", b"ID3\x04\0\0", b"Xing", b"Info", b"VBRI", b"\xff\xfa\xe4\xc0", b"\xff\xfb\x94\xc0", b"LAME"]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_mpeg_payloads_with_marks(mark):
+    """A mark at every distance from both ends of payloads around the sizes of frames is payload."""
+    for size in (64, 128, 192, 320, 896, 960, 1024):
+        plain = bytes(range(1, 250)) * 5
+        for at in range(size - len(mark) + 1):
+            payload = plain[:at] + mark + plain[at + len(mark) : size]
+            back, found = mpeg.decode(mpeg.encode(payload, size))
+            assert back == payload and found["lost"] == 0 and found["bad"] == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*MARKS, b"\0", b"x" * 17, b"\xff"]), max_size=120))
+def test_mpeg_payloads_of_marks(parts):
+    payload = b"".join(parts).ljust(64, b"\0")
+    assert mpeg.decode(mpeg.encode(payload, len(payload)))[0] == payload
+
+
+def test_mpeg_short_streams_are_errors():
+    media = mpeg.encode(bytes(range(256)) * 20, 5120)
+    for cut in (1, 128, 960, 3000):
+        with pytest.raises(ValueError, match="holds"):
+            mpeg.decode(media[:-cut])
+    assert mpeg.decode(media + b"TAG" + b"a" * 125)[1]["fields"]["title"] == "a" * 30
+
+
 def test_mpeg_damage():
     media = mpeg.encode(bytes(range(256)) * 40, 10240)
     whole = mpeg.parse(media)
