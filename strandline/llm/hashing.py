@@ -1,7 +1,9 @@
 """Hashes of many byte strings at once.
 
-`range_hashes` mixes eight bytes at a time; strings that share none of them by chance alone get
-equal hashes with a probability of 2**-64. `Prefixes` gives every substring of a text its
+`WordIds` gives words 64-bit ids by a keyed digest: without the key, which is drawn for each run, nobody can
+write words with equal ids, and by chance two words have one with a probability of 2**-64.
+`range_hashes` mixes eight bytes at a time with public constants, so words with equal hashes can
+be made: it may only deal features to bins. `Prefixes` gives every substring of a text its
 hash in constant time by a polynomial modulo 2**64, which structured strings can make
 collide: it may only propose what is then compared.
 """
@@ -9,6 +11,9 @@ collide: it may only propose what is then compared.
 from __future__ import annotations
 
 import functools
+import hashlib
+import secrets
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,34 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.
     return h
 
 
+def new_key() -> bytes:
+    return secrets.token_bytes(16)
+
+
+class WordIds(dict):
+    """A task's ids of words; it forgets them when there are too many."""
+
+    LIMIT = 500_000
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        made = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return made
+
+
+def word_ids(data: np.ndarray, offsets: np.ndarray, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of joined texts, A-Z in lower case, and each text's first among them."""
+    whole, stops = data.tobytes().lower(), offsets.tolist()  # bytes: A-Z and ASCII white space only
+    words = [whole[a:b].split() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    first = np.cumsum([0, *map(len, words)])
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), "u8", int(first[-1])), first
+
+
 @functools.cache
 def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype="u8"))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import aside, dropped, restored, stored, table
 from strandline.llm.components import components
-from strandline.llm.hashing import grown, mix, parts_by_bytes, range_hashes, shrink, steps, text_bytes
+from strandline.llm.hashing import WordIds, grown, mix, new_key, parts_by_bytes, shrink, steps, text_bytes, word_ids
 
 DIMENSIONS, FANOUT, BUCKET = 128, 16, 8 << 20
 _BLANK = np.zeros(256, bool)
@@ -60,16 +60,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of joined texts, A-Z in lower case, and each text's first among them."""
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    starts, stops, first = word_spans(data, offsets)
-    return range_hashes(data, starts, stops), first
-
-
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int, known: WordIds) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; upper-case A-Z count as lower-case."""
-    word, first = word_hashes(*text_bytes(column))
+    word, first = word_ids(*text_bytes(column), known)
     if len(word) >= n:
         m = len(word) - n + 1
         with np.errstate(over="ignore"):
@@ -158,9 +151,11 @@ SETS = "n_shingles bigint, set_key binary, set_id bigint, text_md5 string, vecto
 HELD_KEYS = 1 << 20
 
 
-def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+def shingled(docs: DataFrame, n: int, percent: int, buckets: int, key: bytes) -> DataFrame:
     """doc_id, size and key of each document's set; and rows of group keys with their set ids, packed by bucket.
 
+    key: that of the words' ids, one for all tasks.
+
     Vector and keys of a set are sent when a task meets it for the first time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -180,12 +175,13 @@ def shingled(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known = WordIds(key)
         held_keys, held_ids, held = [], [], 0
         for whole in batches:
             doc_type = whole.schema.field(0).type
             for batch in parts_by_bytes(whole, 1):
                 sizes, digests, ids, vectors = [], [], [], []
-                for s in shingle_sets(batch.column(1), n):
+                for s in shingle_sets(batch.column(1), n, known):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     sizes.append(len(s))
                     digests.append(digest)
@@ -429,10 +425,10 @@ def links(sets: list[np.ndarray], percent: int, texts: list[bytes] | None = None
     return [top(i) for i in range(len(sets))]
 
 
-def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
+def verified(family_texts: DataFrame, n: int, percent: int, kind: str, key: bytes) -> DataFrame:
     """(set_key, component, group_key): of each family's sets (root, set_key, min_doc, text), sorted by root; group_key is the group's least set_key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, held = None, {}
+        root, held, known = None, {}, WordIds(key)
 
         def joined() -> pa.RecordBatch:
             keys, docs, sets, texts = zip(*[(k, *v) for k, v in held.items()], strict=True)
@@ -450,13 +446,13 @@ def verified(family_texts: DataFrame, n: int, percent: int, kind: str) -> DataFr
             doc_type = whole.schema.field(2).type
             for batch in parts_by_bytes(whole, 3):
                 texts = batch.column(3).cast(pa.binary()).to_pylist()
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3), n), texts, strict=True)
-                for r, key, doc, s, text in rows:
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3), n, known), texts, strict=True)
+                for r, name, doc, s, text in rows:
                     if r != root and held:
                         yield joined()
                         held = {}
                     root = r
-                    held[key] = (doc, s.copy(), text)
+                    held[name] = (doc, s.copy(), text)
         if held:
             yield joined()
 
@@ -485,8 +481,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows are of one group if and only if their group_key is equal, ids or not; without shingles it is null.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
-    every = stored(shingled(docs.select("doc_id", "text"), n, percent, -(-total // BUCKET)), "sets")
+    total, key = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1, new_key()
+    every = stored(shingled(docs.select("doc_id", "text"), n, percent, -(-total // BUCKET), key), "sets")
     sets = every.where("bucket is null")
     vectors = sets.where("vector is not null").groupBy("set_id").agg(F.max("vector").alias("vector"))
     points = shared_keys(every).join(vectors, "set_id").select("key", "set_id", "vector")
@@ -497,7 +493,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = classes.join(families.withColumnRenamed("node", "set_id"), "set_id").select("root", "set_key", "min_doc", F.col("text_md5").alias("_md5"))
     texts = docs.select("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_md5"))
     met = one_text_each(texts.join(wanted, "_md5").select("root", "set_key", "min_doc", "text"))
-    linked = verified(met.repartition("root").sortWithinPartitions("root", "set_key"), n, percent, kind)
+    linked = verified(met.repartition("root").sortWithinPartitions("root", "set_key"), n, percent, kind, key)
     named = classes.join(linked, "set_key", "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "min_doc").alias("component_id"), F.coalesce("group_key", "set_key").alias("group_key"))
     rows = sets.select("doc_id", "n_shingles", "set_key", "text_md5")
     out = rows.join(named, F.col("set_key") == F.col("_key"), "left")

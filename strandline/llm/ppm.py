@@ -44,8 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import stored, table
-from strandline.llm.hashing import grown, mix, parts_by_bytes, shrink, steps, text_bytes
-from strandline.llm.ngram_join import word_hashes
+from strandline.llm.hashing import WordIds, grown, mix, new_key, parts_by_bytes, shrink, steps, text_bytes, word_ids
 
 ORDER, BITS, MARK, ALPHABET, BLOCK, SPLITS = 5, 9, 256, 257, 16 << 20, 8
 END_WORD = np.uint64(0x1CEB00DA5EED)
@@ -160,7 +159,7 @@ def keys_of(data: bytes) -> np.ndarray:
 ASKED = "block bigint, bucket int, pair_keys binary, pair_counts binary, word_keys binary, word_counts binary, texts binary, sizes binary, trains binary"
 
 
-def asked(docs: DataFrame, groups: int, block_bytes: int) -> DataFrame:
+def asked(docs: DataFrame, groups: int, block_bytes: int, key: bytes) -> DataFrame:
     """Of docs (doc_id, text, trains): rows of packed texts (doc_ids, texts, sizes, trains) by block, and of pairs and words by block and bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
@@ -172,6 +171,7 @@ def asked(docs: DataFrame, groups: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
         found: tuple[list, ...] = ([], [], [], [])
+        ids = WordIds(key)
 
         def questions() -> pa.RecordBatch:
             keys, counts = counted(found[0], found[1])
@@ -195,13 +195,13 @@ def asked(docs: DataFrame, groups: int, block_bytes: int) -> DataFrame:
                 data, offsets = text_bytes(batch.column(1))
                 trains = batch.column(2).to_numpy(zero_copy_only=False)
                 code, ends = pairs(data, offsets)
-                word, first = word_hashes(data, offsets)
+                word, first = word_ids(data, offsets, ids)
                 word = np.concatenate([word, np.full(len(trains), END_WORD)])
                 new = *with_training(code, np.repeat(trains, np.diff(ends))), *with_training(word, np.concatenate([np.repeat(trains, np.diff(first)), trains]))
                 for held, x in zip(found, new, strict=True):
                     held.append(x)
-                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-                yield rows_of([(block, None, None, None, None, None, shrink(data), shrink(np.diff(offsets)), trains.tobytes())], ids)
+                doc_ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                yield rows_of([(block, None, None, None, None, None, shrink(data), shrink(np.diff(offsets)), trains.tobytes())], doc_ids)
                 size += len(code)
                 if size >= block_bytes:
                     yield questions()
@@ -331,10 +331,10 @@ def answers(asked_rows: DataFrame, buckets: DataFrame, two: DataFrame, one: Coun
     return known.union(spread).union(wanted).repartition(groups * SPLITS, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ANSWER)
 
 
-def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str, blocks: int) -> DataFrame:
+def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str, blocks: int, key: bytes) -> DataFrame:
     """The scores of all documents: a block's answers come before its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, given, lengths, known = None, [], NONE, NONE
+        block, given, lengths, known, ids = None, [], NONE, NONE, WordIds(key)
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:-1]]
             for i, (b, is_text, *packed) in enumerate(zip(*columns, strict=True)):
@@ -352,7 +352,7 @@ def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str,
                 code, ends = pairs(data, offsets)
                 distinct, inverse = np.unique(code, return_inverse=True)
                 score = np.add.reduceat(of(distinct, *lengths).astype("f8")[inverse], ends[:-1])
-                word, first = word_hashes(data, offsets)
+                word, first = word_ids(data, offsets, ids)
                 distinct, inverse = np.unique(np.append(word, END_WORD), return_inverse=True)
                 count = of(distinct, *known)[inverse]
                 part = np.log10((count + 1) / (n + v + 1))
@@ -375,12 +375,13 @@ def ppm_scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     block_bytes = int(block_bytes * max(1.0, total / 2**30) ** 0.25)
     blocks = -(-total // block_bytes)
     groups = max(1, round(3 * blocks**0.5))
+    key = new_key()
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    every = stored(asked(docs.select("doc_id", text.alias("text"), trains.alias("trains")), groups, block_bytes), "asked")
+    every = stored(asked(docs.select("doc_id", text.alias("text"), trains.alias("trains")), groups, block_bytes, key), "asked")
     buckets = stored(model(every, groups), "model")
     two = stored(two_symbol_pairs(buckets), "two")
     n, v = buckets.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    return scored(every, answers(every, buckets, two, one_symbol_pairs(two), groups), n, v, kind, blocks)
+    return scored(every, answers(every, buckets, two, one_symbol_pairs(two), groups), n, v, kind, blocks, key)
 
 
 def op7_ppm_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

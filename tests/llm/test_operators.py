@@ -681,3 +681,36 @@ def test_structured_words_stay_apart(spark, tmp_path):
     assert sorted(tuple(r) for r in repeats.op2_radix_repeats(spark, str(tmp_path)).collect()) == sorted(brute.without_repeats(rows))
     scored = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in ppm.ppm_scores(docs.select("doc_id", "text")).collect()}
     assert scored == {d: b[:4] for (d, _), b in zip(rows, brute.base_scores(rows), strict=True)}
+
+
+def forged(word, n=1 << 20):
+    """Printable words of 16 bytes that a mix with public constants gives the same hash as `word`."""
+    from strandline.llm.hashing import SEED, mix, range_hashes
+
+    start = mix(np.array([16], "u8") + np.uint64(SEED))
+    one, two = np.frombuffer(word, "<u8")
+    letters = np.random.default_rng(7).integers(97, 123, (n, 8)).astype("u1")
+    first = letters.view("<u8").ravel()
+    second = mix(start ^ one) ^ two ^ mix(start ^ first)
+    shown = second.view("u1").reshape(-1, 8)
+    good = ((shown > 32) & (shown < 127) & ~((shown >= 65) & (shown <= 90))).all(axis=1)
+    made = [(a.tobytes() + b.tobytes()) for a, b in zip(first[good], second[good], strict=True)]
+    data = np.frombuffer(b"".join([word, *made]), "u1")
+    at = np.arange(0, len(data), 16)
+    assert len(made) > 5 and len(set(range_hashes(data, at, at + 16).tolist())) == 1
+    return [m.decode() for m in made]
+
+
+def test_forged_words_are_told_apart(spark):
+    words = ["abcdefghijklmnop", "qrstuvwxyzabcdef", "aaaabbbbccccdddd", "zyxwvutsrqponmlk"]
+    others = [forged(w.encode()) for w in words]
+    texts = [" ".join(words), *(" ".join(o[k] for o in others) for k in range(5)), " ".join(words).upper()]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).drop("text_md5").collect()]
+    assert sorted(got) == sorted(brute.component_ids(rows, 3, 90)) and len({r[2] for r in got}) == 6
+    trained, held = (next(i for i in range(99) if (zlib.crc32(str(i).encode()) % 7 == 2) == out) for out in (False, True))
+    scores = {r.doc_id: r for r in ppm.ppm_scores(spark.createDataFrame([(trained, texts[0]), (held, texts[1])], "doc_id bigint, text string")).collect()}
+    assert (scores[held].n_known, scores[held].n_tokens, scores[trained].n_known) == (1, 5, 5)
+    assert scores[held].base_score == pytest.approx(4 * np.log10(1 / 11) + np.log10(2 / 11))
+    stage = [r.doc_id for r in ngram_join.stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS), "").collect()]
+    assert sorted(stage) == [0, 1, 2, 3, 4, 5]
