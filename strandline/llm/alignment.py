@@ -190,33 +190,49 @@ def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
 
+def links_of(lines: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of some segments' groups: numbers of ids on both sides, groups and links of each segment, and all links as pairs in their order."""
+    joined = b"\n".join(lines) + b"\n"
+    signs = np.frombuffer(joined, "u1")
+    signs = signs[(signs < 48) | (signs > 57)]  # one after each number
+    numbers = np.fromstring(joined.translate(bytes(c if 48 <= c <= 57 else 32 for c in range(256))), "i8", sep=" ")
+    closes = (signs == 59) | (signs == 10)
+    group = np.cumsum(closes) - closes
+    second = np.cumsum(signs == 124) - (signs == 124) > group
+    n = int(closes.sum())
+    na, nb = np.bincount(group[~second], minlength=n), np.bincount(group[second], minlength=n)
+    last = signs[closes] == 10
+    to = np.cumsum(last) - last  # the segment of each group
+    per = lambda x: np.bincount(to, x, len(lines)).astype("i8")
+    links = na * nb
+    owner = np.repeat(np.arange(n), links)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(links) - links, links)
+    a = numbers[~second][(np.cumsum(na) - na)[owner] + within // nb[owner]]
+    b = numbers[second][(np.cumsum(nb) - nb)[owner] + within % nb[owner]]
+    return per(na), per(nb), per(np.ones(n)), per(links), a << 32 | b
+
+
 class Links:
-    """The links of a block's segments, of the lines of their groups (empty: one that can't be aligned)."""
+    """The links of a block's segments, of the lines of their groups (empty: one that can't be aligned), some STEP segments at a time."""
+
+    STEP = 30_000
 
     def __init__(self, packed: bytes):
-        lines = grown(packed, "u1").tobytes().split(b"\n")
-        self.broken = np.array([not t for t in lines], bool)
-        self.texts = [t or b"0|0" for t in lines]
-        joined = b"\n".join(self.texts) + b"\n"
-        signs = np.frombuffer(joined, "u1")
-        signs = signs[(signs < 48) | (signs > 57)]  # one after each number
-        numbers = np.fromstring(joined.translate(bytes(c if 48 <= c <= 57 else 32 for c in range(256))), "i8", sep=" ")
-        done = np.cumsum((signs == 59) | (signs == 10))
-        group = done - ((signs == 59) | (signs == 10))
-        second = np.cumsum(signs == 124) - (signs == 124) > group
-        n = int(done[-1])
-        na, nb = np.bincount(group[~second], minlength=n), np.bincount(group[second], minlength=n)
-        closing = signs[(signs == 59) | (signs == 10)]
-        self.groups_to = np.cumsum(closing == 10) - (closing == 10)  # the segment of each group
-        count = len(self.texts)
-        per = lambda x: np.bincount(self.groups_to, x, count).astype("i8")
-        self.n_a, self.n_b, self.n_groups, self.n_links = per(na), per(nb), per(np.ones(n)), per(na * nb)
-        links = na * nb
-        owner = np.repeat(np.arange(n), links)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(links) - links, links)
-        a = numbers[~second][(np.cumsum(na) - na)[owner] + within // nb[owner]]
-        b = numbers[second][(np.cumsum(nb) - nb)[owner] + within % nb[owner]]
-        self.pairs, self.where = np.unique(a << 32 | b, return_inverse=True)
+        self.texts = grown(packed, "u1").tobytes().split(b"\n")
+        self.broken = np.array([not t for t in self.texts], bool)
+        for k in np.flatnonzero(self.broken).tolist():
+            self.texts[k] = b"0|0"
+        sizes, pairs, where, held = [], [], [], 0
+        for at in range(0, len(self.texts), self.STEP):
+            *each, found = links_of(self.texts[at : at + self.STEP])
+            sizes.append(np.stack(each))
+            distinct, inverse = np.unique(found, return_inverse=True)
+            pairs.append(distinct)
+            where.append((inverse + held).astype("i4"))
+            held += len(distinct)
+        self.n_a, self.n_b, self.n_groups, self.n_links = np.concatenate(sizes, axis=1)
+        self.pairs, merged = np.unique(np.concatenate(pairs), return_inverse=True)
+        self.where = merged.astype("i4")[np.concatenate(where)]
         self.starts = np.cumsum(self.n_links) - self.n_links
 
     def documents(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -247,7 +263,7 @@ def packed_lines(bound: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 texts = batch.column(4)[i]
-                packed = shrink(np.frombuffer(texts.as_buffer(), "u1") if texts.is_valid else np.empty(0, "u1"))
+                packed = shrink(np.frombuffer(texts.as_buffer() if texts.is_valid else b"", "u1"))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([packed], pa.binary())], names=batch.schema.names)
 
     kinds = {f.name: f.dataType.simpleString() for f in bound.schema} | {"texts": "binary"}
