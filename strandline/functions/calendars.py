@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +48,31 @@ def future(ts: str, interval: str, horizon: int, policy: str = "step") -> Column
     if policy == "anchored" and interval in ("1wk", "1mo"):
         return anchored(ts, interval, horizon)
     return steps(ts, interval, horizon)
+
+
+def listed(ts: datetime, interval: str, horizon: int, policy: str = "step") -> list[datetime]:
+    """The timestamps of `future` for one value, in Python."""
+    one_of("interval", interval, INTERVALS)
+    midnight = datetime(ts.year, ts.month, ts.day)
+    if interval == "1d":
+        days = (midnight + timedelta(days=i) for i in range(1, horizon // 5 * 7 + 15))
+        return [d for d in days if d.weekday() < 5][:horizon]
+    if policy == "anchored" and interval in ("1wk", "1mo"):
+        hour = ts + timedelta(hours=1)
+        day = datetime(hour.year, hour.month, hour.day)
+        if interval == "1wk":
+            sunday = day + timedelta(days=6 - day.weekday())
+            ends = [sunday + timedelta(days=7 * i) for i in range(horizon)]
+        else:
+            ends = [_shifted(day.replace(day=1), i + 1) - timedelta(days=1) for i in range(horizon)]
+        return [e + (hour - day) for e in ends]
+    if interval == "1mo":
+        return [_shifted(ts, i) for i in range(1, horizon + 1)]
+    step = timedelta(minutes=_MINUTES.get(interval, 0)) or {"1h": timedelta(hours=1), "1wk": timedelta(days=7)}[interval]
+    return [ts + step * i for i in range(1, horizon + 1)]
+
+
+def _shifted(ts: datetime, months: int) -> datetime:
+    """The same day so many months on, or the month's last."""
+    year, month = divmod(ts.year * 12 + ts.month - 1 + months, 12)
+    return ts.replace(year=year, month=month + 1, day=min(ts.day, monthrange(year, month + 1)[1]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +51,12 @@ def hashed_normal(*key: Column) -> Column:
         return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
     return F.sqrt(-2.0 * F.log(uniform("a"))) * F.cos(F.lit(6.283185307179586) * uniform("b"))
+
+
+def drawn_normal(*key: object) -> float:
+    """`hashed_normal` of one key, in Python."""
+    def uniform(tag: str) -> float:
+        text = "|".join([*(str(k) for k in key), tag])
+        return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+
+    return math.sqrt(-2.0 * math.log(uniform("a"))) * math.cos(6.283185307179586 * uniform("b"))
