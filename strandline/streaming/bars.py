@@ -12,16 +12,18 @@ LENGTHS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30
 TO_MONDAY = "4 days"
 
 
-def stream_bars(ticks: DataFrame, ticker: str, ts: str, value: str, interval: str = "1h", late: str = "1 hour", order: str | None = None) -> DataFrame:
+def stream_bars(ticks: DataFrame, ticker: str, ts: str, value: str, interval: str = "1h", late: str = "1 hour", order: str | None = None, unique: str | None = None) -> DataFrame:
     """OHLCV bars, those of `resample`; a bar is final once the watermark passes its end, later ticks are dropped.
 
-    order breaks ties of ts for open and close. Months have no fixed length, so a stream has no monthly bars.
+    order breaks ties of ts for open and close. unique names a tick's id: a tick that comes again within the
+    watermark isn't counted again. Months have no fixed length, so a stream has no monthly bars.
     """
     if one_of("interval", interval, INTERVALS) == "1mo":
         raise ValueError("a stream has no monthly bars: resample its daily ones")
     rows = ticks.where(F.col(ticker).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull())
     # windows and watermarks take instants only: clock times are read as UTC, so that the session's zone moves no bar
     timed = rows.withColumn("_at", F.to_timestamp(F.concat(F.col(ts).cast("timestamp_ntz").cast("string"), F.lit("Z")))).withWatermark("_at", late)
+    timed = timed.dropDuplicatesWithinWatermark([unique]) if unique else timed
     window = F.window("_at", LENGTHS[interval], startTime=TO_MONDAY if interval == "1wk" else "0 seconds")
     at = F.struct("_at", order) if order else F.col("_at")
     bars = timed.groupBy(F.col(ticker).alias("ticker"), window).agg(
