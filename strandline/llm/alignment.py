@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored, table
+from strandline.llm.common import dropped, stored, table
 from strandline.llm.hashing import grown, shrink
 from strandline.llm.packing import ids_of
 
@@ -132,7 +132,7 @@ class Side:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids(batch.column(0).to_pylist())], names=["segment", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids(batch.column(0).to_pylist())], names=["segment", "ids"])  # other columns stay behind
 
         return distinct.mapInArrow(run, "segment string, ids array<int>")
 
@@ -326,12 +326,15 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
-    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment"))
+    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).repartition("segment")
     with dealt_by_part_of_keys(spark):
-        known = aligned(cut.select(F.explode("segments").alias("segment")).distinct(), sides_of(spark, first, second))
+        # the first block and number are not needed, but let Spark use one exchange for the distinct segments and for those wanted
+        distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
+        known = aligned(distinct, sides_of(spark, first, second))
         lines = F.array_join(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"], "\n", "")
         texts = wanted.join(known, "segment", "left").groupBy("block").agg(lines.alias("texts"))
         bound = stored(packed_lines(cut.select("block", "ids", "sizes", "numbers").join(texts, "block", "left")), "bound")
+        dropped(cut)  # bound has all of it but the segments
     held = stored(pair_counts(bound), "pairs")
     counts = held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
     counts = stored(counts, "counts")
