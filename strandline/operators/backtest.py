@@ -71,3 +71,23 @@ def error_scores(errors: DataFrame, *by: str) -> DataFrame:
     """Mean absolute and mean error, root of the mean square, and their number, for each value of `by`."""
     e = F.col("error")
     return errors.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae_score"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n_matched"))
+
+
+def level_scores(errors: DataFrame, levels: list[str], sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """`error_scores` at several levels at once: (levels, grouping_id, mae_score, bias, rmse, n_matched).
+
+    sets: the combinations of levels, by default for (ticker, target, step) all three, ticker and target, target and
+    step, and target. A level that a row sums over is null and has its bit in grouping_id, first level highest.
+    Errors are summed by all levels first, with map-side combining, and only these sums are expanded and
+    shuffled again, so subtotals cost no second pass over the errors.
+    """
+    sets = sets or [tuple(levels), tuple(levels[:2]), tuple(levels[1:]), (levels[1],)]
+    if unknown := {c for s in sets for c in s} - set(levels):
+        raise ValueError(f"unknown levels {sorted(unknown)}; there are {', '.join(levels)}")
+    e = F.col("error")
+    fine = errors.where(e.isNotNull()).groupBy(*levels).agg(F.sum(F.abs(e)).alias("_abs"), F.sum(e).alias("_sum"), F.sum(e * e).alias("_square"), F.count(F.lit(1)).alias("_n"))
+    bits = {c: 1 << (len(levels) - 1 - i) for i, c in enumerate(levels)}
+    each = [F.struct(*[(F.col(c) if c in s else F.lit(None).cast(fine.schema[c].dataType)).alias(c) for c in levels], F.lit(sum(b for c, b in bits.items() if c not in s)).cast("bigint").alias("grouping_id")) for s in sets]
+    rows = fine.select(F.explode(F.array(*each)).alias("_level"), "_abs", "_sum", "_square", "_n").select("_level.*", "_abs", "_sum", "_square", "_n")
+    n = F.sum("_n")
+    return rows.groupBy(*levels, "grouping_id").agg((F.sum("_abs") / n).alias("mae_score"), (F.sum("_sum") / n).alias("bias"), F.sqrt(F.sum("_square") / n).alias("rmse"), n.alias("n_matched"))
