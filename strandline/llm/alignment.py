@@ -326,9 +326,9 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
-    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).repartition("segment")
+    # no segment is null, and the first block and number of one are not needed: both let Spark use one exchange for the distinct segments and for those wanted
+    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).where("segment IS NOT NULL").repartition("segment")
     with dealt_by_part_of_keys(spark):
-        # the first block and number are not needed, but let Spark use one exchange for the distinct segments and for those wanted
         distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
         known = aligned(distinct, sides_of(spark, first, second))
         lines = F.array_join(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"], "\n", "")
