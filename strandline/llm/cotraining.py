@@ -41,8 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import stored, table
-from strandline.llm.hashing import mix, parts_by_bytes, range_hashes, text_bytes
-from strandline.llm.ngram_join import word_spans
+from strandline.llm.hashing import mix, parts_by_bytes, range_hashes, text_bytes, word_spans
 
 ROUNDS, SHARE, BINS, STEPS, PER_UNIT = 3, 0.1, 1 << 16, 256, 2
 LENGTHS = (50, 150, 400, 1000, 3000, 10000)

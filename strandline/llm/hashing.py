@@ -1,6 +1,6 @@
 """Hashes of many byte strings at once.
 
-`WordIds` gives words 64-bit ids by a keyed digest: without the key, which is drawn for each run, nobody can
+`word_ids` gives words 64-bit ids under a key that is drawn for each run: without it nobody can
 write words with equal ids, and by chance two words have one with a probability of 2**-64.
 `range_hashes` mixes eight bytes at a time with public constants, so words with equal hashes can
 be made: it may only deal features to bins. `Prefixes` gives every substring of a text its
@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import secrets
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +65,7 @@ class WordIds(dict):
     def __init__(self, key: bytes):
         super().__init__()
         self.key = key
+        self.secrets = np.frombuffer(hashlib.blake2b(b"words", digest_size=32, key=key).digest(), "<u8")
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -74,12 +74,63 @@ class WordIds(dict):
         return made
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of all words of joined texts, and each text's first among them."""
+    if not len(data):
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.zeros(len(offsets), "i8")
+    blank = _BLANK[data]
+    starts = np.flatnonzero(~blank & _after_blank_or_start(blank, offsets))
+    stops = np.flatnonzero(~blank & _before_blank_or_end(blank, offsets)) + 1
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def _after_blank_or_start(blank: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    at = np.ones(len(blank), bool)
+    at[1:] = blank[:-1]
+    at[offsets[offsets < len(blank)]] = True
+    return at
+
+
+def _before_blank_or_end(blank: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    at = np.ones(len(blank), bool)
+    at[:-1] = blank[1:]
+    inner = offsets[(offsets > 0) & (offsets <= len(blank))]
+    at[inner - 1] = True
+    return at
+
+
 def word_ids(data: np.ndarray, offsets: np.ndarray, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words of joined texts, A-Z in lower case, and each text's first among them."""
-    whole, stops = data.tobytes().lower(), offsets.tolist()  # bytes: A-Z and ASCII white space only
-    words = [whole[a:b].split() for a, b in zip(stops[:-1], stops[1:], strict=True)]
-    first = np.cumsum([0, *map(len, words)])
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), "u8", int(first[-1])), first
+    """The ids of all words of joined texts, A-Z in lower case, and each text's first among them.
+
+    A word of up to eight bytes is its bytes, mixed one to one under the key, so that no two of them are
+    equal. Up to sixteen bytes are two such numbers, the first multiplied by a secret one. Longer
+    words, and those with a zero byte, have digests.
+    """
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    starts, stops, first = word_spans(data, offsets)
+    length = stops - starts
+    plain = length <= 16
+    if not data.all():
+        zeros = np.concatenate([[0], np.cumsum(data == 0)])
+        plain &= zeros[stops] == zeros[starts]
+    padded = np.append(data, np.zeros(16, "u1"))
+    eight = np.ndarray(len(data) + 9, "<u8", padded, 0, (1,))  # at every byte, that and the seven after it
+    one, two, odd, _ = known.secrets
+
+    def part(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] & (np.uint64(2**64 - 1) >> ((np.uint64(8) - np.minimum(left, 8).astype("u8")) * np.uint64(8)))
+
+    ids = mix(part(starts, length) ^ one)
+    more = np.flatnonzero(plain & (length > 8))
+    with np.errstate(over="ignore"):
+        ids[more] = mix(ids[more] * (odd | np.uint64(1)) + mix(part(starts[more] + 8, length[more] - 8) ^ two))
+    whole, others = data.tobytes(), np.flatnonzero(~plain)
+    ids[others] = np.fromiter((known[whole[a:b]] for a, b in zip(starts[others].tolist(), stops[others].tolist(), strict=True)), "u8", len(others))
+    return ids, first
 
 
 @functools.cache

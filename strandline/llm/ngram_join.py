@@ -46,18 +46,6 @@ from strandline.llm.components import components
 from strandline.llm.hashing import WordIds, grown, mix, new_key, parts_by_bytes, shrink, steps, text_bytes, word_ids
 
 DIMENSIONS, FANOUT, BUCKET = 128, 16, 8 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-
-
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of all words of joined texts, and each text's first among them."""
-    if not len(data):
-        return np.empty(0, "i8"), np.empty(0, "i8"), np.zeros(len(offsets), "i8")
-    blank = _BLANK[data]
-    starts = np.flatnonzero(~blank & _after_blank_or_start(blank, offsets))
-    stops = np.flatnonzero(~blank & _before_blank_or_end(blank, offsets)) + 1
-    return starts, stops, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array, n: int, known: WordIds) -> Iterator[np.ndarray]:
@@ -80,21 +68,6 @@ def shingle_sets(column: pa.Array, n: int, known: WordIds) -> Iterator[np.ndarra
             yield np.empty(0, "u8")
 
 
-def _after_blank_or_start(blank: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    at = np.ones(len(blank), bool)
-    at[1:] = blank[:-1]
-    at[offsets[offsets < len(blank)]] = True
-    return at
-
-
-def _before_blank_or_end(blank: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    at = np.ones(len(blank), bool)
-    at[:-1] = blank[1:]
-    inner = offsets[(offsets > 0) & (offsets <= len(blank))]
-    at[inner - 1] = True
-    return at
-
-
 @functools.cache
 def range_ratio(percent: int) -> float:
     return (100 / percent) ** (3 if percent >= 88 else 2)
