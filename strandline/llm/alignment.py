@@ -37,12 +37,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import dropped, stored, table
-from strandline.llm.hashing import grown, shrink
+from strandline.llm.hashing import grown
 from strandline.llm.packing import ids_of
 
 BLOCK = 16 << 20
@@ -83,6 +84,19 @@ def pieces_of(path: str) -> Pieces:
 BLOCKS = "block bigint, ids array<{kind}>, sizes array<int>, numbers binary, segments array<string>"
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def numbers_packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest ones first, which compress better."""
+    return squeezed(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes())
+
+
+def numbers_of(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(grown(packed, "u1").reshape(4, -1).T).view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """BLOCKS of documents: how many segments each has (sizes), and the numbers of all, one after the other."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -92,7 +106,7 @@ def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
         ids, sizes, numbers, known, held, arrow = [], [], [], {}, 0, pa.null()
 
         def block() -> pa.RecordBatch:
-            columns = [pa.array([number]), pa.array([ids], pa.list_(arrow)), pa.array([sizes], pa.list_(pa.int32())), pa.array([shrink(np.concatenate(numbers).astype("i4"))], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))]
+            columns = [pa.array([number]), pa.array([ids], pa.list_(arrow)), pa.array([sizes], pa.list_(pa.int32())), pa.array([numbers_packed(np.concatenate(numbers))], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "numbers", "segments"])
 
         for batch in batches:
@@ -254,7 +268,7 @@ class Links:
 
 
 def docs_of(sizes: list[int], numbers: bytes) -> list[np.ndarray]:
-    return np.split(grown(numbers, "i4"), np.cumsum(sizes)[:-1]) if sizes else []
+    return np.split(numbers_of(numbers), np.cumsum(sizes)[:-1]) if sizes else []
 
 
 def packed_lines(bound: DataFrame) -> DataFrame:
@@ -263,7 +277,7 @@ def packed_lines(bound: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 texts = batch.column(4)[i]
-                packed = shrink(np.frombuffer(texts.as_buffer() if texts.is_valid else b"", "u1"))
+                packed = squeezed(texts.as_buffer().to_pybytes() if texts.is_valid else b"")
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([packed], pa.binary())], names=batch.schema.names)
 
     kinds = {f.name: f.dataType.simpleString() for f in bound.schema} | {"texts": "binary"}
@@ -326,8 +340,8 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
-    # no segment is null, and the first block and number of one are not needed: both let Spark use one exchange for the distinct segments and for those wanted
-    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).where("segment IS NOT NULL").repartition("segment")
+    # nothing is null, and a segment's first block and number are not needed: both let Spark use one exchange for the distinct segments and for those wanted
+    wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).where("segment IS NOT NULL AND block IS NOT NULL").repartition("segment")
     with dealt_by_part_of_keys(spark):
         distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
         known = aligned(distinct, sides_of(spark, first, second))
