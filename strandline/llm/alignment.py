@@ -271,13 +271,44 @@ def docs_of(sizes: list[int], numbers: bytes) -> list[np.ndarray]:
     return np.split(numbers_of(numbers), np.cumsum(sizes)[:-1]) if sizes else []
 
 
+HELD = 200_000
+
+
+def returned(found: DataFrame) -> DataFrame:
+    """(block, at, lines) of rows (block, at, groups): many segments' numbers and groups as one row, compressed; a task holds HELD of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        n = 0
+
+        def sent() -> pa.RecordBatch:
+            rows = [(block, numbers_packed(np.array(at)), squeezed("\n".join(lines).encode())) for block, (at, lines) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "lines"])
+
+        for batch in batches:
+            for block, at, groups in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = held.get(block) or held.setdefault(block, ([], []))
+                mine[0].append(at)
+                mine[1].append(groups or "")
+            n += batch.num_rows
+            if n > HELD:
+                yield sent()
+                n = 0
+        if held:
+            yield sent()
+
+    return found.select("block", "at", "groups").mapInArrow(run, "block bigint, at binary, lines binary")
+
+
 def packed_lines(bound: DataFrame) -> DataFrame:
-    """bound with its texts compressed."""
+    """bound with the parts of `returned` as one text of lines in order of their numbers, compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                texts = batch.column(4)[i]
-                packed = squeezed(texts.as_buffer().to_pybytes() if texts.is_valid else b"")
+                parts = batch.column(4)[i].as_py() or []
+                lines = [line for p in parts for line in grown(p["lines"], "u1").tobytes().split(b"\n")]
+                at = np.concatenate([numbers_of(p["at"]) for p in parts]) if parts else np.empty(0, "i4")
+                packed = squeezed(b"\n".join([lines[k] for k in np.argsort(at).tolist()]))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([packed], pa.binary())], names=batch.schema.names)
 
     kinds = {f.name: f.dataType.simpleString() for f in bound.schema} | {"texts": "binary"}
@@ -345,8 +376,7 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     with dealt_by_part_of_keys(spark):
         distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
         known = aligned(distinct, sides_of(spark, first, second))
-        lines = F.array_join(F.sort_array(F.collect_list(F.struct("at", "groups")))["groups"], "\n", "")
-        texts = wanted.join(known, "segment", "left").groupBy("block").agg(lines.alias("texts"))
+        texts = returned(wanted.join(known, "segment", "left")).groupBy("block").agg(F.collect_list(F.struct("at", "lines")).alias("texts"))
         bound = stored(packed_lines(cut.select("block", "ids", "sizes", "numbers").join(texts, "block", "left")), "bound")
         dropped(cut)  # bound has all of it but the segments
     held = stored(pair_counts(bound), "pairs")
