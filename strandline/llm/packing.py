@@ -5,11 +5,9 @@ what is left of each is packed in blocks of BLOCK remainders. In a block, every
 starts as a partial partition: one item and k - 1 empty windows. The two partitions with
 the largest spread are merged, the fullest windows of one with the emptiest of the other,
 until one is left, whose k windows are near equal. k starts at the least that could hold
-the block. If no window exceeds the capacity, the block is done. Otherwise the windows that
-are nearly full and fit are done, and the remainders of all others are differenced anew over
-the least number that could hold these; where no window is done, that number rises by one.
-So the count rises with what exceeds the capacity (padding is 2 % on the test tables), and
-a document is cut only where it fills a window of its own.
+the block. Whenever a window exceeds the capacity, k rises and the block is differenced anew: half way
+to the number of windows whose fullest one would fit if it stayed as far above the mean, by one at least. So a document is cut only where it
+fills a window of its own, and all windows of a block are near equal (on sf0.1 1883 to 2045 ids; padding is 3 %).
 
 Blocks are made inside the tasks that read the documents: nothing is shuffled, no sequence
 crosses tasks, and what a task holds is one block whatever the size of the table or of
@@ -24,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -92,37 +91,28 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     spread = lambda w: w[0][0] - (w[-1][0] if len(w) == k else 0)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        if len(a) + len(b) <= k:
-            windows = a + b
-        else:
-            pad = [(0, [])]
-            left, right = a + pad * (k - len(a)), (b + pad * (k - len(b)))[::-1]
-            windows = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(left, right, strict=True)]
-        windows.sort(key=lambda w: -w[0])
+        alone = max(k - len(b), 0)  # windows of a that meet empty ones
+        shared = max(len(a) - alone, 0)
+        b = b[::-1]
+        windows = a[:alone] + [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[alone:], b, strict=False)] + b[shared:]
+        windows.sort(key=operator.itemgetter(0), reverse=True)
         heapq.heappush(heap, (-spread(windows), made, windows))
         made += 1
     found = [w[1] for w in heap[0][2]] if heap else []
     return found + [[] for _ in range(k - len(found))]
 
 
-def pack(sizes: list[int], capacity: int, full: float = 0.9) -> list[list[int]]:
-    """Windows of whole items; no size may exceed the capacity.
-
-    full: the part of the capacity from which a window is done once it fits.
-    """
-    items, out = list(range(len(sizes))), []
-    k = -(-sum(sizes) // capacity)
-    while items:
-        windows = [[items[i] for i in w] for w in differencing([sizes[i] for i in items], k)]
-        sums = [sum(sizes[i] for i in w) for w in windows]
-        if max(sums) <= capacity:
-            return out + [w for w in windows if w]
-        done = [w for w, s in zip(windows, sums, strict=True) if full * capacity <= s <= capacity]
-        out += done
-        gone = {i for w in done for i in w}
-        items = [i for i in items if i not in gone]
-        k = -(-sum(sizes[i] for i in items) // capacity) if done else k + 1
-    return out
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Near-equal windows of whole items; no size may exceed the capacity."""
+    total, k = sum(sizes), -(-sum(sizes) // capacity)
+    while True:
+        windows = [w for w in differencing(sizes, k) if w]
+        over = max((sum(sizes[i] for i in w) for w in windows), default=0)
+        if over <= capacity:
+            return windows
+        above = over - total // k  # of the fullest window, over the mean
+        enough = min(-(-total // max(capacity - above, 1)), len(sizes))
+        k += max((enough - k) // 2, 1)
 
 
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
