@@ -6,8 +6,9 @@ spaces) and hashed; what a message says itself (level 0) is hashed in the same w
 whole, by passage and by line.
 
 Messages are ordered by (conv_id, turn), and an origin must come before the message that
-quotes it. It is the first message of the same conversation that says the passage, or else
-the first of all messages that does. A message replies to the origin of its lowest-level
+quotes it. It is the first message of the same conversation that says the passage, or else, for
+whole passages of at least OUTSIDE words, the first of all messages that does; a single line or a
+short passage ("> Yes") says too little to point into another conversation. A message replies to the origin of its lowest-level
 linked quote (whole passages before lines), or without one to the turn of its conversation
 before it. So replies only point back: there are no cycles, and every reply points to a
 message that exists.
@@ -43,6 +44,8 @@ WROTE = r"^[\x20\x09]*(On|Am|Le|El) [^\n]{1,200}(wrote|schrieb|écrit|escribió)
 #: Control characters that part passages and their levels; they don't stay in the text.
 PASSAGE, LEVEL = "\x1e", "\x1f"
 RANGE = 64
+#: Words from which a whole passage may link to another conversation.
+OUTSIDE = 5
 RESULTS = ("body", "n_quotes", "n_linked", "max_level", "reply_conv", "reply_turn", "root_conv", "root_turn", "depth", "position")
 
 
@@ -72,15 +75,21 @@ def passages(lines: Column) -> Column:
     return F.transform(runs, lambda p: F.struct(F.substring_index(p, LEVEL, 1).cast("int").alias("level"), F.substring_index(p, LEVEL, -1).alias("text")))
 
 
-def keys(runs: Column, body: Column) -> Column:
-    """array<struct<level, rank, hash>> of passages (rank 0), of their lines (rank 1), and of the body."""
+def keys(runs: Column, body: Column, outside: int) -> Column:
+    """array<struct<level, rank, far, hash>> of passages (rank 0), of their lines (rank 1), and of the body.
+
+    far: whether it may link to other conversations.
+    """
+    def key(level: Column, rank: int, far: Column, text: Column) -> Column:
+        return F.struct(level.alias("level"), F.lit(rank).alias("rank"), far.alias("far"), digest(text).alias("hash"))
+
     usable = F.filter(runs, lambda p: (p["level"] >= 0) & p["text"].rlike(WORD))
-    whole = F.transform(usable, lambda p: F.struct(p["level"].alias("level"), F.lit(0).alias("rank"), digest(p["text"]).alias("hash")))
-    lines = F.flatten(F.transform(usable, lambda p: F.transform(F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(p["level"].alias("level"), F.lit(1).alias("rank"), digest(x).alias("hash")))))
-    return F.array_distinct(F.concat(whole, lines, F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("rank"), digest(body).alias("hash")))))
+    whole = F.transform(usable, lambda p: key(p["level"], 0, F.regexp_count(p["text"], F.lit(WORD)) >= outside, p["text"]))
+    lines = F.flatten(F.transform(usable, lambda p: F.transform(F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(WORD)), lambda x: key(p["level"], 1, F.lit(False), x))))
+    return F.array_distinct(F.concat(whole, lines, F.array(key(F.lit(0), 0, F.lit(False), body))))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
+def parsed(messages: DataFrame, outside: int) -> DataFrame:
     """The messages' columns set aside, with _conv, _turn, body, n_quotes, max_level and _keys."""
     rows = messages.select(*aside(messages), F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), parsed_lines(F.col("text")).alias("_lines"))
     said = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
@@ -88,7 +97,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.withColumns({
         "n_quotes": F.size(F.filter("_runs", lambda p: p["level"] > 0)).cast("bigint"),
         "max_level": F.greatest(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)),
-        "_keys": keys(F.col("_runs"), F.col("body")),
+        "_keys": keys(F.col("_runs"), F.col("body"), outside),
     }).drop("_lines", "_runs")
 
 
@@ -111,8 +120,8 @@ def quote_links(known: DataFrame) -> DataFrame:
     first = here.groupBy("hash").agg(F.min(F.struct(F.col("_conv").alias("conv"), F.col("_said").alias("turn"))).alias("_first"))
     found = quoted.join(here, ["_conv", "hash"], "left").join(first, "hash", "left")
     inside = F.when(F.col("_said") < F.col("_turn"), F.struct(F.col("_conv").alias("conv"), F.col("_said").alias("turn")))
-    outside = F.when(F.col("_first.conv") < F.col("_conv"), F.col("_first"))
-    links = found.withColumn("_to", F.coalesce(inside, outside)).where(F.col("_to").isNotNull())
+    elsewhere = F.when(F.col("far") & (F.col("_first.conv") < F.col("_conv")), F.col("_first"))
+    links = found.withColumn("_to", F.coalesce(inside, elsewhere)).where(F.col("_to").isNotNull())
     return links.groupBy("_conv", "_turn").agg(F.min(F.struct("level", "rank", "_to")).alias("_best"), F.sum((F.col("rank") == 0).cast("bigint")).alias("n_linked"))
 
 
@@ -131,10 +140,10 @@ def threads(replies: DataFrame) -> DataFrame:
     return ended
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, text and more) with RESULTS."""
+def linked(messages: DataFrame, outside: int = OUTSIDE) -> DataFrame:
+    """messages (conv_id, turn, text and more) with RESULTS; outside: words from which a passage may link to another conversation."""
     messages = messages.drop(*RESULTS)
-    rows = stored(parsed(messages), "parsed")
+    rows = stored(parsed(messages, outside), "parsed")
     known = rows.where(F.col("_conv").isNotNull() & F.col("_turn").isNotNull())
     best = turns(known).join(quote_links(known), ["_conv", "_turn"], "left")
     to = F.coalesce(F.col("_best._to"), F.when(F.col("_before").isNotNull(), F.struct(F.col("_conv").alias("conv"), F.col("_before").alias("turn"))))
@@ -157,25 +166,30 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(messages).select("conv_id", "turn", "role", *RESULTS)
 
 
-_NORMAL = "trim(regexp_replace(lower(@), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+#: Patterns of its own, so that it doesn't share an error of those above. A far passage has four gaps between words or more.
+_MARKS = "^([ \\t]*>)+"
+_WROTE = "^[ \\t]*(On|Am|Le|El) [^\\n]{1,200}(wrote|schrieb|écrit|escribió)[^\\n]{0,80}:[ \\t]*$"
+_WORD = "[^ \\t\\n\\x0B\\x0C\\r]"
+_NORMAL = "trim(regexp_replace(lower(@), '[ \\t\\n\\x0B\\x0C\\r]+', ' ', 'g'))"
 _HASH = f"md5({_NORMAL})"
+_FAR = f"len(string_split({_NORMAL}, ' ')) > 4"
 #: Rows are numbered, as (conv_id, turn) may repeat. @rows: the table's name.
 SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, replace(replace(replace(coalesce(text, ''), chr(30), ''), chr(31), ''), chr(13), '') AS t FROM @rows),
   sp AS (SELECT rid, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
-  lv AS (SELECT rid, i, len(regexp_extract(x, '{MARKS}', 0)) - len(replace(regexp_extract(x, '{MARKS}', 0), '>', '')) AS level, regexp_replace(x, '{MARKS}[\\x20\\x09]?', '') AS body FROM sp),
-  ln AS (SELECT rid, i, body, CASE WHEN level = 0 AND lead(level) OVER (PARTITION BY rid ORDER BY i) > 0 AND regexp_matches(body, '{WROTE}') THEN -1 ELSE level END AS level FROM lv),
+  lv AS (SELECT rid, i, len(regexp_extract(x, '{_MARKS}', 0)) - len(replace(regexp_extract(x, '{_MARKS}', 0), '>', '')) AS level, regexp_replace(x, '{_MARKS}[ \\t]?', '') AS body FROM sp),
+  ln AS (SELECT rid, i, body, CASE WHEN level = 0 AND lead(level) OVER (PARTITION BY rid ORDER BY i) > 0 AND regexp_matches(body, '{_WROTE}') THEN -1 ELSE level END AS level FROM lv),
   rn AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, level IS NOT DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) AS same FROM ln)),
   ps AS (SELECT rid, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS p FROM rn GROUP BY 1, 2),
-  bd AS (SELECT rid, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS body, greatest(max(level), 0) AS max_level FROM ln GROUP BY 1),
+  bd AS (SELECT rid, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[ \\t\\n\\x0B\\x0C\\r]+|[ \\t\\n\\x0B\\x0C\\r]+$', '', 'g') AS body, greatest(max(level), 0) AS max_level FROM ln GROUP BY 1),
   nq AS (SELECT rid, count(*) FILTER (level > 0) AS n_quotes FROM ps GROUP BY 1),
-  ky AS (SELECT rid, level, 0 AS rank, {_HASH.replace("@", "p")} AS h FROM ps WHERE level >= 0 AND regexp_matches(p, '{WORD}')
-    UNION SELECT rid, level, 1, {_HASH.replace("@", "body")} FROM rn WHERE level >= 0 AND regexp_matches(body, '{WORD}')
-    UNION SELECT rid, 0, 0, {_HASH.replace("@", "body")} FROM bd),
-  k AS (SELECT DISTINCT conv_id AS c, turn AS t, level, rank, h FROM ky JOIN d USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  ky AS (SELECT rid, level, 0 AS rank, {_FAR.replace("@", "p")} AS far, {_HASH.replace("@", "p")} AS h FROM ps WHERE level >= 0 AND regexp_matches(p, '{_WORD}')
+    UNION SELECT rid, level, 1, false, {_HASH.replace("@", "body")} FROM rn WHERE level >= 0 AND regexp_matches(body, '{_WORD}')
+    UNION SELECT rid, 0, 0, false, {_HASH.replace("@", "body")} FROM bd),
+  k AS (SELECT DISTINCT conv_id AS c, turn AS t, level, rank, far, h FROM ky JOIN d USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
   nodes AS (SELECT DISTINCT conv_id AS c, turn AS t FROM d WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
   pos AS (SELECT c, t, lag(t) OVER w AS prev, row_number() OVER w - 1 AS position FROM nodes WINDOW w AS (PARTITION BY c ORDER BY t)),
   fnd AS (SELECT q.c, q.t, q.level, q.rank, coalesce((SELECT struct_pack(c := o.c, t := min(o.t)) FROM k o WHERE o.level = 0 AND o.h = q.h AND o.c = q.c AND o.t < q.t GROUP BY o.c),
-    (SELECT min(struct_pack(c := o.c, t := o.t)) FROM k o WHERE o.level = 0 AND o.h = q.h AND o.c < q.c)) AS dest FROM k q WHERE q.level > 0),
+    (SELECT min(struct_pack(c := o.c, t := o.t)) FROM k o WHERE q.far AND o.level = 0 AND o.h = q.h AND o.c < q.c)) AS dest FROM k q WHERE q.level > 0),
   lk AS (SELECT c, t, arg_min(dest, (level, rank, dest)) AS dest, count(*) FILTER (rank = 0) AS n_linked FROM fnd WHERE dest IS NOT NULL GROUP BY 1, 2),
   up AS (SELECT pos.c, pos.t, position, coalesce(n_linked, 0) AS n_linked, CASE WHEN dest IS NOT NULL THEN dest.c WHEN prev IS NOT NULL THEN pos.c END AS uc, CASE WHEN dest IS NOT NULL THEN dest.t ELSE prev END AS ut FROM pos LEFT JOIN lk ON pos.c = lk.c AND pos.t = lk.t),
   th(c, t, rc, rt, depth) AS (SELECT c, t, c, t, 0::BIGINT FROM up WHERE uc IS NULL UNION ALL SELECT up.c, up.t, rc, rt, depth + 1 FROM up JOIN th ON up.uc = th.c AND up.ut = th.t)

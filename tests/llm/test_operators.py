@@ -201,6 +201,32 @@ def test_pack_cuts_nothing_and_raises_the_count(sizes):
     assert all(0 < sum(sizes[i] for i in w) <= 64 for w in windows)
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(1, 2047), min_size=1, max_size=300))
+def test_the_count_rises_at_every_excess_and_loads_are_near_equal(sizes):
+    tried, plain = [], packing.differencing
+
+    def watched(sizes, k):
+        windows = plain(sizes, k)
+        tried.append((k, max(sum(sizes[i] for i in w) for w in windows)))
+        return windows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "differencing", watched)
+        windows = packing.pack(sizes, 2048)
+    assert tried[0][0] == -(-sum(sizes) // 2048)
+    assert all(over > 2048 and k < after for (k, over), (after, _) in zip(tried, tried[1:], strict=False)) and tried[-1][1] <= 2048
+    assert len(windows) <= tried[-1][0] <= len(sizes)
+
+
+def test_loads_of_real_remainders_are_near_equal():
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 2048) if rng.random() < 0.3 else rng.randrange(1, 900) for _ in range(1000)]
+    loads = [sum(sizes[i] for i in w) for w in packing.pack(sizes, 2048)]
+    assert len(loads) > -(-sum(sizes) // 2048)  # it did rise
+    assert max(loads) <= 2048 and min(loads) > 0.88 * 2048 and sum(loads) > 0.94 * 2048 * len(loads)
+
+
 def test_pack_of_three_that_pairs_exceed():
     assert len(packing.pack([40, 40, 40], 64)) == 3
     assert len(packing.pack([2048] * 5, 2048)) == 5 and len(packing.pack([1024] * 7, 2048)) == 4
@@ -415,9 +441,9 @@ def by_spark(spark, rows):
 def test_quotes(spark, empty):
     rows = [
         (1, 0, "The tide came in.\nIt left stones."),
-        (1, 1, "On Monday A wrote:\n> The  TIDE came in.\n> It left stones.\nI saw them too."),
-        (1, 3, "B wrote this:\n> > It left stones.\n> I saw them too.\nWhere?"),
-        (2, 0, "> I saw them too.\nSo did I."),
+        (1, 1, "On Monday A wrote:\n> The  TIDE came in.\n> It left stones.\nI saw them too, there."),
+        (1, 3, "B wrote this:\n> > It left stones.\n> I saw them too, there.\nWhere?"),
+        (2, 0, "> I saw  THEM too, there.\nSo did I."),
         (2, 1, None),
         (None, 3, "> The tide came in.\nx"),
         (3, None, ""),
@@ -429,7 +455,7 @@ def test_quotes(spark, empty):
     got = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
     to = lambda c, t: (got[(c, t)].reply_conv, got[(c, t)].reply_turn)
     assert len(got) == len(rows)
-    assert got[(1, 1)].body == "I saw them too." and to(1, 1) == (1, 0)
+    assert got[(1, 1)].body == "I saw them too, there." and to(1, 1) == (1, 0)
     assert got[(1, 3)].max_level == 2 and got[(1, 3)].n_quotes == 2 and to(1, 3) == (1, 1)
     assert got[(2, 0)].body == "So did I." and to(2, 0) == (1, 1)
     assert got[(2, 1)].body == "" and to(2, 1) == (2, 0)
@@ -441,6 +467,28 @@ def test_quotes(spark, empty):
     assert by_spark(spark, rows) == by_sql(rows)
 
 
+def test_short_quotes_stay_in_their_conversation(spark):
+    rows = [
+        (1, 0, "Yes"),
+        (1, 1, "The boat left the harbour at six.\nNobody was on the quay then."),
+        (1, 2, "one two three four"),
+        (7, 0, "Shall we go?"),
+        (7, 1, "> Yes\nWhy?"),
+        (7, 2, "> The boat left the harbour at six.\n> Nobody else came.\nReally?"),  # its first line is said elsewhere, the passage isn't
+        (7, 3, "> one two three four\n?"),
+        (7, 4, "> Shall we go?\nYes"),
+        (7, 5, "> The boat left the harbour at six.\n> Nobody was on the quay then.\nSo?"),
+        (7, 6, "> Yes\nGood."),
+    ]
+    rows = [(c, t, "user", x) for c, t, x in rows]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    found = lambda **how: {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.linked(messages, **how).collect()}
+    got = found()
+    assert [got[(7, t)] for t in range(1, 7)] == [(7, 0), (7, 1), (7, 2), (7, 0), (1, 1), (7, 4)]
+    assert found(outside=4)[(7, 3)] == (1, 2)
+    assert by_spark(spark, rows) == by_sql(rows)
+
+
 def threads_of(rng, conversations):
     """Messages that quote passages, single lines and nested quotes of any message, earlier or later, also of each other."""
     line = lambda: " ".join(rng.choice(["tide", "Stone", "über", "net", "a>b", ""]) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 4)))
@@ -470,7 +518,8 @@ def test_random_threads_against_sql(spark):
             assert up in at and tuple(map(int, up)) < tuple(map(int, k))  # replies exist and point back, so there are no cycles
             assert int(r[names["depth"]]) == int(at[up][names["depth"]]) + 1
         linked += int(r[names["n_linked"]])
-    assert linked > 300
+    assert linked > 200
+    assert any(r[names["reply_conv"]] not in (None, r[names["conv_id"]]) for r in at.values())
 
 
 def test_quotes_keep_columns_and_long_conversations(spark):
