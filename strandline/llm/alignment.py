@@ -7,7 +7,7 @@ and a text's groups are those of its segments one after the other. Only distinct
 
 1. Texts are cut, and tasks gather about BLOCK bytes of them as a block: its distinct segments and, for each
    text, their numbers in order.
-2. The distinct segments of all blocks are tokenized by both.
+2. The distinct segments of all blocks are tokenized by both, in one pass, and dealt once.
 3. Relational alignment of each segment, where it is dealt to: its tokens are exploded with their positions, a
    running sum of their lengths is where they end, an equi-join on (segment, end) finds the common
    ends, and the number of common ends before a token is its group. A join on (segment, group) brings the
@@ -127,41 +127,33 @@ def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, BLOCKS.format(kind=kind))
 
 
-def ids_where_spelt(encode, spell, parts: list[str]) -> pa.Array:
-    """The ids of each segment; null where they don't spell it."""
-    rows = encode(parts)
-    return pa.array([row if b"".join(map(spell, row)) == b" " + p.encode() else None for row, p in zip(rows, parts, strict=True)], pa.list_(pa.int32()))
+class Sides:
+    """Both tokenizers' tokens of segments, and the lengths of their vocabularies in bytes."""
 
-
-class Side:
-    """A tokenizer's tokens of segments, and the lengths of its vocabulary in bytes."""
-
-    def __init__(self, spark: SparkSession, ids, lengths: list[int]):
-        self.ids = ids
-        self.lengths = spark.createDataFrame(pa.table({"id": pa.array(range(len(lengths)), pa.int32()), "n": pa.array(lengths, pa.int32())}))
+    def __init__(self, spark: SparkSession, first: str, second: str):
+        self.paths = first, second
+        known = {i: len(t) for t, i in ids_of(first).fast._mergeable_ranks.items()}
+        lengths = [known.get(i, 0) for i in range(max(known) + 1)], [len(t) for t in pieces_of(second).bytes]
+        self.lengths = [spark.createDataFrame(pa.table({"id": pa.array(range(len(n)), pa.int32()), "n": pa.array(n, pa.int32())})) for n in lengths]
 
     def tokens(self, distinct: DataFrame) -> DataFrame:
-        """(segment, ids), each segment tokenized once."""
-        ids = self.ids
+        """(segment, sides): the ids of both sides, one array each; null where a side doesn't spell the segment.
+
+        Both are made at once, so a segment is dealt once with all its tokens.
+        """
+        first, second = self.paths
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            byte_bpe, pieces = ids_of(first).fast, pieces_of(second)
+            spelt_by = functools.cache(byte_bpe.decode_single_token_bytes), pieces.bytes.__getitem__
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids(batch.column(0).to_pylist())], names=["segment", "ids"])  # other columns stay behind
-
-        return distinct.mapInArrow(run, "segment string, ids array<int>")
-
-
-def sides_of(spark: SparkSession, first: str, second: str) -> dict[str, Side]:
-    def a(parts: list[str]) -> pa.Array:
-        model = ids_of(first).fast
-        return ids_where_spelt(lambda rows: [model.encode_ordinary(f" {p}") for p in rows], functools.cache(model.decode_single_token_bytes), parts)
-
-    def b(parts: list[str]) -> pa.Array:
-        model = pieces_of(second)
-        return ids_where_spelt(model, model.bytes.__getitem__, parts)
+                parts, sides = batch.column(0).to_pylist(), []  # other columns stay behind
+                for part, *both in zip(parts, map(byte_bpe.encode_ordinary, [f" {p}" for p in parts]), pieces(parts), strict=True):
+                    spelt = [b"".join(map(spell, ids)) for spell, ids in zip(spelt_by, both, strict=True)]
+                    sides.append(both if spelt == [b" " + part.encode()] * 2 else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides, pa.list_(pa.list_(pa.int32())))], names=["segment", "sides"])
 
-    known = {i: len(t) for t, i in ids_of(first).fast._mergeable_ranks.items()}
-    return {"a": Side(spark, a, [known.get(i, 0) for i in range(max(known) + 1)]), "b": Side(spark, b, [len(t) for t in pieces_of(second).bytes])}
+        return distinct.mapInArrow(run, "segment string, sides array<array<int>>")
 
 
 @contextmanager
@@ -176,16 +168,16 @@ def dealt_by_part_of_keys(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def aligned(distinct: DataFrame, sides: dict[str, Side]) -> DataFrame:
+def aligned(distinct: DataFrame, sides: Sides) -> DataFrame:
     """(segment, groups) of distinct segments: the groups a1,a2|b1 in order, joined by semicolons; none where a side doesn't spell the segment.
 
     Only vocabularies are broadcast, whose size no input changes.
     """
     in_order = Window.partitionBy("segment").orderBy("at")
+    tokens = sides.tokens(distinct).repartition("segment")  # Spark runs it once for both sides
 
-    def ends(side: str) -> DataFrame:
-        tokens = sides[side].tokens(distinct).repartition("segment")
-        rows = tokens.select("segment", F.posexplode("ids").alias("at", "id")).join(F.broadcast(sides[side].lengths), "id")
+    def ends(side: int) -> DataFrame:
+        rows = tokens.select("segment", F.posexplode(F.col("sides")[side]).alias("at", "id")).join(F.broadcast(sides.lengths[side]), "id")
         return rows.select("segment", "at", "id", F.sum("n").over(in_order).alias("end"))
 
     def grouped(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
@@ -194,7 +186,7 @@ def aligned(distinct: DataFrame, sides: dict[str, Side]) -> DataFrame:
         rows = common.select("segment", "at", "id", before.alias("group")).groupBy("segment", "group")
         return rows.agg(ids_text(F.sort_array(F.collect_list(F.struct("at", "id")))["id"]).alias(name))
 
-    a, b = ends("a"), ends("b")
+    a, b = ends(0), ends(1)
     met = grouped(a, b, "a").join(grouped(b, a, "b"), ["segment", "group"])
     rows = met.select("segment", F.struct("group", F.concat_ws("|", "a", "b").alias("text")).alias("_group")).groupBy("segment")
     return rows.agg(F.array_join(F.sort_array(F.collect_list("_group"))["text"], ";").alias("groups"))
@@ -375,7 +367,7 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).where("segment IS NOT NULL AND block IS NOT NULL").repartition("segment")
     with dealt_by_part_of_keys(spark):
         distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
-        known = aligned(distinct, sides_of(spark, first, second))
+        known = aligned(distinct, Sides(spark, first, second))
         texts = returned(wanted.join(known, "segment", "left")).groupBy("block").agg(F.collect_list(F.struct("at", "lines")).alias("texts"))
         bound = stored(packed_lines(cut.select("block", "ids", "sizes", "numbers").join(texts, "block", "left")), "bound")
         dropped(cut)  # bound has all of it but the segments

@@ -88,10 +88,10 @@ def test_empty(spark):
 def test_alignment_deals_segments_once(spark):
     rows = spark.createDataFrame([("one",), ("two three",), ("▁",), ("",)], "segment string").distinct()
     with alignment.dealt_by_part_of_keys(spark):
-        made = alignment.aligned(rows, alignment.sides_of(spark, A, B))
+        made = alignment.aligned(rows, alignment.Sides(spark, A, B))
         assert {r.segment for r in made.collect()} == {"one", "two three", ""}
         plan = made._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial")[0]
     dealt = [x for x in final.splitlines() if "Exchange hash" in x and "Reused" not in x]
     assert all("hashpartitioning(segment#" in x and "end#" not in x and "at#" not in x for x in dealt)
-    assert sum("REPARTITION_BY_COL" in x for x in dealt) == 2 and len(dealt) <= 4, dealt
+    assert sum("REPARTITION_BY_COL" in x for x in dealt) == 1 and len(dealt) <= 4, dealt
