@@ -29,6 +29,7 @@ id and text are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import re
@@ -84,6 +85,14 @@ def pieces_of(path: str) -> Pieces:
 BLOCKS = "block bigint, ids array<{kind}>, sizes array<int>, numbers binary, segments array<string>"
 
 
+def given_back() -> None:
+    """Gives the memory that a worker's last task has left unused back to the system (as far as its C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def squeezed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=6).compress(data)
 
@@ -102,6 +111,7 @@ def blocks(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         number = TaskContext.get().partitionId() << 32
         ids, sizes, numbers, known, held, arrow = [], [], [], {}, 0, pa.null()
 
@@ -144,6 +154,7 @@ class Sides:
         first, second = self.paths
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given_back()
             byte_bpe, pieces = ids_of(first).fast, pieces_of(second)
             spelt_by = functools.cache(byte_bpe.decode_single_token_bytes), pieces.bytes.__getitem__
             for batch in batches:
@@ -269,6 +280,7 @@ HELD = 200_000
 def returned(found: DataFrame) -> DataFrame:
     """(block, at, lines) of rows (block, at, groups): many segments' numbers and groups as one row, compressed; a task holds HELD of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         held: dict[int, tuple[list, list]] = {}
         n = 0
 
@@ -295,6 +307,7 @@ def returned(found: DataFrame) -> DataFrame:
 def packed_lines(bound: DataFrame) -> DataFrame:
     """bound with the parts of `returned` as one text of lines in order of their numbers, compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = batch.column(4)[i].as_py() or []
@@ -310,6 +323,7 @@ def packed_lines(bound: DataFrame) -> DataFrame:
 def pair_counts(bound: DataFrame) -> DataFrame:
     """(block, pair, n): in how many of a block's documents each pair is linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for i in range(batch.num_rows):
                 block, sizes, numbers, texts = (c[i].as_py() for c in batch.columns)
@@ -330,6 +344,7 @@ def put_together(bound: DataFrame, kind: str, with_groups: bool) -> DataFrame:
     names = ["doc_id", *(f.split()[0] for f in FOUND.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_back()
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, docs = batch.column(0)[i].values, docs_of(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
