@@ -57,43 +57,92 @@ def low(keys: np.ndarray, symbols: int) -> np.ndarray:
     return keys & np.uint64((1 << symbols * BITS) - 1)
 
 
-def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs(data: np.ndarray, offsets: np.ndarray, numbers: np.ndarray | None = None, base: int = 1 << BITS) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (context, symbol) at every byte and end of joined texts, and the texts' offsets among them.
 
-    A code holds ORDER + 1 symbols of BITS bits, the last of them the one that follows.
+    A code holds ORDER + 1 symbols of BITS bits, the last of them the one that follows; given numbers of symbols below a base, these.
     """
-    n = len(offsets) - 1
-    lead = ORDER
-    marked = np.full(len(data) + n * (lead + 1), MARK, "u8")
-    at = np.arange(len(data)) + np.repeat(lead + np.arange(n) * (lead + 1), np.diff(offsets))
-    marked[at] = data
-    code = np.zeros(len(marked) - lead, "u8")
-    for j in range(lead + 1):
-        code = (code << np.uint64(BITS)) | marked[j : len(marked) - lead + j]
-    starts = offsets[:-1] + np.arange(n) * (lead + 1)
-    sizes = np.diff(offsets) + 1
-    ends = np.cumsum(sizes)
-    pick = np.arange(ends[-1] if n else 0) + np.repeat(starts - (ends - sizes), sizes)
-    return code[pick], np.concatenate([[0], ends])
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    starts = offsets[:-1] + np.arange(n) * (ORDER + 1)
+    marked, own = np.full(len(data) + n * (ORDER + 1), MARK, "u8"), np.ones(len(data) + n * (ORDER + 1), bool)
+    own[(starts[:, None] + np.arange(ORDER)).ravel()] = False
+    own[starts + ORDER + sizes] = False
+    marked[own] = data
+    if numbers is not None:
+        marked = numbers[marked]
+    two = marked[:-1] * np.uint64(base) + marked[1:]
+    code = (two[:-4] * np.uint64(base**2) + two[2:-2]) * np.uint64(base**2) + two[4:]  # ORDER + 1 are three twos
+    follows = np.ones(len(code), bool)
+    follows[(starts[1:, None] - ORDER + np.arange(ORDER)).ravel()] = False
+    return code[follows], np.concatenate([[0], np.cumsum(sizes + 1)])
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of an ordered array comes first."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, "i8")
+
+
+def places_of_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined texts' pairs: the distinct codes, ascending, how often each comes, the places of all in that order, and the texts' offsets among them.
+
+    Numbers of the symbols that occur make codes so short that a code and its place are one number, which sorts
+    several times faster than places by their codes do.
+    """
+    symbols = np.append(np.flatnonzero(np.bincount(data, minlength=MARK)), MARK).astype("u8")
+    numbers = np.zeros(ALPHABET, "u8")
+    numbers[symbols] = np.arange(len(symbols))
+    room = int(len(data) + len(offsets) - 2).bit_length()
+    if len(symbols) ** (ORDER + 1) > 1 << (64 - room):
+        code, ends = pairs(data, offsets)
+        at = np.argsort(code)
+        code = code[at]
+        first = firsts(code)
+        return code[first], np.diff(first, append=len(code)), at, ends
+    code, ends = pairs(data, offsets, numbers, len(symbols))
+    code <<= np.uint64(room)
+    code |= np.arange(len(code), dtype="u8")
+    code.sort()
+    at = (code & np.uint64((1 << room) - 1)).astype("i8")
+    code >>= np.uint64(room)
+    first = firsts(code)
+    rest, distinct = code[first], np.zeros(len(first), "u8")
+    for j in range(ORDER + 1):
+        rest, number = np.divmod(rest, np.uint64(len(symbols)))
+        distinct |= symbols[number] << np.uint64(j * BITS)
+    return distinct, np.diff(first, append=len(code)), at, ends
 
 
 def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> Counts:
     """Distinct keys, ascending, and the sums of their counts."""
     if not keys:
         return NONE
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype("i8")
+    every = np.concatenate(keys)
+    by = np.argsort(every, kind="stable")  # fast where keys come in ordered runs
+    every = every[by]
+    first = firsts(every)
+    return every[first], np.add.reduceat(np.concatenate(counts)[by], first).astype("i8") if len(first) else NONE[1]
 
 
 def with_training(keys: np.ndarray, trains: np.ndarray) -> Counts:
     """Distinct keys, and how often each comes where trains is true."""
-    every = np.unique(keys)
-    seen, number = np.unique(keys[trains], return_counts=True)
+    every, seen = np.sort(keys), np.sort(keys[trains])
+    every = every[firsts(every)]
+    first = firsts(seen)
     count = np.zeros(len(every), "i8")
-    count[np.searchsorted(every, seen)] = number
+    count[np.searchsorted(every, seen[first])] = np.diff(first, append=len(seen))
     return every, count
 
 
+def pairs_with_training(codes: np.ndarray, trains: np.ndarray) -> Counts:
+    """with_training of codes of pairs, sorted once: they leave a bit for trains."""
+    both = codes << np.uint64(1) | trains
+    both.sort()
+    counts = (both & np.uint64(1)).astype("i8")
+    both >>= np.uint64(1)
+    first = firsts(both)
+    return both[first], np.add.reduceat(counts, first) if len(first) else NONE[1]
+
+
 def of(keys: np.ndarray, table_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Values of keys in a sorted table, 0 where it lacks them."""
     if not len(table_keys):
@@ -120,7 +169,7 @@ class Trie:
         self.contexts = []
         for i, (keys, counts) in enumerate(self.pairs):
             context = keys >> np.uint64(BITS)
-            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, "i8")
+            starts = firsts(context)
             sums = lambda x, at=starts: np.add.reduceat(x, at) if len(at) else np.empty(0, "i8")
             lower = of(low(keys, ORDER - i), *self.pairs[i + 1]) if i < ORDER else np.zeros(len(keys), "i8")
             self.contexts.append((context[starts], sums(counts), np.diff(np.append(starts, len(keys))), sums(lower)))
@@ -197,7 +246,7 @@ def asked(docs: DataFrame, groups: int, block_bytes: int, key: bytes) -> DataFra
                 code, ends = pairs(data, offsets)
                 word, first = word_ids(data, offsets, ids)
                 word = np.concatenate([word, np.full(len(trains), END_WORD)])
-                new = *with_training(code, np.repeat(trains, np.diff(ends))), *with_training(word, np.concatenate([np.repeat(trains, np.diff(first)), trains]))
+                new = *pairs_with_training(code, np.repeat(trains, np.diff(ends))), *with_training(word, np.concatenate([np.repeat(trains, np.diff(first)), trains]))
                 for held, x in zip(found, new, strict=True):
                     held.append(x)
                 doc_ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
@@ -349,9 +398,10 @@ def scored(asked_rows: DataFrame, replies: DataFrame, n: int, v: int, kind: str,
                     lengths, known, given = (joined[0][by], joined[1][by]), (joined[2][word_by], joined[3][word_by]), []
                 data, sizes, trains = grown(packed[0], "u1"), grown(packed[1], "i8"), np.frombuffer(packed[2], bool)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                code, ends = pairs(data, offsets)
-                distinct, inverse = np.unique(code, return_inverse=True)
-                score = np.add.reduceat(of(distinct, *lengths).astype("f8")[inverse], ends[:-1])
+                distinct, sizes, at, ends = places_of_pairs(data, offsets)
+                each = np.empty(len(at))
+                each[at] = np.repeat(of(distinct, *lengths).astype("f8"), sizes)
+                score = np.add.reduceat(each, ends[:-1])
                 word, first = word_ids(data, offsets, ids)
                 distinct, inverse = np.unique(np.append(word, END_WORD), return_inverse=True)
                 count = of(distinct, *known)[inverse]
