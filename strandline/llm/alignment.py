@@ -9,11 +9,10 @@ and a text's groups are those of its segments one after the other. Only distinct
    text, their numbers in order.
 2. The distinct segments of all blocks are tokenized by both, in one pass, and dealt once.
 3. Relational alignment of each segment, where it is dealt to: its tokens are exploded with their positions, a
-   running sum of their lengths is where they end, an equi-join on (segment, end) finds the common
-   ends, and the number of common ends before a token is its group. A join on (segment, group) brings the
-   tokens of both sides together; a group is written a1,a2|b1.
-4. Segments' groups go back to the blocks that asked for them (a join on the segment, each at most once a block). A
-   block's texts are then put together from them.
+   running sum of their lengths is where they end, and an equi-join on (segment, end) finds the common
+   ends. Joined with the segment's tokens they cut both sides into groups; a group is written a1,a2|b1.
+4. Segments' groups go back to the blocks that asked for them (a join on the segment, each at most once a block). They
+   are stored, so that what was dealt until then is deleted before a block's texts are put together from them.
 5. Links of an id pair are counted by documents in each block, summed over blocks, and come
    back to the blocks that hold the pair, with whether it is its first id's most frequent one.
 
@@ -47,7 +46,7 @@ from strandline.llm.common import dropped, stored, table
 from strandline.llm.hashing import grown
 from strandline.llm.packing import ids_of
 
-BLOCK = 16 << 20
+BLOCK, FINER = 16 << 20, 4
 CUT = re.compile(r"(?<=\S)(?= )")
 INSIDE = re.compile(r"\s ")
 
@@ -168,15 +167,32 @@ class Sides:
 
 
 @contextmanager
-def dealt_by_part_of_keys(spark: SparkSession):
-    """Inside, rows dealt by one join key aren't dealt again for a join on that and another."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Inside, these settings hold; what is stored inside is planned and run with them."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def dealt_by_part_of_keys(spark: SparkSession):
+    """Inside, rows dealt by one join key aren't dealt again for a join on that and another."""
+    return settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Inside, what a query has shuffled is deleted when it ends, not when the driver happens to collect its garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def dealt_finely(spark: SparkSession):
+    """Inside, exchanges have FINER times as many partitions: a task of the alignment sorts its tokens several times at once."""
+    name = "spark.sql.shuffle.partitions"
+    return settings(spark, {name: str(FINER * int(spark.conf.get(name)))})
 
 
 def aligned(distinct: DataFrame, sides: Sides) -> DataFrame:
@@ -185,26 +201,21 @@ def aligned(distinct: DataFrame, sides: Sides) -> DataFrame:
     Only vocabularies are broadcast, whose size no input changes.
     """
     in_order = Window.partitionBy("segment").orderBy("at")
-    tokens = sides.tokens(distinct).repartition("segment")  # Spark runs it once for both sides
+    tokens = sides.tokens(distinct).repartition("segment")  # Spark runs it once for all that read it
 
-    def ends(side: int) -> DataFrame:
+    def ends(side: int, name: str) -> DataFrame:
         rows = tokens.select("segment", F.posexplode(F.col("sides")[side]).alias("at", "id")).join(F.broadcast(sides.lengths[side]), "id")
-        return rows.select("segment", "at", "id", F.sum("n").over(in_order).alias("end"))
-
-    def grouped(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        common = mine.join(other.select("segment", "end", F.lit(1).alias("cut")), ["segment", "end"], "left")
-        before = F.coalesce(F.sum("cut").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = common.select("segment", "at", "id", before.alias("group")).groupBy("segment", "group")
-        return rows.agg(ids_text(F.sort_array(F.collect_list(F.struct("at", "id")))["id"]).alias(name))
+        return rows.select("segment", F.col("at").alias(name), F.sum("n").over(in_order).alias("end"))
 
-    a, b = ends(0), ends(1)
-    met = grouped(a, b, "a").join(grouped(b, a, "b"), ["segment", "group"])
-    rows = met.select("segment", F.struct("group", F.concat_ws("|", "a", "b").alias("text")).alias("_group")).groupBy("segment")
-    return rows.agg(F.array_join(F.sort_array(F.collect_list("_group"))["text"], ";").alias("groups"))
+    common = ends(0, "a").join(ends(1, "b"), ["segment", "end"]).groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
+    def group(cut: Column, i: Column) -> Column:
+        """The tokens of both sides from the cut before this one on."""
+        before = F.when(i > 0, F.col("cuts")[i - 1]).otherwise(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b")))
+        return F.concat_ws("|", *(F.array_join(F.slice(F.col("ids")[k], before[name] + 2, cut[name] - before[name]), ",") for k, name in enumerate(("a", "b"))))
 
-def ids_text(ids: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    met = tokens.join(common, "segment").select("segment", "cuts", F.col("sides").cast("array<array<string>>").alias("ids"))
+    return met.select("segment", F.array_join(F.transform("cuts", group), ";").alias("groups"))
 
 
 def links_of(lines: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -380,12 +391,15 @@ def aligned_documents(docs: DataFrame, first: str, second: str, size: int = BLOC
     cut = stored(blocks(docs, size, doc_id, text), "blocks", "zstd")
     # nothing is null, and a segment's first block and number are not needed: both let Spark use one exchange for the distinct segments and for those wanted
     wanted = cut.select("block", F.posexplode("segments").alias("at", "segment")).where("segment IS NOT NULL AND block IS NOT NULL").repartition("segment")
-    with dealt_by_part_of_keys(spark):
+    with dealt_by_part_of_keys(spark), dealt_finely(spark), shuffles_dropped(spark):
         distinct = wanted.groupBy("segment").agg(F.min("block"), F.min("at"))
         known = aligned(distinct, Sides(spark, first, second))
-        texts = returned(wanted.join(known, "segment", "left")).groupBy("block").agg(F.collect_list(F.struct("at", "lines")).alias("texts"))
+        lines = stored(returned(wanted.join(known, "segment", "left")), "lines")
+    with shuffles_dropped(spark):
+        texts = lines.groupBy("block").agg(F.collect_list(F.struct("at", "lines")).alias("texts"))
         bound = stored(packed_lines(cut.select("block", "ids", "sizes", "numbers").join(texts, "block", "left")), "bound")
-        dropped(cut)  # bound has all of it but the segments
+    dropped(cut)  # bound has all of it but the segments
+    dropped(lines)
     held = stored(pair_counts(bound), "pairs")
     counts = held.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32))
     counts = stored(counts, "counts")

@@ -95,3 +95,24 @@ def test_alignment_deals_segments_once(spark):
     dealt = [x for x in final.splitlines() if "Exchange hash" in x and "Reused" not in x]
     assert all("hashpartitioning(segment#" in x and "end#" not in x and "at#" not in x for x in dealt)
     assert sum("REPARTITION_BY_COL" in x for x in dealt) == 1 and len(dealt) <= 4, dealt
+
+
+def test_tokens_are_exploded_once_a_side(spark):
+    rows = spark.createDataFrame([("one",), ("two three",)], "segment string").distinct()
+    with alignment.dealt_by_part_of_keys(spark):
+        plan = alignment.aligned(rows, alignment.Sides(spark, A, B))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 2, plan
+
+
+def test_what_was_dealt_is_deleted_and_settings_come_back(spark, monkeypatch):
+    names = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffle.partitions"
+    before, seen, real = [spark.conf.get(n) for n in names], {}, alignment.stored
+
+    def stored(df, name, *rest):
+        seen[name] = [spark.conf.get(n) for n in names]
+        return real(df, name, *rest)
+
+    monkeypatch.setattr(alignment, "stored", stored)
+    got = alignment.aligned_documents(spark.createDataFrame(odd_rows(), "doc_id bigint, text string"), A, B).collect()
+    assert len(got) == len(odd_rows()) and [spark.conf.get(n) for n in names] == before
+    assert seen["lines"] == ["true", str(alignment.FINER * int(before[1]))] and seen["bound"] == ["true", before[1]]
