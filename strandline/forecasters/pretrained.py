@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import importlib.metadata
 import importlib.util
+import os
 import platform
 import uuid
 from collections.abc import Iterator
@@ -27,13 +28,15 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import one_of
 from strandline.forecasters.saved import GROUP, by_name
 
 STYLES = ("call", "forecast", "forecast_freq", "predict_batch")
+#: Of tasks that free workers, at most: other jobs may start new workers all the time.
+ROUNDS = 20
 _models: dict[tuple, object] = {}
 
 
@@ -103,19 +106,46 @@ def quantiles(out, n: int, levels: int) -> list[np.ndarray]:
 
 
 def clear_cache() -> None:
-    """Drops this process's model. Workers drop theirs when they are given another key: options["token"] is part of it."""
+    """Drops this process's model. Workers drop theirs in `free_workers`, or when they are given another key: options["token"] is part of it."""
     _models.clear()
 
 
+def free_workers(spark: SparkSession) -> int:
+    """Drops the models of idle workers; returns how many workers were met.
+
+    An executor hands out the worker that has been idle longest, so a round of tasks that meets no new one has met all.
+    Workers that are busy just now, and executors that are busy throughout, are not met.
+    """
+    n, met = 4 * spark.sparkContext.defaultParallelism, set()
+    if spark.sparkContext.getConf().get("spark.python.worker.reuse", "true").lower() == "false":
+        return 0  # no worker outlives its task
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            clear_cache()
+            yield pd.Series([f"{platform.node()} {os.getpid()}"] * len(batch))
+
+    for _ in range(ROUNDS):
+        found = {r[0] for r in spark.range(0, n, 1, n).select(run("id")).collect()}
+        if found <= met:
+            break
+        met |= found
+    return len(met)
+
+
 def evicted(cfg, *frames: DataFrame):
     """cfg with a new token, and frames no longer cached.
 
-    A worker that next forecasts with the returned config loads the model anew and frees the one it
-    holds; results are the same. Workers without further work end with their executor's idle time.
+    Idle workers free their models at once, whichever hold one. A busy worker frees its own when it next forecasts
+    with the returned config, for which all load the model anew; results are the same. Workers without further
+    work end with their executor's idle time.
     """
     for frame in frames:
         frame.unpersist(blocking=True)
     clear_cache()
+    if spark := frames[0].sparkSession if frames else SparkSession.getActiveSession():
+        free_workers(spark)
     return replace(cfg, options=dict(cfg.options) | {"token": uuid.uuid4().hex})
 
 

@@ -1,6 +1,7 @@
 """Saving once, empty selections, exports of several tickers, eviction, and models from folders."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import ForecastConfig, forecast
 from strandline.forecasters import saved
-from strandline.forecasters.pretrained import evicted
+from strandline.forecasters.pretrained import evicted, free_workers
 from strandline.operators import export, history
 from strandline.operators.backtest import rolling_contexts
 
@@ -72,6 +73,25 @@ def test_another_token_frees_the_model(spark, bars, tmp_path):
     assert freed and freed <= loaded
 
 
+def test_eviction_reaches_a_worker_behind_many_idle_ones(spark, bars, tmp_path):
+    def waiting(batches):
+        time.sleep(1)
+        yield from batches
+
+    crowd = spark.range(0, 16, 1, 8)
+    for _ in range(2):  # three workers a task: more are idle afterwards than a few forecasts would meet
+        crowd = crowd.mapInArrow(waiting, "id long")
+    crowd.mapInArrow(waiting, "id long").count()
+    cfg = counting(tmp_path)
+    first = sorted(map(tuple, forecast(bars, cfg).collect()))
+    loaded = sorted(x.name.split("-")[1] for x in tmp_path.glob("loaded-*"))
+    assert loaded and not list(tmp_path.glob("freed-*"))
+    again = evicted(cfg)
+    assert sorted(x.name.split("-")[1] for x in tmp_path.glob("freed-*")) == loaded
+    assert sorted(map(tuple, forecast(bars, again).collect())) == first
+    assert free_workers(spark) >= 12
+
+
 def test_linear_model_is_fitted_saved_and_loaded_by_name(spark, tmp_path):
     rows = []
     for k in range(6):
